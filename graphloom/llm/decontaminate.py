@@ -29,13 +29,22 @@ RATIO = 2
 def words(text: str | Column) -> Column:
     """Lower-case runs of letters and digits; null has none."""
     c = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.split(F.lower(F.coalesce(c.cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    parts = F.split(F.lower(F.coalesce(c.cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+")
+    # only the ends can be empty; a lambda's argument is evaluated once
+    first = lambda w: F.when(F.get(w, F.lit(0)) == "", 2).otherwise(1)
+    last = lambda w: F.when(F.element_at(w, -1) == "", 1).otherwise(0)
+    return F.get(F.transform(F.array(parts), lambda w: F.slice(w, first(w), F.greatest(F.size(w) - first(w) + 1 - last(w), F.lit(0)))), F.lit(0))
 
 
 def shingles(list_of_words: Column, width: int) -> Column:
     """64-bit hashes of the word shingles at each place; shorter lists have none."""
-    n = F.size(list_of_words) - (width - 1)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.slice(list_of_words, i, width)))).otherwise(F.array().cast("array<long>"))
+    hashed = F.transform(list_of_words, lambda w: F.xxhash64(w))
+
+    def placed(h: Column) -> Column:
+        at = lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(width)))
+        return F.transform(F.slice(h, 1, F.greatest(F.size(h) - (width - 1), F.lit(0))), lambda _, i: at(i))
+
+    return F.get(F.transform(F.array(hashed), placed), F.lit(0))
 
 
 def _rank(shingle: Column) -> Column:
