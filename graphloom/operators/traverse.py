@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.lineage import settled
 from ..schema import DOWNSTREAM, FLOW_TYPES, MAX_DEPTH, MAX_PATHS, UPSTREAM
 
 
@@ -40,7 +41,7 @@ def search_paths(steps: DataFrame, starts: DataFrame, depth: int, most: int | No
     the same path. Steps from one node go by edge id. Each start ends with
     `most` paths, if given.
     """
-    starts = starts.select(F.col("id").alias("start")).distinct()
+    steps, starts = settled(steps), settled(starts.select(F.col("id").alias("start")).distinct())
     frontier = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("rank"), F.array("start").alias("path"), F.array().cast("array<string>").alias("edge_path"))
     seen = starts.select("start", F.col("start").alias("node"))
     done = starts.withColumn("n", F.lit(0))
@@ -50,22 +51,21 @@ def search_paths(steps: DataFrame, starts: DataFrame, depth: int, most: int | No
         near = near.filter(~F.array_contains("path", F.col("dst"))) if avoid_own_path else near
         near = _ranked(near, None if most is None else F.lit(most) - F.col("n"))
         before = seen.withColumn("was_seen", F.lit(True))
-        emitted = near.join(before.withColumnRenamed("node", "dst"), ["start", "dst"], "left").select(
+        emitted = settled(near.join(before.withColumnRenamed("node", "dst"), ["start", "dst"], "left").select(
             "start", (F.col("n") + F.col("found")).alias("path_no"), F.lit(level).alias("depth"), F.col("dst").alias("node"), "type", "edge_id", "conflict", F.concat("path", F.array("dst")).alias("path"),
             F.concat("edge_path", F.array("edge_id")).alias("edge_path"), F.coalesce("was_seen", F.lit(False)).alias("was_seen"), F.col("src").alias("from_node"),
-        ).persist()
+        ))
         out = emitted if out is None else out.union(emitted)
         if level == depth:
             break
         first = Window.partitionBy("start", "node").orderBy("path_no")
-        fresh = emitted.filter(~F.col("was_seen")).withColumn("_n", F.row_number().over(first)).filter("_n = 1")
+        fresh = settled(emitted.filter(~F.col("was_seen")).withColumn("_n", F.row_number().over(first)).filter("_n = 1"))
         frontier = fresh.select("start", "node", F.col("path_no").alias("rank"), "path", "edge_path")
         seen = seen.union(fresh.select("start", "node"))
         done = done.join(emitted.groupBy("start").agg(F.count("*").alias("more")), "start", "left").select("start", (F.col("n") + F.coalesce("more", F.lit(0))).cast("int").alias("n"))
-        if most is not None:
-            done = done.filter(F.col("n") < most)
-            if frontier.join(done, "start").isEmpty():  # every start has all its paths
-                break
+        done = settled(done if most is None else done.filter(F.col("n") < most))
+        if frontier.join(done, "start").isEmpty():  # every start has its paths
+            break
     return out
 
 
@@ -79,7 +79,7 @@ def reach(edges: DataFrame, starts: DataFrame, direction: str = "downstream", de
     steps = oriented(edges, direction).select("src", "dst").distinct()
     seen = frontier = starts.select(F.col("id").alias("node"), F.lit(0).alias("depth")).distinct()
     for level in range(1, depth + 1):
-        frontier = frontier.join(steps, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(level))
+        frontier = settled(frontier.join(steps, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(level)))
         seen = seen.union(frontier)
     return seen
 
@@ -127,14 +127,11 @@ def component(edges: DataFrame, focus: str) -> DataFrame:
     Each round adds the neighbours of the last one's nodes and is written to
     the checkpoint folder, until nothing is new.
     """
-    both = edges.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")).union(edges.select("to_id", "from_id")).distinct()
+    both = settled(edges.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")).union(edges.select("to_id", "from_id")).distinct())
     seen = frontier = edges.sparkSession.createDataFrame([(focus,)], "node string")
     while True:
         frontier = frontier.join(both, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti")
-        if edges.sparkSession.sparkContext.getCheckpointDir():
-            frontier = frontier.checkpoint()
-        else:
-            frontier = frontier.persist()
+        frontier = settled(frontier)
         if frontier.isEmpty():
             return seen
         seen = seen.union(frontier)

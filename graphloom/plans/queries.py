@@ -49,7 +49,7 @@ def nodes_by_kind(spark, d):
     return tables.table_nodes(spark, d).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("SELECT type, count(*) AS n, sum(n_evidence) AS evidence FROM edges GROUP BY type")
+@query("SELECT type, count(*) AS n, CAST(sum(n_evidence) AS BIGINT) AS evidence FROM edges GROUP BY type")
 def edges_by_type(spark, d):
     return tables.table_edges(spark, d).groupBy("type").agg(F.count("*").alias("n"), F.sum("n_evidence").alias("evidence"))
 
@@ -75,9 +75,9 @@ def chunk_scan(spark, d):
     return scan.list_chunks(tables.table_chunks(spark, d)).select("id", "node_id", "kind")
 
 
-@query("SELECT id, kind, (id = 'FRANCE' OR name = 'FRANCE') AS exact FROM nodes WHERE lower(id) LIKE '%france%' OR lower(name) LIKE '%france%' ORDER BY exact DESC, kind, id LIMIT 20")
+@query("SELECT id, kind, (id = 'part_12' OR name = 'part_12') AS exact FROM nodes WHERE lower(id) LIKE '%part_12%' OR lower(name) LIKE '%part_12%' ORDER BY exact DESC, kind, id LIMIT 20")
 def find_nodes(spark, d):
-    return scan.find_nodes(tables.table_nodes(spark, d), "FRANCE").select("id", "kind", "exact")
+    return scan.find_nodes(tables.table_nodes(spark, d), "part_12").select("id", "kind", "exact")
 
 
 @query("SELECT kind, count(*) AS n, count(CASE WHEN critical THEN 1 END) AS critical FROM nodes WHERE kind IN ('Function', 'API', 'Table') GROUP BY kind")
@@ -424,7 +424,7 @@ def page_hrefs(spark, d):
     return lines.hrefs(_read(spark, d, "pages"))
 
 
-@query(r"""WITH t AS (SELECT doc_id, nullif(regexp_extract(lower(text), '(?:insert\s+into|update|delete\s+from)\s+["''`]?([a-z_][a-z0-9_.]*)', 1), '') AS w, nullif(regexp_extract(lower(text), 'from\s+["''`]?([a-z_][a-z0-9_.]*)', 1), '') AS r FROM documents)
+@query(r"""WITH t AS (SELECT doc_id, nullif(regexp_extract(lower(text), '(?:insert\s+into|update|delete\s+from)\s+["''`]?([a-z_][a-z0-9_.]*)', 1), '') AS w, nullif(regexp_extract(lower(text), '\bfrom\s+["''`]?([a-z_][a-z0-9_.]*)', 1), '') AS r FROM documents)
 SELECT doc_id, CASE WHEN w IS NOT NULL THEN 'WRITES' ELSE 'READS' END AS access, coalesce(w, r) AS table_name FROM t WHERE coalesce(w, r) IS NOT NULL""")
 def sql_in_text(spark, d):
     return lines.sql_in_text(_read(spark, d, "documents").select("doc_id", "text")).select("doc_id", "access", "table_name")
@@ -484,7 +484,7 @@ def canonical_json(spark, d):
     return _read(spark, d, "events").select("event_id", ids.canonical_json("props").alias("json"))
 
 
-@query("WITH x AS (SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS at FROM conversations) SELECT 'c' || conv_id AS path, turn + 2 AS line, 'POST' AS method, '/u' || at AS route FROM (SELECT x.*, c.role FROM x JOIN conversations c USING (conv_id, turn)) WHERE role = 'assistant' AND at IS NOT NULL")
+@query("WITH x AS (SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS here FROM conversations) SELECT 'c' || conv_id AS path, turn + 2 AS line, 'POST' AS method, '/u' || here AS route FROM (SELECT x.*, c.role FROM x JOIN conversations c USING (conv_id, turn)) WHERE role = 'assistant' AND here IS NOT NULL")
 def openapi_forward_fill(spark, d):
     """Each conversation written as an API description: users' turns are routes, assistants' are verbs."""
     c = _read(spark, d, "conversations")
