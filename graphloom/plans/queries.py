@@ -454,6 +454,14 @@ def cross_repo(spark, d):
     return analyze.cross_repo(edges)
 
 
+@query("WITH e AS (SELECT 'fn:repo:n' || c_nationkey || '/c' || c_custkey AS from_id, 'api:/m/' || c_mktsegment AS to_id, c_custkey % 50 = 0 AS maker FROM customer) SELECT DISTINCT u.from_id, m.from_id AS to_id FROM e m JOIN e u ON m.to_id = u.to_id AND m.maker AND NOT u.maker AND split_part(m.from_id, '/', 1) <> split_part(u.from_id, '/', 1)")
+def cross_repo_all(spark, d):
+    """cross_repo over all customers; an API's pairs are its makers times its users, so the result grows with the square of the table."""
+    from_id = ids.prefix_repo(F.concat(F.lit("fn:c"), "c_custkey"), F.concat(F.lit("n"), "c_nationkey"))
+    edges = _read(spark, d, "customer").select(F.when(F.col("c_custkey") % 50 == 0, "EXPOSES").otherwise("CONSUMES").alias("type"), from_id.alias("from_id"), F.concat(F.lit("api:/m/"), "c_mktsegment").alias("to_id"))
+    return analyze.cross_repo(edges)
+
+
 @query("WITH f AS (SELECT DISTINCT path FROM (SELECT 'services/s' || (o_custkey % 40) || '/c' || o_custkey || '.ts' AS path FROM orders UNION ALL SELECT 'users/u' || user_id || '.ts' FROM events)) SELECT CASE WHEN path LIKE 'services/%' THEN split_part(path, '/', 2) ELSE 'users' END AS service, count(*) AS files FROM f GROUP BY 1")
 def services(spark, d):
     o = _read(spark, d, "orders").select(F.concat(F.lit("services/s"), F.col("o_custkey") % 40, F.lit("/c"), "o_custkey", F.lit(".ts")).alias("path"))

@@ -109,3 +109,15 @@ def test_against_sql(spark, name):
     got, want = QUERIES[name](spark, d).toPandas(), con.execute(ORACLES[name]).df()
     rows = lambda x: sorted(tuple(map(str, r)) for r in x[sorted(x.columns)].astype(object).where(x[sorted(x.columns)].notna(), None).values)
     assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
+
+
+def test_cross_repo_reads_every_customer(spark):
+    d = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_nationkey", "c_mktsegment").collect()
+    name = lambda r: f"fn:repo:n{r.c_nationkey}/c{r.c_custkey}"
+    want = {(name(u), name(m)) for m in rows for u in rows if m.c_custkey % 50 == 0 and u.c_custkey % 50 and m.c_mktsegment == u.c_mktsegment and m.c_nationkey != u.c_nationkey}
+    got = [tuple(r) for r in QUERIES["cross_repo_all"](spark, d).select("from_id", "to_id").collect()]
+    con = duckdb.connect()
+    con.execute(f"create view customer as select * from '{d}/customer.parquet'")
+    assert len(got) == len(want) and set(got) == want == set(con.execute(ORACLES["cross_repo_all"]).fetchall())
+    assert any(int(u.rsplit("/c", 1)[1]) % 10 for u, _ in got)
