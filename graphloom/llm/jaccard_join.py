@@ -16,7 +16,9 @@ their symmetric difference: at most d elements, where d follows from the sizes.
 * Sets that agree in a block are compared with the one of them that shares the
   most blocks, and after a first round of components, only across components.
   Groups of near copies thus cost about as many comparisons as they have
-  members, and no link is missed.
+  members, and no component is missed.
+* Links are counted afterwards, since each lies within a component: a
+  component's whole sets meet in cells, and only counts leave them.
 
 Equal sets are one class from the start: copies meet through their class only.
 """
@@ -47,6 +49,10 @@ REMEMBERED = 200_000
 TOGETHER = 4096
 #: Pairs of one document that a task verifies, and bits of the table that thins out documents before they are joined.
 FAN, BITS = 64, 1 << 24
+#: Members, and elements of their sets, that a task counts the links of in one go; larger components are split into pairs of half as many.
+CELL, ELEMENTS = 2048, 4_000_000
+#: Elements that so many sets share are counted as pairs, more common ones by a product of matrices.
+SHARED = 16
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -314,14 +320,79 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, n_links.
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """The number of elements that each two of the sets share; the diagonal is not filled."""
+    m = len(sets)
+    out = np.zeros((m, m), np.int64)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(m), [len(x) for x in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    begin = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+    size = np.diff(np.append(begin, len(flat)))
+    each = np.repeat(size, size)
+    few = (each > 1) & (each <= SHARED)
+    at, who = np.repeat(np.arange(len(size)), size)[few], owner[few]
+    for d in range(1, min(SHARED, len(at))):
+        same = at[d:] == at[:-d]
+        if not same.any():
+            break
+        np.add.at(out.reshape(-1), who[:-d][same] * m + who[d:][same], 1)
+    many = each > SHARED
+    at = np.repeat(np.cumsum(size > SHARED) - 1, size)[many]
+    who = owner[many]
+    for lo in range(0, int(at[-1]) + 1 if len(at) else 0, 2048):
+        a, b = np.searchsorted(at, (lo, lo + 2048))
+        x = np.zeros((m, 2048), np.float32)
+        x[who[a:b], at[a:b] - lo] = 1
+        out += np.triu(x @ x.T, 1).astype(np.int64)
+    return out + out.T
+
+
+def _counted(cells: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """How many links each class has in each cell: (cls, n_links).
+
+    Rows (label, lo, hi, own, cls, text) come sorted by (label, lo, hi, cls). Where lo and hi differ, only
+    members whose own parts differ are compared, so that each two meet in one cell.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, part, names, sets = None, [], [], []
+
+        def handed() -> pa.RecordBatch:
+            n, own = np.array([len(x) for x in sets]), np.array(part)
+            linked = overlaps(sets) * (den + num) >= (n[:, None] + n[None, :]) * num
+            np.fill_diagonal(linked, False)
+            if at[1] != at[2]:
+                linked &= own[:, None] != own[None, :]
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(linked.sum(1, dtype=np.int64))], names=["cls", "n_links"])
+
+        for rows in (batch.slice(lo, 256) for batch in batches for lo in range(0, batch.num_rows, 256)):
+            for label, lo, hi, own, cls, text in zip(*(rows.column(k).to_pylist() for k in range(6)), strict=True):
+                if (label, lo, hi) != at:
+                    if len(sets) > 1:
+                        yield handed()
+                    at, part, names, sets = (label, lo, hi), [], [], []
+                if names and names[-1] == cls:  # a repeated row
+                    continue
+                h = shingle_set(text, width)
+                if xxhash.xxh3_128_digest(h.tobytes()) == cls:  # else another row with that id
+                    part.append(own)
+                    names.append(cls)
+                    sets.append(h)
+        if len(sets) > 1:
+            yield handed()
+
+    met = cells.repartition("label", "lo", "hi").sortWithinPartitions("label", "lo", "hi", "cls")
+    return met.select("label", "lo", "hi", "own", "cls", "text").mapInArrow(run, "cls binary, n_links long").groupBy("cls").agg(F.sum("n_links").alias("n_links"))
+
+
+def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, count: bool = True) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id and, if asked to count, n_links.
 
     Documents link when den * |A & B| >= num * |A | B| for their sets of
     distinct word shingles; component_id is the smallest doc_id that links
-    lead to, the document's own included. n_links counts the verified links of
-    the document's class to other classes; links that components made needless
-    to check are not counted.
+    lead to, the document's own included. n_links counts all links of the
+    document's class to other classes that have a doc_id.
 
     Null and empty texts and texts without words have no set, 0 shingles, no
     links, and their own id. Repeated rows come out once each and share a class.
@@ -349,18 +420,20 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
             pairs = pairs.join(classes.select(F.col("short").alias(name), F.col("node").alias(side), F.col("n").alias(f"{side}_n"), F.col("cls").alias(f"{side}_cls")), name)
         return cut(pairs.filter(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))).select("a", "b", "a_cls", "b_cls", "a_n", "b_n"))
 
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        """The documents (doc_id, text) of about the wanted ids: a table of at most BITS / 64 rows thins the others out before they are shuffled."""
+        place = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(BITS))
+        bits = wanted.select(place.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("bits"))
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), place.alias("at")).withColumn("word", F.shiftright("at", 6))
+        return texts.join(F.broadcast(bits), "word").filter(F.call_function("getbit", "bits", (F.col("at") % 64).cast("int")) == 1).select("doc_id", "text")
+
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs that link, by their whole sets: a document's texts meet those of its partners, FAN at a time."""
         fan = pairs.groupBy("a").agg(F.count("*").alias("fan"))
         pairs = pairs.join(fan, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("fan") / FAN)))
         cols = ["a", "salt", F.col("a").alias("doc_id"), F.col("a_cls").alias("cls"), F.lit(None).cast("long").alias("b"), F.lit(0).cast("long").alias("total")]
         wanted = cut(pairs.select(*cols).distinct().union(pairs.select("a", "salt", "b", "b_cls", "b", (F.col("a_n") + F.col("b_n")).alias("total"))))
-        # a table of at most BITS / 64 rows thins the documents out before they are shuffled
-        place = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(BITS))
-        bits = wanted.select(place.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("bits"))
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), place.alias("at")).withColumn("word", F.shiftright("at", 6))
-        texts = texts.join(F.broadcast(bits), "word").filter(F.call_function("getbit", "bits", (F.col("at") % 64).cast("int")) == 1).select("doc_id", "text")
-        met = wanted.join(texts, "doc_id").select("a", "salt", "b", "total", "cls", "text")
+        met = wanted.join(texts_of(wanted), "doc_id").select("a", "salt", "b", "total", "cls", "text")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at, own = None, None
@@ -393,6 +466,20 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
         cells = F.when(F.col("size") <= TOGETHER, F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda x: F.least(x, own) * n + F.greatest(x, own)))
         return members.select(F.explode(cells).alias("part"), "key", "short", "label").select(F.when(F.col("part") == 0, F.col("key")).otherwise(F.xxhash64("key", "part")).alias("cell"), "short", "label")
 
+    def degrees(links: DataFrame, label: DataFrame) -> DataFrame:
+        """Links of each class (cls, n_links). Where all of a component's pairs are links already, that is its size less 1; the others' sets meet anew."""
+        members = classes.filter(F.col("node").isNotNull()).join(label, "node").select("label", "node", "cls", "n")
+        pairs = links.select(F.least("a", "b").alias("node"), F.greatest("a", "b").alias("b")).distinct().join(label, "node").groupBy("label").agg(F.count("*").alias("pairs"))
+        sizes = members.groupBy("label").agg(F.count("*").alias("size"), F.count_distinct("node").alias("nodes"), F.sum("n").alias("total")).join(pairs, "label")
+        members = cut(members.join(sizes, "label").withColumn("whole", (F.col("size") == F.col("nodes")) & (F.col("pairs") * 2 == F.col("size") * (F.col("size") - 1))))
+        whole = members.filter("whole").select("cls", (F.col("size") - 1).alias("n_links"))
+        left = members.filter(~F.col("whole"))
+        parts = F.when((F.col("size") <= CELL) & (F.col("total") <= ELEMENTS), 1).otherwise(F.greatest(F.ceil(F.col("size") * 2 / CELL), F.ceil(F.col("total") * 2 / ELEMENTS))).cast("long")
+        left = left.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("cls", F.lit(31)), "parts"))
+        wanted = left.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select("label", F.least("own", "part").alias("lo"), F.greatest("own", "part").alias("hi"), "own", "cls", F.col("node").alias("doc_id"))
+        met = wanted.join(texts_of(left.select(F.col("node").alias("doc_id")).distinct()), "doc_id")
+        return cut(_counted(met, width, num, den).union(whole))
+
     # first each key's classes against the one of them that shares the most keys, as an original does among its
     # edited copies: cells of one such class, labelled 0, and of others, labelled 1
     members = cut(meet.select("key", F.col("other").alias("short")).union(meet.select("key", "first").distinct()))
@@ -412,9 +499,12 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     if more.limit(1).count():
         links = cut(links.union(more).distinct())
         label = components(links)
-    degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
-    named = classes.select("cls", "node").join(label, "node", "left").join(degree, "node", "left").select("cls", F.coalesce("label", "node").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return scan.select("doc_id", "n", "cls").join(named, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = classes.select("cls", "node").join(label, "node", "left").select("cls", F.coalesce("label", "node").alias("component_id"))
+    found = scan.select("doc_id", "n", "cls").join(named, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "cls")
+    if not count:
+        return found.drop("cls")
+    return found.join(degrees(links, label), "cls", "left").select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
 
 
 def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -422,7 +512,7 @@ def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) ->
 
     Of rows that repeat that id, one stays. Rows without a doc_id stay.
     """
-    found = jaccard_components(docs, width, num, den)
+    found = jaccard_components(docs, width, num, den, count=False)
     gone = found.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     return left.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(left.filter(F.col("doc_id").isNull()))

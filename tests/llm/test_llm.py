@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 public_tokenizers = pytest.importorskip("public_tokenizers")
 from tokenizers import Tokenizer
 
-from graphloom.llm import chat, html_extract, langid, packing, pii, quality
+from graphloom.llm import chat, html_extract, jaccard_join, langid, packing, pii, quality
 from graphloom.llm.decontaminate import decontaminate, leaks
 from graphloom.llm.jaccard_join import jaccard_components, keep_one
 from graphloom.llm.sharding import jump, shard_documents
@@ -100,6 +100,21 @@ def test_jaccard_join(docs, empty):
     assert jaccard_components(empty).count() == 0
 
 
+@pytest.mark.parametrize("cell", [2048, 8])
+def test_links_inside_components_count(spark, monkeypatch, cell):
+    monkeypatch.setattr(jaccard_join, "CELL", cell)
+    base = [f"w{k}" for k in range(200)]
+    edited = lambda k, n, step=1: " ".join(f"{w}x{k}" if i in range(k * step, k * step + n) else w for i, w in enumerate(base))
+    texts = [edited(k, 1, 4) for k in range(40)] + [edited(k, 9) for k in range(1, 180, 11)] + ["v " * 90 + text(5, 80), *(text(6, 90) + f" {x}" for x in "abc")]
+    rows = list(enumerate([*texts, texts[3], texts[3], texts[50]], 1))
+    sets = {frozenset(tuple(w[k : k + 4]) for k in range(len(w) - 3)) for w in (t.split() for _, t in rows)}
+    links = {s: sum(100 * len(s & o) >= 85 * len(s | o) for o in sets if o != s) for s in sets}
+    want = {i: links[frozenset(tuple(w[k : k + 4]) for k in range(len(w) - 3))] for i, w in ((i, t.split()) for i, t in rows)}
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 4, 85, 100).collect()
+    assert {r.doc_id: r.n_links for r in got} == want and sorted(want.values())[0] == 0 and want[1] >= 39
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 4, 85, 100)
+
+
 def test_decontamination(spark, docs, empty):
     items = spark.createDataFrame([(1, text(3, 5000).upper()[:400]), (2, text(9, 40)), (3, None), (4, "two words")], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in leaks(docs, items).collect()} == {(11, 1)}
