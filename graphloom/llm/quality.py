@@ -4,8 +4,10 @@ Every language has two references, counted over all labelled documents of the
 corpus: a histogram of classes of bytes, and one of its common words (those
 with at least a fixed share of its words, so at most 1 / SHARE of them). A
 document is held against each language's pair by the Jensen-Shannon distance
-and takes the nearest. Short texts scatter by chance, so that each comparison
-has its own least length. Two base rules come first: too few words, or too many
+and takes the nearest. A language whose documents are too few for a reference
+is not judged by the others' references: its documents pass this rule. Short
+texts scatter by chance, so that each comparison has its own least length. Two
+base rules come first: too few words, or too many
 words in three-word windows that repeat.
 """
 
@@ -31,8 +33,8 @@ SHARE, WORD_CHARS = 0.002, 16
 CHAR_FAR, CHAR_SHORT = 0.27, 0.3
 WORD_FAR, WORD_SHORT = 0.32, 1.0
 LEAST_CHARS, LEAST_COMMON = 200, 50
-#: Languages need this share of all labelled documents to become a reference.
-LANGUAGE_SHARE = 0.005
+#: Languages need so many labelled documents and words to become a reference.
+LANGUAGE_DOCS, LANGUAGE_WORDS = 10, 2000
 #: Distinct words that a task gathers before it hands them on.
 FLUSH = 250_000
 
@@ -125,9 +127,9 @@ class Reference:
 def references(docs: DataFrame, share: float = SHARE) -> list[Reference]:
     """The references of all languages, counted over every labelled document.
 
-    At most 1 / share common words a language and 1 / LANGUAGE_SHARE languages
-    come to the driver, however large the corpus. Without labels, all documents
-    together are one reference.
+    At most 1 / share common words a language come to the driver, however large
+    the corpus. Where no language has enough documents, those without a label
+    are one reference.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,17 +169,20 @@ def references(docs: DataFrame, share: float = SHARE) -> list[Reference]:
     parts = docs.select(F.col("text").cast("string"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))
     totals = parts.mapInArrow(count, "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n"))
     totals = cut(totals)
-    sizes = {r[0]: r[1] for r in totals.filter(F.col("item") == f"c{CLASSES + 1}").groupBy("lang").agg(F.sum("n")).orderBy(F.desc("sum(n)"), "lang").limit(int(1 / LANGUAGE_SHARE) + 1).collect()}
-    labelled = sum(n for lang, n in sizes.items() if lang)
-    langs = [lang for lang, n in sizes.items() if lang and n >= LANGUAGE_SHARE * labelled] or list(sizes)
+    of = lambda i: F.sum(F.when(F.col("item") == f"c{i}", F.col("n")))
+    sizes = totals.groupBy("lang").agg(of(CLASSES).alias("words"), of(CLASSES + 1).alias("docs"))
+    found = [r[0] for r in sizes.filter((F.col("lang") == "") | (F.col("docs") >= LANGUAGE_DOCS) & (F.col("words") >= LANGUAGE_WORDS)).select("lang").collect()]
+    langs = [lang for lang in found if lang] or found
     if not langs:
         return []
     count_of = totals.filter(F.col("lang").isin(langs))
     whole = count_of.filter(F.col("item") == f"c{CLASSES}").select("lang", F.col("n").alias("whole"))
     kept = count_of.join(F.broadcast(whole), "lang").filter(F.col("item").startswith("c") | (F.col("n") >= share * F.col("whole"))).select("lang", "item", "n").collect()
     out = []
-    for lang in sorted(langs):
-        own = {r[1]: r[2] for r in kept if r[0] == lang}
+    items: dict[str, dict[str, int]] = {lang: {} for lang in sorted(langs)}
+    for lang, item, n in kept:
+        items[lang][item] = n
+    for lang, own in items.items():
         common = sorted((k for k in own if k[0] == "w"), key=lambda k: (-own[k], k))
         counts = [own[k] for k in common]
         out.append(Reference(lang, np.array([own.get(f"c{i}", 0) for i in range(CLASSES)], float), {k[1:].encode(): i for i, k in enumerate(common)}, np.array([*counts, max(0, own.get(f"c{CLASSES}", 0) - sum(counts))], float)))
@@ -217,7 +222,9 @@ def judge(docs: DataFrame, refs: list[Reference] | None = None) -> DataFrame:
     """One row per document: the base rules' measures, distances and the verdict.
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, base_failed, kept, char_distance, word_distance. A null
+    n_repeat_words, base_failed, kept, char_distance, word_distance. Documents
+    labelled with a language that has no reference are kept whatever their
+    distances; those without a label are held against all references. A null
     text has no words and fails, as an empty one does. Repeated rows are judged
     alike, each for itself. An empty table gives no rows; other columns are
     ignored.
@@ -227,14 +234,16 @@ def judge(docs: DataFrame, refs: list[Reference] | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
+        held = {"", None, *(r.lang for r in known)}
         for rows in batches:
             out = []
-            for doc, cell in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
+            for doc, cell, lang in zip(rows.column(0).to_pylist(), rows.column(1), rows.column(2).to_pylist(), strict=True):
                 raw, words, m = measures(cell.as_py())
                 failed = m[0] < LEAST_WORDS or 100 * m[4] > REPEAT_PERCENT * m[0]
                 char, word = distances(raw, words, known)
-                out.append((doc, *m, failed, not failed and near(m[0], char, word), char, word))
+                out.append((doc, *m, failed, not failed and (lang not in held or near(m[0], char, word)), char, word))
             kinds = [pa.int64()] * 6 + [pa.bool_()] * 2 + [pa.float64()] * 2
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 10, kinds, strict=True)], names=list(names))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, ", ".join(f"{n} {'boolean' if n in ('base_failed', 'kept') else 'double' if n.endswith('distance') else 'long'}" for n in names))
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), lang.alias("lang")).mapInArrow(run, ", ".join(f"{n} {'boolean' if n in ('base_failed', 'kept') else 'double' if n.endswith('distance') else 'long'}" for n in names))

@@ -207,6 +207,18 @@ def test_quality(spark, docs, empty):
     assert quality.judge(docs).count() == len(ROWS) and quality.judge(empty).count() == 0
 
 
+def test_quality_keeps_rare_languages(spark):
+    greek = "άλφα βήτα γάμμα δέλτα έψιλον ζήτα ήτα θήτα ιώτα κάππα λάμδα μι νι ξι όμικρον πι ρο σίγμα ταυ ύψιλον φι χι ψι ωμέγα".split()
+    russian = "азъ буки веди глаголь добро есть живете зело земля иже како люди мыслете наш он покой".split()
+    of = lambda words, seed: " ".join(np.random.default_rng(seed).choice(words, 250))
+    rows = [(i, text(i, 120), "en") for i in range(2995)] + [(3000 + i, of(greek, i), "el") for i in range(12)] + [(3100 + i, of(russian, i), "ru") for i in range(3)]
+    rows += [(3200, "".join(chr(33 + (i * 37) % 90) + (" " if i % 7 == 0 else "") for i in range(1500)), "el"), (3201, text(1, 10), "ru")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    assert [r.lang for r in quality.references(d)] == ["el", "en"]
+    kept = {r.doc_id: r.kept for r in quality.judge(d).collect()}
+    assert all(k for i, k in kept.items() if i < 3200) and not kept[3200] and not kept[3201]
+
+
 def test_pii_digest_query(spark):
     from graphloom.llm.queries import op4_pii
 
