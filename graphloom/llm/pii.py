@@ -317,8 +317,8 @@ def find_pii(docs: DataFrame, field: Field | None = None) -> DataFrame:
 def redact(docs: DataFrame, field: Field | None = None, text: str = "text") -> DataFrame:
     """The documents with each span replaced by its kind in angle brackets; a column n_chars is counted anew.
 
-    Where spans overlap, the earlier one counts, and of two that start
-    together the longer. All other columns and all rows stay; null texts stay null.
+    Overlapping spans go as one, under the kind of the earliest, and of two that
+    start together the longer. All other columns and all rows stay; null texts stay null.
     """
     shared = docs.sparkSession.sparkContext.broadcast(field or learn(docs.select(F.col(text).alias("text"))))
     at = docs.columns.index(text)
@@ -334,7 +334,7 @@ def redact(docs: DataFrame, field: Field | None = None, text: str = "text") -> D
                     for kind, a, b, _ in sorted(found, key=lambda s: (s[1], -s[2])):
                         if a >= pos:
                             parts += [t[pos:a], f"<{kind}>"]
-                            pos = b
+                        pos = max(pos, b)
                     out.append("".join([*parts, t[pos:]]) if parts else t)
             cols = list(rows.columns)
             cols[at] = pa.array(out, rows.schema.field(at).type)

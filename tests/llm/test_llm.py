@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,6 +149,20 @@ def test_pii(docs, empty):
     assert "4111" not in red[12] and "<card>" in red[12] and red[5] is None and red[11] == dict(ROWS)[11]
 
 
+def test_redaction_of_overlapping_spans(spark, monkeypatch):
+    t = "at 10.0.0.0 4111 1111 1111 1111 end"
+    spans = [("ip", 3, 11, True), ("card", 9, 31, True), ("phone", 12, 16, True)]
+
+    class Frame:  # redact's own loop, fed with spans that overlap
+        sparkSession, columns, schema = spark, ["text"], None
+
+        def mapInArrow(self, run, _):
+            return [x.column(0).to_pylist() for x in run([pa.record_batch([pa.array([t])], names=["text"])])]
+
+    monkeypatch.setattr(pii, "find", lambda texts, _: [spans for _ in texts])
+    assert pii.redact(Frame(), object.__new__(pii.Field)) == [["at <ip> end"]]
+
+
 def test_language_held_out(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
