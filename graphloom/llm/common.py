@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
 #: White space that ends a word in the contracts, as a Java and RE2 class.
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 
@@ -21,11 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name below the one that driver and executors share.
 
-    The cluster names it in spark.checkpoint.dir; only where that is unset, as
-    in tests, a temporary folder stands in.
+    The cluster names it in spark.checkpoint.dir. Only where that is unset and
+    Spark runs in one process, as in tests, a temporary folder stands in.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="graphloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/graphloom/{uuid.uuid4().hex}"
@@ -49,15 +56,28 @@ def held_out(doc_id: Column | str) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def in_batches(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For mapInArrow: apply fn to each batch with rows."""
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int] | None:
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def freed(run: Batches, forget: Callable[[], None]) -> Batches:
+    """For mapInArrow: run, which gives its caches' memory back when a task ends.
+
+    Spark's Python workers outlive their tasks and go on to others; what a task
+    has cached must not weigh on the stages that follow.
+    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None:
-                yield out
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            forget()
+            pa.default_memory_pool().release_unused()
+            if trim := _trim():
+                trim(0)
 
-    return run
+    return task
 
 
 def unit_hash(c: Column, seed: int) -> Column:

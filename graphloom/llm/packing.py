@@ -19,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import freed
 from .wordbpe import tokenizer
 
 #: Tokens in a window, and the id that ends each document.
@@ -165,4 +166,4 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
         packer.last()
         yield packer.take()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(freed(run, lambda: tokenizer(tokenizer_path).forget()), PIECES)

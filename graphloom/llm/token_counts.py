@@ -16,12 +16,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, freed
 from .wordbpe import splits_on_space, tokenizer
 
 #: Pre-tokens in the broadcast dictionary, and the longest of them in signs:
 #: at most a few MB, however large the corpus.
 HOT, HOT_CHARS = 120_000, 40
+#: Chunks that a task remembers.
+REMEMBERED = 250_000
 #: Distinct pre-tokens that a task gathers before it hands them on.
 FLUSH = 250_000
 
@@ -58,8 +60,9 @@ def vocabulary(docs: DataFrame, tokenizer_path: str) -> DataFrame:
             n = [len(tok.encode_pre(p)) // 4 for p in rows.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(n, pa.int32())], names=["pre", "uses", "pieces"])
 
-    parts = docs.select(F.col("text").cast("string")).mapInArrow(gather, "pre string, uses long")
-    return parts.groupBy("pre").agg(F.sum("uses").alias("uses")).mapInArrow(pieces, "pre string, uses long, pieces int")
+    free = lambda: tokenizer(tokenizer_path).forget()
+    parts = docs.select(F.col("text").cast("string")).mapInArrow(freed(gather, free), "pre string, uses long")
+    return parts.groupBy("pre").agg(F.sum("uses").alias("uses")).mapInArrow(freed(pieces, free), "pre string, uses long, pieces int")
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, hot: int = HOT) -> DataFrame:
@@ -93,9 +96,11 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, hot: i
                     rare.append(p)
                 else:
                     total += n
-            if len(cache) >= 500_000:
-                cache.clear()
-            got = cache[chunk] = (total, tuple(rare)) if rare else total
+            got = (total, tuple(rare)) if rare else total
+            if len(chunk) <= HOT_CHARS:
+                if len(cache) >= REMEMBERED:
+                    cache.clear()
+                cache[chunk] = got
             return got
 
         for rows in batches:
@@ -131,7 +136,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, hot: i
                 names=["uid", "doc_id", "n_bytes", "n", "pre", "freq"],
             )
 
-    rows = docs.mapInArrow(frequencies, "uid long, doc_id long, n_bytes long, n long, pre string, freq long")
+    rows = docs.mapInArrow(freed(frequencies, lambda: None), "uid long, doc_id long, n_bytes long, n long, pre string, freq long")
     joined = rows.join(words.select("pre", "pieces"), "pre", "left")
     per_doc = joined.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.sum("n_bytes").alias("n_bytes"), F.sum(F.col("n") + F.col("freq") * F.coalesce("pieces", F.lit(0))).alias("n_tokens"))
     return per_doc.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

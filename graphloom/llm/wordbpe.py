@@ -24,8 +24,8 @@ _LATIN = "à-öø-ÿß"
 _PRE = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[a-z{_LATIN}]+|[0-9]|[!-/:-@\[-`{{-~]+").findall
 _PLAIN = re.compile(rf"[\x21-\x7e{_LATIN}]*").fullmatch
 
-#: Entries of a cache's younger half; when it is full it becomes the older half.
-CACHE_CHUNKS, CACHE_PRE = 350_000, 500_000
+#: Entries of a cache's younger half, and the longest entry: some 100 MB in all. A full younger half becomes the older one.
+CACHE_CHUNKS, CACHE_PRE, CACHE_LENGTH = 120_000, 150_000, 48
 
 
 def _byte_signs() -> dict[int, str]:
@@ -70,11 +70,20 @@ class ChunkTokenizer:
         self._hint = os.path.commonprefix(list(self._special)) if parts else b""
         self._signs = _byte_signs()
         self._wide = {i: s for i, s in self._signs.items() if chr(i) != s}
+        self._hint_text = self._hint.decode().lower()
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the caches."""
         self._pre: dict[str, bytes] = {}
         self._pre_old: dict[str, bytes] = {}
         self._chunk: dict[bytes, bytes] = {}
         self._chunk_old: dict[bytes, bytes] = {}
 
+    def _marked(self, text: str) -> bool:
+        """Whether a special mark, or what looks like the beginning of one, may stand in the text."""
+        return bool(self._special) and self._hint_text in text.lower()
+
     def chunks(self, text: str) -> list[bytes]:
         """The text's chunks, ASCII letters in lower case, marks on their own."""
         raw = text.encode("utf-8", "replace")
@@ -93,7 +102,7 @@ class ChunkTokenizer:
         if chunk.isalpha():
             return [chunk.decode()]
         text = chunk.decode("utf-8", "replace")
-        if b"<" in chunk and (chunk in self._special or self._hint in chunk.lower()):
+        if self._marked(text):
             return [text]
         low = text if text.isascii() else text.lower()
         found = _PRE(low)
@@ -101,30 +110,30 @@ class ChunkTokenizer:
 
     def encode_pre(self, pre: str) -> bytes:
         """Little-endian 32-bit ids of one pre-token."""
-        if pre.isascii():
-            if not pre.isalnum() and (not _PLAIN(pre) or "<" in pre and self._hint.decode() in pre.lower()):
-                return array.array("I", self._full.encode(pre, add_special_tokens=False).ids).tobytes()
-        elif _PLAIN(pre):
-            pre = pre.encode().decode("latin-1").translate(self._wide)
-        else:
+        if not pre.isalnum() and self._marked(pre) or not _PLAIN(pre):
             return array.array("I", self._full.encode(pre, add_special_tokens=False).ids).tobytes()
+        if not pre.isascii():
+            pre = pre.encode().decode("latin-1").translate(self._wide)
         return array.array("I", [t.id for t in self._model.tokenize(pre)]).tobytes()
 
     def ids_of_pre(self, pre: str) -> bytes:
         got = self._pre.get(pre)
         if got is None:
-            if len(self._pre) >= CACHE_PRE:
-                self._pre, self._pre_old = {}, self._pre
-            got = self._pre[pre] = self._pre_old.get(pre) or self.encode_pre(pre)
+            got = self._pre_old.get(pre) or self.encode_pre(pre)
+            if len(pre) <= CACHE_LENGTH:
+                if len(self._pre) >= CACHE_PRE:
+                    self._pre, self._pre_old = {}, self._pre
+                self._pre[pre] = got
         return got
 
     def _fill(self, chunk: bytes) -> bytes:
-        if len(self._chunk) >= CACHE_CHUNKS:
-            self._chunk, self._chunk_old = {}, self._chunk
         got = self._chunk_old.get(chunk)
         if got is None:
             got = b"".join(map(self.ids_of_pre, self.pre_tokens(chunk)))
-        self._chunk[chunk] = got
+        if len(chunk) <= CACHE_LENGTH:
+            if len(self._chunk) >= CACHE_CHUNKS:
+                self._chunk, self._chunk_old = {}, self._chunk
+            self._chunk[chunk] = got
         return got
 
     def ids(self, text: str) -> bytes:
