@@ -10,9 +10,10 @@ their symmetric difference: at most d elements, where d follows from the sizes.
 * Blocks with hardly any elements are alike by chance. A set that has at most
   `spare` of them needs none: one of its other blocks still agrees. Only sets
   with more of them emit these blocks too, under keys of their own.
-* Before verification, the Hamming distance of two short bit sketches, in which
-  each element flips one bit, must be at most d: it never exceeds the symmetric
-  difference, so no linked pair is lost.
+* Before verification, the Hamming distance of two bit sketches, in which each
+  element flips one bit, must be at most d: it never exceeds the symmetric
+  difference, so no linked pair is lost. Sketches grow with their sets; of two
+  lengths, the longer one is folded to the shorter, which keeps parities.
 * Sets that agree in a block are compared with the one of them that shares the
   most blocks, and after a first round of components, only across components.
   Groups of near copies thus cost about as many comparisons as they have
@@ -21,6 +22,9 @@ their symmetric difference: at most d elements, where d follows from the sizes.
   component's whole sets meet in cells, and only counts leave them.
 
 Equal sets are one class from the start: copies meet through their class only.
+Elements are 64-bit hashes of shingles, and sets compare by them. Classes meet
+under 64-bit names of which no two linked ones must be equal (for 1e11 linked
+pairs, a chance of 5e-9); links join ids that are unique.
 """
 
 from __future__ import annotations
@@ -31,18 +35,20 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, freed
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Elements that a block needs to count as more than hardly any.
 LEAST = 2
 #: Size bands grow by this factor.
 RATIO = 1.5
-#: Every set has a sketch of 256 bits, and from so many elements on a second one of so many bits.
-LONG = {100: 1024, 500: 2048, 1500: 8192}
+#: Every set has a sketch of 256 bits, and from so many elements on a second one of at least twice as many bits as elements.
+LONG = 100
+#: Words' hashes that a task remembers, and the longest of these words in bytes.
+WORDS, WORD_BYTES = 200_000, 40
 #: Classes whose keys a task remembers having emitted.
 REMEMBERED = 200_000
 #: Members of a key that are compared with each other in one go; larger keys are split into pairs of half as many.
@@ -65,9 +71,11 @@ class _Words(dict):
     """Hashes of words, kept while there is room."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 300_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= WORD_BYTES:
+            if len(self) >= WORDS:
+                self.clear()
+            self[word] = h
         return h
 
 
@@ -76,6 +84,15 @@ def _words() -> _Words:
     return _Words()
 
 
+def _forget() -> None:
+    _words().clear()
+
+
+def row_key(docs: DataFrame) -> Column:
+    """A number that a row's doc_id and text decide."""
+    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
+
+
 def shingle_set(text: str | None, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's word shingles.
 
@@ -175,18 +192,22 @@ def bit_sketch(h: np.ndarray, bits: int) -> bytes:
 
 
 def high_sketch(h: np.ndarray) -> bytes | None:
-    bits = max((b for least, b in LONG.items() if len(h) >= least), default=0)
-    return bit_sketch(h, bits) if bits else None
+    return bit_sketch(h, 1 << max(10, len(h).bit_length() + 1)) if len(h) >= LONG else None
+
+
+def fold(sketch: np.ndarray, words: int) -> np.ndarray:
+    """A sketch in 64-bit words as the shorter one of the same set, of so many words."""
+    return sketch if len(sketch) == words else np.bitwise_xor.reduce(sketch.reshape(-1, words))
 
 
 def _scan(docs: DataFrame, width: int, plan: Plan) -> DataFrame:
-    """One row per document: set size, class, short sketches, block keys (null where this task has emitted them)."""
+    """One row per row (doc_id, row, text): set size, class, sketches, block keys (null where this task has emitted them)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for rows in batches:
+        for rows in (batch.slice(lo, 1024) for batch in batches for lo in range(0, batch.num_rows, 1024)):
             n, cls, low, high, keys = [], [], [], [], []
-            for cell in rows.column(1):
+            for cell in rows.column(2):
                 h = shingle_set(cell.as_py(), width)
                 n.append(len(h))
                 if not len(h):
@@ -206,11 +227,11 @@ def _scan(docs: DataFrame, width: int, plan: Plan) -> DataFrame:
                 high.append(high_sketch(h))
                 keys.append(block_keys(h, plan).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(low, pa.binary()), pa.array(high, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "cls", "low", "high", "keys"],
+                [rows.column(0), rows.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(low, pa.binary()), pa.array(high, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["doc_id", "row", "n", "cls", "low", "high", "keys"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, cls binary, low binary, high binary, keys array<long>")
+    return docs.mapInArrow(freed(run, _forget), "doc_id long, row long, n long, cls binary, low binary, high binary, keys array<long>")
 
 
 def _meetings(keyed: DataFrame) -> DataFrame:
@@ -261,14 +282,14 @@ def _compared(members: DataFrame, plan: Plan) -> DataFrame:
                 if sketch == "low":
                     j = j[np.bitwise_count(low[j] ^ low[i]).sum(1, dtype=np.int64) * (plan.den + plan.num) <= most]
                 elif width[i]:
-                    both = width[j] == width[i]  # sets of sketches that differ in length have the short ones only
-                    own = np.frombuffer(high[i], np.uint64)
-                    for lo in range(0, len(j), 512):
-                        part = np.flatnonzero(both[lo : lo + 512]) + lo
-                        if len(part):
-                            other = np.frombuffer(b"".join([high[k] for k in j[part].tolist()]), np.uint64).reshape(len(part), -1)
-                            both[part] = np.bitwise_count(other ^ own).sum(1, dtype=np.int64) * (plan.den + plan.num) > most[part]
-                    j = j[~both]
+                    own, far = np.frombuffer(high[i], np.uint64), np.zeros(len(j), bool)
+                    for size in np.unique(width[j][width[j] > 0]).tolist():
+                        least = min(size, width[i]) // 8
+                        mine, alike = fold(own, least), np.flatnonzero(width[j] == size)
+                        for part in np.array_split(alike, -(-len(alike) * size // (1 << 20))):
+                            other = np.frombuffer(b"".join([high[k] for k in j[part].tolist()]), np.uint64).reshape(len(part), -1, least)
+                            far[part] = np.bitwise_count(np.bitwise_xor.reduce(other, axis=1) ^ mine).sum(1, dtype=np.int64) * (plan.den + plan.num) > most[part]
+                    j = j[~far]
             if len(j):
                 yield np.minimum(short[i], short[j]), np.maximum(short[i], short[j])
 
@@ -383,32 +404,24 @@ def _counted(cells: DataFrame, width: int, num: int, den: int) -> DataFrame:
             yield handed()
 
     met = cells.repartition("label", "lo", "hi").sortWithinPartitions("label", "lo", "hi", "cls")
-    return met.select("label", "lo", "hi", "own", "cls", "text").mapInArrow(run, "cls binary, n_links long").groupBy("cls").agg(F.sum("n_links").alias("n_links"))
+    return met.select("label", "lo", "hi", "own", "cls", "text").mapInArrow(freed(run, _forget), "cls binary, n_links long").groupBy("cls").agg(F.sum("n_links").alias("n_links"))
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, count: bool = True) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id and, if asked to count, n_links.
+def _joined(docs: DataFrame, width: int, plan: Plan) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """What jaccard_components and keep_one build on: rows, classes, links, labels of linked classes, and texts.
 
-    Documents link when den * |A & B| >= num * |A | B| for their sets of
-    distinct word shingles; component_id is the smallest doc_id that links
-    lead to, the document's own included. n_links counts all links of the
-    document's class to other classes that have a doc_id.
-
-    Null and empty texts and texts without words have no set, 0 shingles, no
-    links, and their own id. Repeated rows come out once each and share a class.
-    Rows without a doc_id are never anyone's component_id; theirs is that of
-    their class. Rows that share a doc_id are one document where a link is
-    named by its id. An empty table gives no rows; other columns are ignored.
+    Rows are (doc_id, row, n, cls). A class has a unique id, node, which is what links and labels hold, the least
+    doc_id and the least row of its rows. The last frame is the documents as (doc_id, row, text).
     """
-    plan = Plan(num, den)
-    docs = docs.select("doc_id", "text")
+    num, den = plan.num, plan.den
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("row"), F.col("text").cast("string").alias("text"))
     scan = cut(_scan(docs, width, plan))
     sets = scan.filter(F.col("cls").isNotNull())
     # equal sets: the copies' rows meet after a partial aggregation in each task
     classes = cut(
-        sets.groupBy("cls").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.max("low").alias("low"), F.max("high").alias("high"))
-        .withColumn("short", F.xxhash64("cls"))
-    )
+        sets.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.first("n").alias("n"), F.max("low").alias("low"), F.max("high").alias("high"))
+        .withColumn("short", F.xxhash64("cls")).withColumn("node", F.monotonically_increasing_id())
+    )
     keyed = sets.filter(F.col("keys").isNotNull()).select(F.explode("keys").alias("key"), F.xxhash64("cls").alias("short"))
     meet = cut(_meetings(keyed.repartition("key").sortWithinPartitions("key", "short")))
 
@@ -417,23 +430,16 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
         told = cells.join(classes.select("short", "n", "low", "high"), "short")
         pairs = cut(_compared(told.repartition("cell").sortWithinPartitions("cell"), plan).distinct())
         for side, name in (("a", "first"), ("b", "other")):
-            pairs = pairs.join(classes.select(F.col("short").alias(name), F.col("node").alias(side), F.col("n").alias(f"{side}_n"), F.col("cls").alias(f"{side}_cls")), name)
-        return cut(pairs.filter(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))).select("a", "b", "a_cls", "b_cls", "a_n", "b_n"))
-
-    def texts_of(wanted: DataFrame) -> DataFrame:
-        """The documents (doc_id, text) of about the wanted ids: a table of at most BITS / 64 rows thins the others out before they are shuffled."""
-        place = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(BITS))
-        bits = wanted.select(place.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("bits"))
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), place.alias("at")).withColumn("word", F.shiftright("at", 6))
-        return texts.join(F.broadcast(bits), "word").filter(F.call_function("getbit", "bits", (F.col("at") % 64).cast("int")) == 1).select("doc_id", "text")
+            pairs = pairs.join(classes.select(F.col("short").alias(name), F.col("node").alias(side), F.col("n").alias(f"{side}_n"), F.col("cls").alias(f"{side}_cls"), F.col("row").alias(f"{side}_row")), name)
+        return cut(pairs.filter("a <> b").select("a", "b", "a_cls", "b_cls", "a_row", "b_row", "a_n", "b_n"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs that link, by their whole sets: a document's texts meet those of its partners, FAN at a time."""
+        """The pairs that link, by their whole sets: a class's text meets those of its partners, FAN at a time."""
         fan = pairs.groupBy("a").agg(F.count("*").alias("fan"))
         pairs = pairs.join(fan, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("fan") / FAN)))
-        cols = ["a", "salt", F.col("a").alias("doc_id"), F.col("a_cls").alias("cls"), F.lit(None).cast("long").alias("b"), F.lit(0).cast("long").alias("total")]
-        wanted = cut(pairs.select(*cols).distinct().union(pairs.select("a", "salt", "b", "b_cls", "b", (F.col("a_n") + F.col("b_n")).alias("total"))))
-        met = wanted.join(texts_of(wanted), "doc_id").select("a", "salt", "b", "total", "cls", "text")
+        cols = ["a", "salt", F.col("a_row").alias("row"), F.col("a_cls").alias("cls"), F.lit(None).cast("long").alias("b"), F.lit(0).cast("long").alias("total")]
+        wanted = cut(pairs.select(*cols).distinct().union(pairs.select("a", "salt", "b_row", "b_cls", "b", (F.col("a_n") + F.col("b_n")).alias("total"))))
+        met = wanted.join(texts_of(docs, wanted), "row").select("a", "salt", "b", "total", "cls", "text")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at, own = None, None
@@ -445,7 +451,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
                     if b is None and own is not None:
                         continue
                     h = shingle_set(text, width)
-                    if xxhash.xxh3_128_digest(h.tobytes()) != cls:  # another row with that id
+                    if xxhash.xxh3_128_digest(h.tobytes()) != cls:  # another row with that number
                         continue
                     if b is None:
                         own = h
@@ -457,7 +463,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
                             right.append(b)
                 yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-        return cut(met.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long").distinct())
+        return cut(met.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(freed(run, _forget), "a long, b long").distinct())
 
     def chunked(members: DataFrame) -> DataFrame:
         """Cells of at most TOGETHER members, about, in which any two members of a key meet."""
@@ -466,20 +472,6 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
         cells = F.when(F.col("size") <= TOGETHER, F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda x: F.least(x, own) * n + F.greatest(x, own)))
         return members.select(F.explode(cells).alias("part"), "key", "short", "label").select(F.when(F.col("part") == 0, F.col("key")).otherwise(F.xxhash64("key", "part")).alias("cell"), "short", "label")
 
-    def degrees(links: DataFrame, label: DataFrame) -> DataFrame:
-        """Links of each class (cls, n_links). Where all of a component's pairs are links already, that is its size less 1; the others' sets meet anew."""
-        members = classes.filter(F.col("node").isNotNull()).join(label, "node").select("label", "node", "cls", "n")
-        pairs = links.select(F.least("a", "b").alias("node"), F.greatest("a", "b").alias("b")).distinct().join(label, "node").groupBy("label").agg(F.count("*").alias("pairs"))
-        sizes = members.groupBy("label").agg(F.count("*").alias("size"), F.count_distinct("node").alias("nodes"), F.sum("n").alias("total")).join(pairs, "label")
-        members = cut(members.join(sizes, "label").withColumn("whole", (F.col("size") == F.col("nodes")) & (F.col("pairs") * 2 == F.col("size") * (F.col("size") - 1))))
-        whole = members.filter("whole").select("cls", (F.col("size") - 1).alias("n_links"))
-        left = members.filter(~F.col("whole"))
-        parts = F.when((F.col("size") <= CELL) & (F.col("total") <= ELEMENTS), 1).otherwise(F.greatest(F.ceil(F.col("size") * 2 / CELL), F.ceil(F.col("total") * 2 / ELEMENTS))).cast("long")
-        left = left.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("cls", F.lit(31)), "parts"))
-        wanted = left.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select("label", F.least("own", "part").alias("lo"), F.greatest("own", "part").alias("hi"), "own", "cls", F.col("node").alias("doc_id"))
-        met = wanted.join(texts_of(left.select(F.col("node").alias("doc_id")).distinct()), "doc_id")
-        return cut(_counted(met, width, num, den).union(whole))
-
     # first each key's classes against the one of them that shares the most keys, as an original does among its
     # edited copies: cells of one such class, labelled 0, and of others, labelled 1
     members = cut(meet.select("key", F.col("other").alias("short")).union(meet.select("key", "first").distinct()))
@@ -492,27 +484,98 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     links = verified(possible(stars.select("cell", F.col("first").alias("short"), F.lit(0).cast("long").alias("label")).distinct().union(stars.select("cell", "other", F.lit(1).cast("long")))))
     label = components(links)
     # then the other classes that share a key but not the component
-    names = classes.filter(F.col("node").isNotNull()).join(label, "node", "left").select("short", F.coalesce("label", "node").alias("label"))
+    names = classes.join(label, "node", "left").select("short", F.coalesce("label", "node").alias("label"))
     members = cut(members.select("key", "short").join(names, "short"))
     mixed = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("key", "size")
     more = verified(possible(chunked(members.join(mixed, "key"))))
     if more.limit(1).count():
         links = cut(links.union(more).distinct())
         label = components(links)
-    named = classes.select("cls", "node").join(label, "node", "left").select("cls", F.coalesce("label", "node").alias("component_id"))
-    found = scan.select("doc_id", "n", "cls").join(named, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "cls")
+    return scan.select("doc_id", "row", "n", "cls"), classes, links, label, docs
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts (row, text) of about the wanted rows, once each: a table of at most BITS / 64 rows thins the others out before they are shuffled."""
+    place = F.pmod(F.xxhash64("row", F.lit(29)), F.lit(BITS))
+    bits = wanted.select(place.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("bits"))
+    texts = docs.select("row", "text", place.alias("at")).withColumn("word", F.shiftright("at", 6))
+    return texts.join(F.broadcast(bits), "word").filter(F.call_function("getbit", "bits", (F.col("at") % 64).cast("int")) == 1).select("row", "text").dropDuplicates(["row"])
+
+
+def _degrees(classes: DataFrame, links: DataFrame, label: DataFrame, docs: DataFrame, width: int, plan: Plan) -> DataFrame:
+    """Links of each class (cls, n_links). Where all of a component's pairs are links already, that is its size less 1; the others' sets meet anew."""
+    members = classes.join(label, "node").select("label", "node", "cls", "n", "row")
+    pairs = links.select(F.least("a", "b").alias("node"), F.greatest("a", "b").alias("b")).distinct().join(label, "node").groupBy("label").agg(F.count("*").alias("pairs"))
+    sizes = members.groupBy("label").agg(F.count("*").alias("size"), F.sum("n").alias("total")).join(pairs, "label")
+    members = cut(members.join(sizes, "label").withColumn("whole", F.col("pairs") * 2 == F.col("size") * (F.col("size") - 1)))
+    whole = members.filter("whole").select("cls", (F.col("size") - 1).alias("n_links"))
+    left = members.filter(~F.col("whole"))
+    parts = F.when((F.col("size") <= CELL) & (F.col("total") <= ELEMENTS), 1).otherwise(F.greatest(F.ceil(F.col("size") * 2 / CELL), F.ceil(F.col("total") * 2 / ELEMENTS))).cast("long")
+    left = left.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("cls", F.lit(31)), "parts"))
+    wanted = left.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select("label", F.least("own", "part").alias("lo"), F.greatest("own", "part").alias("hi"), "own", "cls", "row")
+    met = wanted.join(texts_of(docs, left.select("row").distinct()), "row")
+    return cut(_counted(met, width, plan.num, plan.den).union(whole))
+
+
+def _named(rows: DataFrame, classes: DataFrame, label: DataFrame) -> DataFrame:
+    """Rows (doc_id, row, n, cls) with comp, their component's number, and component_id, its least doc_id."""
+    linked = classes.join(label, "node").select("cls", "label", "doc_id")
+    ids = linked.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    named = linked.join(ids, "label").select("cls", F.col("label").alias("comp"), "component_id")
+    own = classes.select("cls", "node", F.col("doc_id").alias("least"))
+    of_class = own.join(named, "cls", "left").select("cls", F.coalesce("comp", "node").alias("comp"), F.coalesce("component_id", "least").alias("component_id"))
+    return rows.join(of_class, "cls", "left").select("doc_id", "row", "n", "cls", "comp", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, count: bool = True) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id and, if asked to count, n_links.
+
+    Documents link when den * |A & B| >= num * |A | B| for their sets of
+    distinct word shingles; component_id is the smallest doc_id that links
+    lead to, the document's own included. n_links counts all links of the
+    document's class to other classes.
+
+    Null and empty texts and texts without words have no set, 0 shingles, no
+    links, and their own id. Repeated rows come out once each and share a class.
+    Rows without a doc_id are never anyone's component_id; theirs is that of
+    their component, null if no other row there has an id. Rows that share a
+    doc_id but not the text are documents of their own. An empty table gives no
+    rows; other columns are ignored.
+    """
+    plan = Plan(num, den)
+    rows, classes, links, label, texts = _joined(docs, width, plan)
+    found = _named(rows, classes, label).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "cls")
     if not count:
         return found.drop("cls")
-    return found.join(degrees(links, label), "cls", "left").select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-
+    links_of = _degrees(classes, links, label, texts, width, plan)
+    return found.join(links_of, "cls", "left").select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Of each component of near-copies, the first document: rows whose id is their component's.
+    """Of each component of near-copies one row: that of its least doc_id.
 
-    Of rows that repeat that id, one stays. Rows without a doc_id stay.
+    Rows are told apart by doc_id and text, so that rows which share an id but
+    not the text stand for themselves. Of several rows with the component's
+    id one stays, the same in each run; where no row of a component has an id,
+    one of them stays too. Rows without words have no copies: all of them stay.
+    Null ids and texts, empty tables and columns of any name are fine.
     """
-    found = jaccard_components(docs, width, num, den, count=False)
-    gone = found.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    return left.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(left.filter(F.col("doc_id").isNull()))
+    rows, classes, _, label, _ = _joined(docs, width, Plan(num, den))
+    found = cut(_named(rows, classes, label).filter("n > 0").select("doc_id", "row", "comp", "component_id"))
+    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("comp", "doc_id", "row").agg(F.count("*").alias("times"))
+    kept = cut(first.join(first.groupBy("comp").agg(F.min("row").alias("least")), "comp").select("doc_id", "row", "times", (F.col("row") == F.col("least")).alias("stays")))
+    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "row").union(kept.filter(~F.col("stays")).select("doc_id", "row")).distinct()
+    key = "row"
+    while key in docs.columns:
+        key += "_"
+    told = docs.withColumn(key, row_key(docs))
+
+    def joined(left: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        keys = keys.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"))
+        return left.join(keys, left["doc_id"].cast("long").eqNullSafe(keys["_id"]) & (left[key] == keys["_row"]), how)
+
+    left = joined(told, gone, "left_anti")
+    again = kept.filter("stays and times > 1")
+    if again.limit(1).count():
+        left = joined(left, again, "left_anti").unionByName(joined(left, again, "left_semi").dropDuplicates(["doc_id", key]))
+    return left.select(*docs.columns)
