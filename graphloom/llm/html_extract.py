@@ -335,7 +335,8 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = 5) -> list[str]:
         return "<ul>" + "".join(f"<li><a href='/{word()}'>{words(1, 3)}</a></li>" for _ in range(rng.randint(a, b))) + "</ul>"
 
     def bad(inner: str, tag: str, names: str) -> str:
-        attribute = rng.choice((f' class="{rng.choice(names.split())}"', f' id="{rng.choice(names.split())}"')) if names else ""
+        name = rng.choice(names.split()) if names and rng.random() < 0.9 else word()  # a name that says nothing
+        attribute = rng.choice((f' class="{name}"', f' id="{name}"')) if names else ""
         return f"<{tag}{attribute} {MARK}=0>{inner}</{tag}>"
 
     def inner_clutter() -> str:
@@ -389,8 +390,9 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = 5) -> list[str]:
             else ("<main", "</main>") if kind < 0.56
             else (f'<div class="{rng.choice("content article-body post entry-content story text main-content".split())}"', "</div>") if kind < 0.74
             else (f'<div id="{rng.choice("content main article post".split())}"', "</div>") if kind < 0.84
-            else (f'<main {MARK}=0><article', "</article></main>") if kind < 0.92
-            else (rng.choice(("<section", "<div", '<div class="x"')), None)
+            else (f'<main {MARK}=0><article', "</article></main>") if kind < 0.88
+            else (f'<div class="{word()}"><div id="{word()}"', "</div></div>") if kind < 0.94
+            else (rng.choice(("<section", "<div", f'<div class="{word()}"')), None)
         )
         close = close or f"</{open_[1:].split()[0]}>"
         return f"<html><head><title>{words(1, 4)}</title><style>p{{}}</style></head><body {MARK}=0>{''.join(before)}{open_} {MARK}=1>{body()}{close}{''.join(after)}</body></html>"
@@ -407,7 +409,7 @@ def extract(pages: DataFrame, field: Field | None = None, html: str = "html") ->
     table gives no rows. The html column is left out; columns named text or
     n_chars are replaced, and all others stay.
     """
-    pages = pages.select(F.col(html).cast("string").alias("_html"), *(c for c in pages.columns if c not in (html, "text", "n_chars")))
+    pages = pages.select(F.col(html).cast("string").alias(html), *(c for c in pages.columns if c not in (html, "text", "n_chars")))
     shared = pages.sparkSession.sparkContext.broadcast(field or fit(labelled_pages()))
     schema = StructType([*pages.schema.fields[1:], StructField("text", StringType()), StructField("n_chars", LongType())])
 

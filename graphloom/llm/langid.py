@@ -29,7 +29,12 @@ EPOCHS, BATCH, RATE = 14, 64, 0.01
 #: Texts' bytes handled in one go.
 BLOCK = 1 << 20
 
-_LETTER = re.compile(r"[^\W\d_]")
+_WORDLIKE = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character of the letter categories stands in the text; number signs such as ½ are none."""
+    return any(m[0].isalpha() for m in _WORDLIKE.finditer(text))
 
 
 @dataclass
@@ -85,7 +90,7 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Network:
         raw = as_bytes(text)[:SAMPLE_BYTES]
         for i in range(0, max(1, len(raw) - LENGTH // 4), LENGTH):
             part = raw[i : i + LENGTH]
-            if _LETTER.search(part.decode("utf-8", "ignore")):
+            if has_letter(part.decode("utf-8", "ignore")):
                 xs.append(np.frombuffer(part.ljust(LENGTH, b"\0"), np.uint8))
                 ys.append(langs.index(lang))
     f = len(WIDTHS) * FILTERS
@@ -181,7 +186,7 @@ class Reader:
             held = 0
 
         for i, text in enumerate(texts):
-            if not text or not _LETTER.search(text):
+            if not text or not has_letter(text):
                 continue
             raw = as_bytes(text)
             for lo in range(0, len(raw), BLOCK):
@@ -214,8 +219,9 @@ def fit(docs: DataFrame, usable: Column | None = None, sample: int = SAMPLE) ->
     share = F.lit(0.0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, sample / n).otherwise(share)
-    rows = known.filter(unit_hash(F.substring("text", 1, 200), 11) < share).select(F.substring("text", 1, SAMPLE_BYTES).alias("text"), F.col("lang").cast("string")).dropDuplicates().limit(4 * sample * max(1, len(counts))).collect()
-    rows = rows or known.select(F.substring("text", 1, SAMPLE_BYTES), F.col("lang").cast("string")).limit(sample).collect()
+    order = unit_hash(F.substring("text", 1, 200), 11)
+    parts = lambda df: df.select(F.substring("text", 1, SAMPLE_BYTES).alias("text"), F.col("lang").cast("string"), order.alias("h")).dropDuplicates().orderBy("h", "lang", "text")
+    rows = parts(known.filter(order < share)).limit(4 * sample * max(1, len(counts))).collect() or parts(known).limit(sample).collect()
     return train([r[0] for r in rows], [r[1] for r in rows]) if rows else None
 
 

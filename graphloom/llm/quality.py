@@ -2,7 +2,8 @@
 
 Every language has two references, counted over all labelled documents of the
 corpus: a histogram of classes of bytes, and one of its common words (those
-with at least a fixed share of its words, so at most 1 / SHARE of them). A
+with at least a fixed share of its words, so at most 1 / SHARE of them; very long
+ones stand there by their hashes). A
 document is held against each language's pair by the Jensen-Shannon distance
 and takes the nearest. A language whose documents are too few for a reference
 is not judged by the others' references: its documents pass this rule. Short
@@ -19,20 +20,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, freed
 
 #: Base rules: words at least, and the largest percentage of words in repeated three-word windows.
 LEAST_WORDS, REPEAT_PERCENT = 50, 50
-#: A word with at least this share of a language's words is common; longer words never count.
-SHARE, WORD_CHARS = 0.002, 16
+#: A word with at least this share of a language's words is common; one of more bytes is counted by its hash.
+SHARE, WORD_BYTES = 0.002, 64
 #: Largest distances to the nearest reference, for n words a limit of far + short / sqrt(n), since short
 #: texts scatter; and the least bytes and words for which the distances are asked.
 CHAR_FAR, CHAR_SHORT = 0.27, 0.3
 WORD_FAR, WORD_SHORT = 0.32, 1.0
-LEAST_CHARS, LEAST_COMMON = 200, 50
+LEAST_CHARS, LEAST_COMMON = 200, 75
 #: Languages need so many labelled documents and words to become a reference.
 LANGUAGE_DOCS, LANGUAGE_WORDS = 10, 2000
 #: Distinct words that a task gathers before it hands them on.
@@ -111,7 +113,8 @@ def measures(text: str | None) -> tuple[bytes, list[bytes], tuple[int, int, int,
 
 def common_form(word: bytes) -> bytes:
     """A word as the histograms of common words know it."""
-    return word.lower().strip(b".,;:?!'\"()")
+    word = word.lower().strip(b".,;:?!'\"()")
+    return word if len(word) <= WORD_BYTES else xxhash.xxh3_128_hexdigest(word).encode()
 
 
 @dataclass
@@ -139,10 +142,8 @@ def references(docs: DataFrame, share: float = SHARE) -> list[Reference]:
         def handed() -> Iterator[pa.RecordBatch]:
             keys, n = [], []
             for (lang, w), k in words.items():
-                text = w.decode("utf-8", "replace")
-                if len(text) <= WORD_CHARS:
-                    keys.append((lang, "w" + text))
-                    n.append(k)
+                keys.append((lang, "w" + w.decode("utf-8", "replace")))
+                n.append(k)
             for lang, h in chars.items():
                 keys += [(lang, f"c{i}") for i in range(CLASSES + 2)]
                 n += h.astype(np.int64).tolist()
@@ -159,7 +160,7 @@ def references(docs: DataFrame, share: float = SHARE) -> list[Reference]:
                 own[CLASSES] += len(found)
                 own[CLASSES + 1] += 1
                 for w, k in Counter(found).items():
-                    if len(w) <= 2 * WORD_CHARS and (w := common_form(w)):
+                    if w := common_form(w):
                         words[lang, w] += k
                 if len(words) >= FLUSH:
                     yield from handed()
@@ -167,7 +168,7 @@ def references(docs: DataFrame, share: float = SHARE) -> list[Reference]:
             yield from handed()
 
     parts = docs.select(F.col("text").cast("string"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))
-    totals = parts.mapInArrow(count, "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n"))
+    totals = parts.mapInArrow(freed(count, lambda: None), "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n"))
     totals = cut(totals)
     of = lambda i: F.sum(F.when(F.col("item") == f"c{i}", F.col("n")))
     sizes = totals.groupBy("lang").agg(of(CLASSES).alias("words"), of(CLASSES + 1).alias("docs"))

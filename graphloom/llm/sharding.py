@@ -48,19 +48,25 @@ def jump(key: Column, shards: int) -> Column:
 def with_slots(rows: DataFrame, shard: str, order: list[str], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Add slot: a gapless number from 0 in each shard.
 
-    A shard's rows are dealt to buckets by hash, numbered in each bucket, and
-    shifted by the rows of the buckets before it. No task sees a whole shard.
+    Rows that are equal in all columns are counted first, and get that many
+    numbers in a row. A shard's different rows are dealt to buckets by hash,
+    numbered in each bucket, and shifted by the rows of the buckets before it.
+    No task sees a whole shard, or more than bucket_rows copies of a row.
     """
-    n = rows.count()
-    shards = rows.agg(F.max(shard)).first()[0]
-    buckets = max(1, -(-n // (bucket_rows * max(1, (shards or 0) + 1))))
-    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(*order, F.lit(5)), F.lit(buckets)))
-    inside = Window.partitionBy(shard, "_bucket").orderBy(*order)
-    counts = rows.groupBy(shard, "_bucket").agg(F.count("*").alias("_n"))
+    columns = rows.columns
+    n, last = rows.agg(F.count("*"), F.max(shard)).first()
+    buckets = max(1, -(-n // (bucket_rows * ((last or 0) + 1))))
+    rows = rows.groupBy(*columns).agg(F.count("*").alias("_n")).withColumn("_bucket", F.pmod(F.xxhash64(*order, F.lit(5)), F.lit(buckets)))
+    inside = Window.partitionBy(shard, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(shard, "_bucket").agg(F.sum("_n").alias("_all"))
     before = Window.partitionBy(shard).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    shift = counts.select(shard, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    at = rows.withColumn("_in", F.row_number().over(inside) - 1)
-    return at.join(shift, [shard, "_bucket"]).withColumn("slot", F.col("_in") + F.col("_shift")).drop("_bucket", "_in", "_shift")
+    shift = counts.select(shard, "_bucket", F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_shift"))
+    at = rows.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(shift, [shard, "_bucket"]).withColumn("_from", F.col("_in") + F.col("_shift"))
+    few = at.filter(F.col("_n") <= bucket_rows).select(*columns, F.explode(F.sequence(F.col("_from"), F.col("_from") + F.col("_n") - 1)).alias("slot"))
+    parts = at.filter(F.col("_n") > bucket_rows).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / bucket_rows)))).repartition("_part")
+    low = F.col("_from") + F.col("_part") * bucket_rows
+    many = parts.select(*columns, F.explode(F.sequence(low, F.least(low + bucket_rows, F.col("_from") + F.col("_n")) - 1)).alias("slot"))
+    return few.unionByName(many)
 
 
 def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
@@ -86,5 +92,10 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16) -> None:
-    """Write the documents as Parquet, a folder for each shard."""
+    """Write the documents as Parquet, a folder for each shard.
+
+    A null doc_id counts as key 0; null texts, repeated rows and columns of any
+    name but shard, which is replaced, are written as they are. An empty table
+    gives an empty folder.
+    """
     docs.withColumn("shard", jump(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), shards)).write.partitionBy("shard").parquet(path)

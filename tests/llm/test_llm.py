@@ -117,7 +117,7 @@ def test_links_inside_components_count(spark, monkeypatch, cell):
 
 
 def test_decontamination(spark, docs, empty):
-    items = spark.createDataFrame([(1, text(3, 5000).upper()[:400]), (2, text(9, 40)), (3, None), (4, "two words")], "item_id long, text string")
+    items = spark.createDataFrame([(1, text(3, 5000).upper()[:400]), (2, text(9, 40)), (3, None), (4, "two words"), (5, "")], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in leaks(docs, items).collect()} == {(11, 1)}
     assert 11 not in {r.doc_id for r in decontaminate(docs, items).collect()} and decontaminate(docs, items).count() == len(ROWS) - 1
     assert leaks(empty, items).count() == 0 and leaks(docs, items.limit(0)).count() == 0
@@ -190,18 +190,35 @@ def test_html(spark):
 
 def test_chat(spark):
     c = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
-    got = chat.format_chats(c).toPandas()
+    held = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4 == 2
+    model = chat.learn(c.filter(~held))
+    got = chat.format_chats(c, model).toPandas()
     want = c.toPandas().merge(got, on=["conv_id", "turn"], suffixes=("", "_got"))
-    assert len(got) == c.count() and (want.role == want.role_got).all() and (want.text == want.text_got).all()
-    assert (got.role == got.role_unmarked).mean() > 0.95 and got.rendered[0] == f"<|{got.role[0]}|>\n{got.text[0]}\n<|end|>\n"
-    model = chat.learn(c)
-    pieces = chat.format_chats(c, model, block=3).toPandas()
+    assert len(got) == c.count() and (want.text == want.text_got).all() and (want.role == want.role_given).all()
+    of_held = want[want.conv_id.map(lambda x: zlib.crc32(str(x).encode()) % 4 == 2)]
+    assert (of_held.role == of_held.role_got).mean() > 0.95 and got.rendered[0] == f"<|{got.role[0]}|>\n{got.text[0]}\n<|end|>\n"
+    # the role column is no input of a prediction, and blocks don't change results
     key = ["conv_id", "turn", "part"]
-    assert got.sort_values(key).reset_index(drop=True).equals(pieces.sort_values(key).reset_index(drop=True))
-    odd = spark.createDataFrame([(None, 1, "user", "x"), (None, 1, "user", "x"), (1, None, None, None), (2, 0, None, "User: hi\nAssistant: hello\nthere\nUser: bye")], "conv_id long, turn long, role string, text string")
-    rows = chat.format_chats(odd, model).collect()
-    assert [(r.role, r.text) for r in sorted((r for r in rows if r.conv_id == 2), key=lambda r: r.part)] == [("user", "hi"), ("assistant", "hello\nthere"), ("user", "bye")]
-    assert len(rows) == 5 and chat.format_chats(odd.limit(0), model).count() == 0
+    blind = chat.format_chats(c.withColumn("role", F.lit(None).cast("string")), model).toPandas().sort_values(key).reset_index(drop=True)
+    pieces = chat.format_chats(c, model, blocks=37).toPandas().sort_values(key).reset_index(drop=True)
+    got = got.sort_values(key).reset_index(drop=True)
+    assert got.role.equals(blind.role) and got.equals(pieces)
+    # brute force: one pass over all lines of each conversation
+    rows = sorted(map(tuple, c.select("conv_id", "turn", "role", "text").collect()))
+    plain = {r[:3]: r[3] for conv in {r[0] for r in rows} for r in chat._decoded([x for x in rows if x[0] == conv], model)}
+    assert all(plain[tuple(r[:3])] == r[3] for r in got[[*key, "role"]].itertuples(index=False))
+
+
+def test_chat_transcripts_and_odd_rows(spark):
+    model = chat.learn(spark.read.parquet("/root/testdata/sf0.01/conversations.parquet"))
+    odd = spark.createDataFrame(
+        [(None, 1, "user", "x"), (None, 1, "user", "x"), (1, None, None, None), (2, 0, None, "User: hi\nAssistant: hello\nthere\nUser: bye"), *[(3, 5, "user", f"turn {i}") for i in range(40)]], "conv_id long, turn long, role string, text string"
+    )
+    for blocks in (None, 7):
+        rows = chat.format_chats(odd, model, blocks).collect()
+        assert [(r.role, r.text) for r in sorted((r for r in rows if r.conv_id == 2), key=lambda r: r.part)] == [("user", "hi"), ("assistant", "hello\nthere"), ("user", "bye")]
+        assert len(rows) == 45 and sum(r.conv_id == 3 for r in rows) == 40
+    assert chat.format_chats(odd.limit(0), model).count() == 0
 
 
 def test_quality(spark, docs, empty):
