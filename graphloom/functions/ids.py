@@ -66,5 +66,9 @@ def service_of(path: Column | str) -> Column:
     return F.when(F.size(top) > 0, F.struct(F.get(top, F.lit(0)).alias("name"), F.lit(True).alias("under"))).when(F.size(parts) > 1, F.struct(F.get(parts, F.lit(0)).alias("name"), F.lit(False).alias("under")))
 
 
+#: Lower-case paths of test files.
+TEST_PATHS = (r"(^|/)(tests?|__tests__|spec)/", r"\.(test|spec)\.[cm]?[jt]sx?$", r"(^|/)test_[^/]+\.py$", r"_test\.(py|go|java)$", r"tests?\.py$")
+
+
 def is_test_path(path: Column | str) -> Column:
-    return F.lower(_c(path)).rlike(r"(^|/)(tests?|__tests__|specs?)/|\.(test|spec)\.[a-z]+$|(^|/)test_[^/]*\.py$|_test\.(py|go)$|tests?\.java$")
+    return F.lower(_c(path)).rlike("|".join(TEST_PATHS))

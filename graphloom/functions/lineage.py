@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 
 
-def settled(df: DataFrame) -> DataFrame:
+def settled(df: DataFrame, by: str | None = None) -> DataFrame:
     """The frame written to the shared checkpoint folder and read again.
 
     Loops then plan each round from files: plans don't grow, and a lost
     executor costs one round at most. The folder is the session's
-    spark.checkpoint.dir; one is made only where that is unset, as in tests.
+    spark.checkpoint.dir; one is made only where that is unset and Spark runs in
+    one process, as in tests. `by` names a column whose values get folders of
+    their own, so that filters on it read nothing else.
     """
     conf = df.sparkSession.conf
     base = conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="graphloom-")
         conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/graphloom/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)

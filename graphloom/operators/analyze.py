@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.ids import prefix_repo, repo_of, safe_id, service_of, tokens, without_repo
-from ..schema import MAPS, PINS, TESTABLE_KINDS, Graph
-from .scan import degrees, edges_by_types, nodes_by_kinds
-from .traverse import component, impact
+from ..functions.ids import edge_id, prefix_repo, repo_of, safe_id, service_of, tokens, without_repo
+from ..functions.lineage import settled
+from ..schema import MAPS, PINS, TESTABLE_KINDS, Graph, GraphError
+from .scan import degrees, edges_by_types, find_nodes, nodes_by_kinds
+from .traverse import component, impact, neighbors
 
 
 def _listed(*flags: tuple[Column, str]) -> Column:
@@ -17,55 +18,73 @@ def _listed(*flags: tuple[Column, str]) -> Column:
 
 
 def impact_summary(graph: Graph, starts: DataFrame, direction: str = "downstream") -> DataFrame:
-    """One row per start: n_paths, impacted, critical, and the risk chips in their fixed order."""
-    found = impact(graph.edges, starts, direction).select("start", "path_no", "node", "type", "conflict")
+    """One row per start: n_paths, impacted, critical, and the risk chips in their fixed order.
+
+    Chips are about what a start reaches; only `critical` looks at the start too.
+    """
+    found = impact(graph.edges, starts, direction).select("start", "path_no", "node", "type", "conflict", "path")
     start_nodes = graph.nodes.join(starts.select("id").distinct(), "id").select(F.col("id").alias("start"), F.col("kind").alias("start_kind"), F.col("critical").alias("start_critical"))
-    reached = found.join(graph.nodes.select(F.col("id").alias("node"), "kind", "critical"), "node", "left")
+    degree = graph.edges.select(F.explode(F.array_distinct(F.array("from_id", "to_id"))).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    reached = found.join(graph.nodes.select(F.col("id").alias("node"), "kind", "critical"), "node", "left").join(degree, "node", "left")
     per = reached.groupBy("start").agg(
         F.count("*").alias("n_paths"), F.count_distinct("node").alias("impacted"), F.bool_or("critical").alias("any_critical"), F.bool_or(F.col("type") == "WRITES").alias("writes"),
         F.bool_or(F.col("kind") == "External").alias("external"), F.bool_or(F.col("conflict")).alias("conflict"), F.bool_or(F.col("kind") == "Test").alias("tested"), F.bool_or(F.col("kind").isin(*TESTABLE_KINDS)).alias("testable"),
-        F.count_distinct(F.when(F.col("kind") == "Test", F.col("node"))).alias("tests"),
+        F.count_distinct(F.when(F.col("kind") == "Test", F.col("node"))).alias("tests"), F.count_distinct(F.when(F.col("kind") == "External", F.col("node"))).alias("externals"),
+        F.bool_or(F.col("degree") >= 10).alias("high_degree"), F.bool_or(F.col("kind") == "API").alias("api"), F.bool_or(F.col("kind") == "Contract").alias("contract"), F.max(F.when(F.col("path_no") == 1, F.array_join("path", " → "))).alias("first_path"),
     )
-    degree = graph.edges.select(F.explode(F.array_distinct(F.array("from_id", "to_id"))).alias("start")).join(starts.select(F.col("id").alias("start")).distinct(), "start", "left_semi").groupBy("start").agg(F.count("*").alias("degree"))
-    full = start_nodes.join(per, "start", "left").join(degree, "start", "left")
+    full = start_nodes.join(per, "start", "left")
     no = lambda c: F.coalesce(F.col(c), F.lit(False))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     chips = _listed(
-        (zero("impacted") > 0, "downstream"), (no("any_critical") | F.col("start_critical"), "critical"), (no("writes"), "db_write"), (no("external") | (F.col("start_kind") == "External"), "external"),
-        (no("conflict"), "conflict"), (zero("degree") >= 10, "high_degree"), (~no("tested") & (no("testable") | F.col("start_kind").isin(*TESTABLE_KINDS)), "untested"),
+        (zero("impacted") > 0, "downstream"), (no("any_critical") | F.col("start_critical"), "critical"), (no("writes"), "db_write"), (no("external"), "external"),
+        (no("conflict"), "conflict"), (no("high_degree"), "high_degree"), (~no("tested") & no("testable"), "untested"),
     )
-    return full.select("start", "start_kind", zero("n_paths").alias("n_paths"), zero("impacted").alias("impacted"), zero("tests").alias("tests"), (no("any_critical") | F.col("start_critical")).alias("critical"), no("writes").alias("writes"), no("external").alias("external"), no("tested").alias("tested"), chips.alias("chips"))
+    return full.select("start", "start_kind", zero("n_paths").alias("n_paths"), zero("impacted").alias("impacted"), zero("tests").alias("tests"), (no("any_critical") | F.col("start_critical")).alias("critical"), no("writes").alias("writes"), zero("externals").alias("externals"), no("tested").alias("tested"), F.col("start_critical"), no("api").alias("api"), no("contract").alias("contract"), F.coalesce("first_path", "start").alias("first_path"), chips.alias("chips"))
 
 
 def risk_profile(graph: Graph, starts: DataFrame, churn: DataFrame | None = None) -> DataFrame:
-    """The risk of changing each start: counts, centrality, score, level and signals. churn: (path, commits)."""
-    summary = impact_summary(graph, starts)
-    deg = degrees(graph.edges)
+    """The risk of changing each start: counts, centrality, score, level and signals. churn: (path, commits).
+
+    Counts of interactions with data look at the edges of the start and of all it reaches, each edge once.
+    """
+    summary = settled(impact_summary(graph, starts))
+    deg = settled(degrees(graph.edges))
     most = deg.agg(F.max(F.greatest("in_degree", "out_degree")).alias("most"))
     ids = starts.select(F.col("id").alias("start")).distinct()
-    data = graph.edges.filter(F.col("type").isin("READS", "WRITES")).select(F.explode(F.array_distinct(F.array("from_id", "to_id"))).alias("start")).join(ids, "start", "left_semi").groupBy("start").agg(F.count("*").alias("db_interactions"))
-    ext = graph.nodes.filter("kind = 'External'").select(F.col("id").alias("node"))
-    near = graph.edges.select(F.col("from_id").alias("start"), F.col("to_id").alias("node")).union(graph.edges.select("to_id", "from_id")).join(ids, "start", "left_semi").join(ext, "node", "left_semi").distinct().groupBy("start").agg(F.count("*").alias("external_deps"))
+    around = impact(graph.edges, starts).select("start", "node").union(ids.select("start", "start")).distinct()
+    data = graph.edges.filter(F.col("type").isin("READS", "WRITES")).select("id", F.explode(F.array_distinct(F.array("from_id", "to_id"))).alias("node"))
+    data = data.join(around, "node").groupBy("start").agg(F.count_distinct("id").alias("db_interactions"))
+    direct = graph.edges.filter("type = 'TESTS'").select(F.col("to_id").alias("start"), F.lit(True).alias("direct")).join(ids, "start", "left_semi").distinct()
+    own = graph.edges.select(F.explode(F.array_distinct(F.array("from_id", "to_id"))).alias("start")).join(ids, "start", "left_semi").groupBy("start").agg(F.count("*").alias("dependency_count"))
     paths = graph.nodes.select(F.col("id").alias("start"), "path")
-    full = summary.join(deg.withColumnRenamed("id", "start"), "start", "left").crossJoin(F.broadcast(most)).join(data, "start", "left").join(near, "start", "left").join(paths, "start")
+    full = summary.join(own, "start", "left").crossJoin(F.broadcast(most)).join(data, "start", "left").join(direct, "start", "left").join(paths, "start")
     full = full.join(churn.select("path", "commits"), "path", "left") if churn is not None else full.withColumn("commits", F.lit(None).cast("long"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    full = full.withColumn("centrality", F.round(zero("degree") / F.greatest(F.col("most"), F.lit(1)), 3)).withColumn("db_interactions", zero("db_interactions")).withColumn("external_deps", zero("external_deps"))
-    hub = lambda: F.when(F.col("centrality") >= 0.6, 20).when(F.col("centrality") >= 0.3, 10).otherwise(0)
-    wide = F.when(F.col("impacted") >= 10, 25).when(F.col("impacted") >= 3, 12).otherwise(0)
-    yes = lambda c, n: F.when(c, n).otherwise(0)
-    score = F.least(F.lit(100), wide + hub() + yes(~F.col("tested"), 20) + yes(F.col("db_interactions") > 0, 12) + yes(F.col("external_deps") > 0, 10) + yes(F.col("critical"), 20) + yes(F.coalesce(F.col("commits"), F.lit(0)) >= 10, 8))
-    return full.withColumn("score", score.cast("long")).select(
-        "start", zero("out_degree").alias("dependency_count"), F.col("impacted").alias("downstream_consumers"), "centrality", "commits", "db_interactions", "external_deps", F.col("tested").alias("test_coverage"), F.col("critical").alias("critical_path"), "score",
-        F.when(F.col("score") >= 55, "high").when(F.col("score") >= 25, "medium").otherwise("low").alias("level"),
+    full = full.withColumn("dependency_count", zero("dependency_count")).withColumn("db_interactions", zero("db_interactions")).withColumn("covered", F.col("tested") | F.coalesce("direct", F.lit(False)))
+    full = full.withColumn("centrality", F.round(F.col("dependency_count") / F.greatest(F.col("most"), F.lit(1)), 3))
+    signals = (
+        (F.col("impacted") >= 10, "large_downstream", 25), ((F.col("impacted") >= 3) & (F.col("impacted") < 10), "moderate_downstream", 12), (F.col("centrality") >= 0.6, "hub", 20), ((F.col("centrality") >= 0.3) & (F.col("centrality") < 0.6), None, 10),
+        (~F.col("covered"), "untested", 20), (F.col("db_interactions") > 0, "db_interaction", 12), (F.col("externals") > 0, "external_dependency", 10), (F.col("critical"), "critical_path", 20), (F.coalesce(F.col("commits"), F.lit(0)) >= 10, "high_churn", 8),
     )
+    score = F.lit(0)
+    for holds, _, weight in signals:
+        score = score + F.when(holds, weight).otherwise(0)
+    return full.withColumn("score", F.least(F.lit(100), score).cast("long")).select(
+        "start", "dependency_count", F.col("impacted").alias("downstream_consumers"), "centrality", "commits", "db_interactions", F.col("externals").alias("external_deps"), F.col("covered").alias("test_coverage"), F.col("critical").alias("critical_path"), "score",
+        F.when(F.col("score") >= 55, "high").when(F.col("score") >= 25, "medium").otherwise("low").alias("level"), F.array_join(_listed(*((holds, name) for holds, name, _ in signals if name)), ",").alias("signals"),
+    )
+
+
+#: The commands that run tests, by the kind of their files.
+COMMANDS = {r"\.py$": "python3 -m unittest discover -s tests -v", r"\.(ts|tsx|js|jsx)$": "npm test"}
 
 
 def tests_to_run(graph: Graph, starts: DataFrame) -> DataFrame:
-    """(start, test, command): the tests that each start's impact reaches."""
+    """(start, test, command): the tests that each start's impact reaches; a file of another kind has no command."""
     found = impact(graph.edges, starts).select("start", "node").distinct()
     tests = graph.nodes.filter("kind = 'Test'").select(F.col("id").alias("node"), "path")
-    return found.join(tests, "node").select("start", F.col("node").alias("test"), F.when(F.col("path").endswith(".py"), "python -m unittest").otherwise("npm test").alias("command"))
+    command = F.coalesce(*(F.when(F.col("path").rlike(p), c) for p, c in COMMANDS.items()))
+    return found.join(tests, "node").select("start", F.col("node").alias("test"), command.alias("command"))
 
 
 def diff_impact(graph: Graph, changes: DataFrame) -> DataFrame:
@@ -77,16 +96,13 @@ def diff_impact(graph: Graph, changes: DataFrame) -> DataFrame:
 
 
 def policies(graph: Graph, starts: DataFrame, blocking: tuple[str, ...] = ()) -> DataFrame:
-    """(start, policy, severity): the three built-in rules over each start and what it reaches."""
-    summary = impact_summary(graph, starts)
-    found = impact(graph.edges, starts).select("start", "node", "type").union(starts.select("id", "id", F.lit(None).cast("string")).distinct())
-    apis = found.join(graph.nodes.filter("kind = 'API'").select(F.col("id").alias("node")), "node", "left_semi")
-    bound = graph.edges.filter("type = 'CONSTRAINED_BY'").select(F.col("from_id").alias("node"))
-    bare = apis.join(bound, "node", "left_anti").select("start").distinct().withColumn("open_route", F.lit(True))
-    flags = summary.join(bare, "start", "left")
-    names = _listed((F.col("critical") & ~F.col("tested"), "critical_without_tests"), (F.coalesce("open_route", F.lit(False)), "public_route_without_contract"), (F.col("writes"), "db_write_on_path"))
+    """(start, policy, severity): the three built-in rules over each start and what it reaches.
+
+    A route is open where an API is reached and no contract is.
+    """
+    names = _listed((F.col("start_critical") & ~F.col("tested"), "critical_without_tests"), (F.col("api") & ~F.col("contract"), "public_route_without_contract"), (F.col("writes"), "db_write_on_path"))
     blocked = F.lit("*" in blocking) | (F.col("policy").isin(*blocking) if blocking else F.lit(False))
-    return flags.select("start", F.explode(names).alias("policy")).withColumn("severity", F.when(blocked, "block").otherwise("warn"))
+    return impact_summary(graph, starts).select("start", F.explode(names).alias("policy")).withColumn("severity", F.when(blocked, "block").otherwise("warn"))
 
 
 def plan_change(graph: Graph, starts: DataFrame) -> DataFrame:
@@ -97,15 +113,32 @@ def plan_change(graph: Graph, starts: DataFrame) -> DataFrame:
     return reached.select("start", "path").union(own.select("start", "path")).filter("path is not null").distinct().withColumnRenamed("path", "file")
 
 
+#: Tasks by the tier that does them, the tiers' relative costs and the reasons for them.
+TASKS = {
+    "deterministic": ("parsing", "graph_query", "impact", "diff", "search", "why_path", "tests_to_run", "validate"),
+    "strong": ("architecture", "dynamic_coupling", "plan_change", "incident"),
+    "cheap": ("summary", "classification", "narration", "routing"),
+}
+COSTS = {"deterministic": 0, "cheap": 1, "strong": 10, "verifier": 12}
+REASONS = {
+    "verifier": "security-sensitive work requires an independent verifier",
+    "deterministic": "deterministic tooling satisfies this with no model call",
+    "strong": "high difficulty/ambiguity warrants a stronger model",
+    "cheap": "a cheap model is sufficient",
+    "default": "default to deterministic; escalate only when needed",
+}
+
+
 def route(tasks: DataFrame) -> DataFrame:
-    """tasks (task, security_sensitive, ambiguity) with the tier that should do each, and its relative cost."""
-    task = F.col("task")
-    tier = (
-        F.when(F.col("security_sensitive"), "strong").when(task.isin("parsing", "graph_query", "impact", "diff", "search", "why_path", "tests_to_run", "validate"), "deterministic")
-        .when(task.isin("architecture", "dynamic_coupling", "plan_change", "incident") | (F.col("ambiguity") >= 0.6), "strong").when(task.isin("summary", "classification", "narration", "routing") | (F.col("ambiguity") > 0), "cheap").otherwise("deterministic")
+    """tasks (task, security_sensitive, ambiguity) with the tier that should do each, its cost, the reason, uses_model and provider_locked."""
+    task, unsure = F.lower(F.trim("task")), F.coalesce(F.col("ambiguity"), F.lit(0.0))
+    choice = (
+        F.when(F.coalesce("security_sensitive", F.lit(False)), "verifier").when(task.isin(*TASKS["deterministic"]), "deterministic").when(task.isin(*TASKS["strong"]) | (unsure >= 0.6), "strong")
+        .when(task.isin(*TASKS["cheap"]) | (unsure > 0), "cheap").otherwise("default")
     )
-    cost = F.when(F.col("security_sensitive"), 12).when(F.col("tier") == "strong", 10).when(F.col("tier") == "cheap", 1).otherwise(0)
-    return tasks.withColumn("tier", tier).withColumn("cost", cost.cast("long"))
+    of = lambda c, table: F.coalesce(*(F.when(c == k, F.lit(v)) for k, v in table.items()))
+    told = tasks.withColumn("_choice", choice).withColumn("tier", F.when(choice == "default", "deterministic").otherwise(choice))
+    return told.withColumn("cost", of(F.col("tier"), COSTS).cast("long")).withColumn("reason", of(F.col("_choice"), REASONS)).withColumn("uses_model", F.col("tier") != "deterministic").withColumn("provider_locked", F.lit(False)).drop("_choice")
 
 
 def hubs(graph: Graph, top: int = 10) -> DataFrame:
@@ -135,16 +168,26 @@ def hotspots(graph: Graph, churn: DataFrame, top: int = 10) -> DataFrame:
     return graph.nodes.join(churn, "path").select("id", "kind", F.col("commits").alias("metric")).orderBy(F.desc("metric"), "kind", "id").limit(max(1, min(50, top)))
 
 
-def cycles(edges: DataFrame, types: tuple[str, ...], length: int = 5) -> DataFrame:
-    """Simple cycles of at most `length` edges, each once, from its smallest id: (cycle, length)."""
-    steps = edges.filter(F.col("type").isin(*types)).select(F.col("from_id").alias("src"), F.col("to_id").alias("dst")).distinct()
+def cycles(edges: DataFrame, types: tuple[str, ...], length: int | None = None) -> DataFrame:
+    """Simple cycles, each once, from its smallest id: (cycle, length); of any length unless one is given.
+
+    Steps that no cycle can take, from nodes without steps to them or to nodes
+    without further ones, go first, in a few rounds. Each length's trails are
+    written, and the search ends when none is left.
+    """
+    steps = settled(edges.filter(F.col("type").isin(*types)).select(F.col("from_id").alias("src"), F.col("to_id").alias("dst")).distinct())
+    for _ in range(3):
+        steps = settled(steps.join(steps.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(steps.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
     trail = steps.filter("dst >= src").select(F.col("src").alias("first"), F.col("dst").alias("node"), F.when(F.col("src") == F.col("dst"), F.array("src")).otherwise(F.array("src", "dst")).alias("path"))
     out = trail.filter("first = node").select(F.array_join("path", ">").alias("cycle"), F.lit(1).cast("long").alias("length"))
-    trail = trail.filter("first <> node")
-    for _ in range(length - 1):
-        near = trail.join(steps, F.col("node") == F.col("src")).filter("dst >= first")
+    trail, done = trail.filter("first <> node"), 1
+    while length is None or done < length:
+        near = settled(trail.join(steps, F.col("node") == F.col("src")).filter("dst >= first").select("first", "path", "dst"))
         out = out.union(near.filter("dst = first").select(F.array_join("path", ">"), F.size("path").cast("long")))
         trail = near.filter(~F.array_contains("path", F.col("dst"))).select("first", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
+        done += 1
+        if trail.isEmpty():
+            break
     return out.distinct()
 
 
@@ -188,6 +231,27 @@ def search(graph: Graph, query: str, kind: str | None = None) -> DataFrame:
     return met.select("node_id", (overlap + phrase + exact).alias("score")).filter("score > 0").groupBy("node_id").agg(F.round(F.max("score"), 6).alias("score"))
 
 
+def search_top(graph: Graph, query: str, kind: str | None = None, limit: int = 20) -> DataFrame:
+    """The best nodes of a search in order, ties by kind and id: (rank, id, kind, name, score)."""
+    found = search(graph, query, kind).join(graph.nodes.select(F.col("id").alias("node_id"), F.col("kind").alias("node_kind"), "name"), "node_id")
+    top = found.orderBy(F.desc("score"), "node_kind", "node_id").limit(max(1, min(50, limit)))
+    return top.select(F.row_number().over(Window.orderBy(F.desc("score"), "node_kind", "node_id")).alias("rank"), F.col("node_id").alias("id"), F.col("node_kind").alias("kind"), "name", "score")
+
+
+def symbol(graph: Graph, identifier: str) -> DataFrame:
+    """The edges at the node of that id, or else at the first that find_nodes gives, with their other nodes: (id, edge_id, type, other, other_kind)."""
+    own = graph.nodes.filter(F.col("id") == identifier.strip()).select("id")
+    node = own if not own.isEmpty() else find_nodes(graph.nodes, identifier.strip(), limit=1).select("id")
+    if node.isEmpty():
+        raise GraphError(f"unknown symbol: {identifier}")
+    return neighbors(graph.edges, node).join(graph.nodes.select(F.col("id").alias("other"), F.col("kind").alias("other_kind")), "other").select("id", "edge_id", "type", "other", "other_kind")
+
+
+def cross_repo_edges(edges: DataFrame, canonical: bool = False) -> DataFrame:
+    """cross_repo's pairs as edges: DEPENDS_ON (id, type, from_id, to_id, confidence)."""
+    return cross_repo(edges, canonical).select(edge_id(F.lit("DEPENDS_ON"), "from_id", "to_id").alias("id"), F.lit("DEPENDS_ON").alias("type"), "from_id", "to_id", F.lit(0.7).alias("confidence"))
+
+
 def cross_repo(edges: DataFrame, canonical: bool = False) -> DataFrame:
     """(from_id, to_id): consumers that depend on producers of the same API in another repository."""
     api = without_repo if canonical else lambda c: F.col(c)
@@ -225,4 +289,6 @@ def domain(files: DataFrame, by: str) -> DataFrame:
 
 
 def narration(summary: DataFrame) -> DataFrame:
-    return summary.select("start", F.format_string("Changing %s reaches %d nodes over %d paths; signals: %s.", "start", "impacted", "n_paths", F.coalesce(F.nullif(F.array_join("chips", ", "), F.lit("")), F.lit("none"))).alias("text"))
+    """(start, text): one sentence about each start's impact, with its signals and first path."""
+    risks = F.when(F.size("chips") > 0, F.concat(F.lit(" Risks: "), F.array_join("chips", ", "), F.lit("."))).otherwise("")
+    return summary.select("start", F.concat(F.lit("Changing "), "start", F.lit(" affects "), F.col("impacted").cast("string"), F.lit(" node(s)."), risks, F.lit(" Example path: "), "first_path", F.lit(".")).alias("text"))

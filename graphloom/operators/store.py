@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.ids import edge_id
 from ..schema import EDGE_SOURCES, EDGE_TYPES, NODE_KINDS, PINS
@@ -33,18 +32,25 @@ def valid_evidence(evidence: Column, sources: Column) -> Column:
 def merge_edges(rows: DataFrame, seq: str = "seq") -> DataFrame:
     """One row per edge from raw rows (type, from_id, to_id, file, line, snippet, source, confidence, seq).
 
+    Rows may bring an id of their own; without one it follows from type and
+    ends. The first row of an id says what the edge is. Rows that give the id
+    to another edge make it a conflict, and their evidence names the candidate.
     Evidence and sources keep their first appearance's order, the confidence is
-    the largest. Partial sums go before the shuffle; an edge's list grows with
-    its own evidence only.
+    the largest. Repeats go before an edge's rows meet, so that its list holds
+    different pieces only.
     """
     ordered = lambda c: F.array_sort(F.collect_list(c))
-    got = rows.groupBy("type", "from_id", "to_id").agg(
-        ordered(F.struct(F.col(seq).alias("seq"), "file", "line", "snippet")).alias("all"),
-        ordered(F.struct(F.col(seq).alias("seq"), "source")).alias("from_all"),
-        F.max("confidence").alias("confidence"),
-    )
-    evidence = F.array_distinct(F.transform("all", lambda x: F.struct(x["file"].alias("file"), x["line"].alias("line"), x["snippet"].alias("snippet"))))
-    return got.select(edge_id("type", "from_id", "to_id").alias("id"), "type", "from_id", "to_id", evidence.alias("evidence"), F.array_distinct(F.transform("from_all", lambda x: x["source"])).alias("sources"), "confidence", F.lit(False).alias("conflict"))
+    named = F.coalesce(F.nullif(F.trim("id"), F.lit("")), edge_id("type", "from_id", "to_id")) if "id" in rows.columns else edge_id("type", "from_id", "to_id")
+    once = rows.withColumn("_id", named).groupBy("_id", "type", "from_id", "to_id", "file", "line", "snippet", "source").agg(F.min(seq).alias("seq"), F.max("confidence").alias("confidence"))
+    got = once.groupBy("_id").agg(
+        ordered(F.struct("seq", "type", "from_id", "to_id", "file", "line", "snippet")).alias("all"), ordered(F.struct("seq", "source")).alias("from_all"), F.max("confidence").alias("confidence")
+    ).withColumn("first", F.get("all", F.lit(0)))
+    other = lambda x: (x["type"] != F.col("first.type")) | (x["from_id"] != F.col("first.from_id")) | (x["to_id"] != F.col("first.to_id"))
+    piece = lambda x: F.struct(x["file"].alias("file"), x["line"].alias("line"), x["snippet"].alias("snippet"), F.when(other(x), F.concat_ws(" ", x["type"], x["from_id"], x["to_id"])).alias("candidate"))
+    return got.select(
+        F.col("_id").alias("id"), "first.type", "first.from_id", "first.to_id", F.array_distinct(F.transform("all", piece)).alias("evidence"),
+        F.array_distinct(F.transform("from_all", lambda x: x["source"])).alias("sources"), "confidence", F.exists("all", other).alias("conflict"),
+    )
 
 
 def upsert_edges(rows: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -83,8 +89,3 @@ def validate(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     stacked = counts.selectExpr("stack(3, 'missing_evidence', missing_evidence, 'bad_sources', bad_sources, 'conflicts', conflicts) as (name, failed)")
     rows = dangling.select("name", "failed").union(stacked).union(doubles.select("name", "failed"))
     return rows.select("name", F.col("failed").cast("long").alias("failed"), (F.col("failed") == 0).alias("ok"))
-
-
-def latest(rows: DataFrame, key: str, order: Column) -> DataFrame:
-    """The first row of each key in an order."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order))).filter("_n = 1").drop("_n")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.lineage import settled
-from ..schema import DOWNSTREAM, FLOW_TYPES, MAX_DEPTH, MAX_PATHS, UPSTREAM
+from ..schema import DOWNSTREAM, EDGE_TYPES, FLOW_TYPES, MAX_DEPTH, MAX_PATHS, UPSTREAM
 
 
 def oriented(edges: DataFrame, direction: str | tuple[str, ...]) -> DataFrame:
@@ -41,6 +41,9 @@ def search_paths(steps: DataFrame, starts: DataFrame, depth: int, most: int | No
     the same path. Steps from one node go by edge id. Each start ends with
     `most` paths, if given.
     """
+    if most is not None:  # no path takes more than the first steps from a node, but for those back to its own path
+        first = Window.partitionBy("src").orderBy("edge_id")
+        steps = steps.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= most + (2 * len(EDGE_TYPES) * depth if avoid_own_path else 0)).drop("_n")
     steps, starts = settled(steps), settled(starts.select(F.col("id").alias("start")).distinct())
     frontier = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("rank"), F.array("start").alias("path"), F.array().cast("array<string>").alias("edge_path"))
     seen = starts.select("start", F.col("start").alias("node"))
@@ -70,8 +73,10 @@ def search_paths(steps: DataFrame, starts: DataFrame, depth: int, most: int | No
 
 
 def impact(edges: DataFrame, starts: DataFrame, direction: str = "downstream", depth: int = MAX_DEPTH, max_paths: int = MAX_PATHS) -> DataFrame:
-    """What a change of each start reaches, at most max_paths paths of at most depth steps each."""
-    return search_paths(oriented(edges, direction), starts, max(0, min(MAX_DEPTH, depth)) or 1, max(1, min(MAX_PATHS, max_paths)))
+    """What a change of each start reaches, at most max_paths paths of at most depth steps each; at depth 0 nothing."""
+    depth = max(0, min(MAX_DEPTH, depth))
+    found = search_paths(oriented(edges, direction), starts, max(1, depth), max(1, min(MAX_PATHS, max_paths)))
+    return found if depth else found.filter(F.lit(False))
 
 
 def reach(edges: DataFrame, starts: DataFrame, direction: str = "downstream", depth: int = MAX_DEPTH) -> DataFrame:
@@ -91,7 +96,16 @@ def why_paths(edges: DataFrame, pairs: DataFrame, depth: int = MAX_DEPTH, max_pa
     it meets its target; a pair of one node twice has one empty path.
     """
     steps = edges.select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"), F.col("id").alias("edge_id"))
-    pairs = pairs.select("from_id", "to_id").distinct()
+    pairs = settled(pairs.select("from_id", "to_id").distinct())
+    # a trail goes only to nodes from which its target can still be met: (to_id, node, left), searched backwards
+    back = pairs.select("to_id", F.col("to_id").alias("dst")).distinct()
+    close = back.select("to_id", F.col("dst").alias("node"), F.lit(0).alias("left"))
+    seen = close
+    for level in range(1, depth):
+        back = settled(back.join(steps, "dst").select("to_id", F.col("src").alias("node")).distinct().join(seen.select("to_id", "node"), ["to_id", "node"], "left_anti").withColumn("left", F.lit(level)))
+        seen = seen.union(back)
+        back = back.select("to_id", F.col("node").alias("dst"))
+    near_enough = settled(seen)
     trail = pairs.select("from_id", "to_id", F.col("from_id").alias("node"), F.array("from_id").alias("path"), F.array().cast("array<string>").alias("edge_path"))
     ended = trail.filter("from_id = to_id")
     trail = trail.filter("from_id <> to_id")
@@ -101,6 +115,7 @@ def why_paths(edges: DataFrame, pairs: DataFrame, depth: int = MAX_DEPTH, max_pa
         else:
             near = trail.join(steps, F.col("node") == F.col("src")).filter(~F.array_contains("path", F.col("dst")))
         near = near.select("from_id", "to_id", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), F.concat("edge_path", F.array("edge_id")).alias("edge_path"))
+        near = settled(near.join(near_enough.filter(F.col("left") <= depth - level), ["to_id", "node"]).select("from_id", "to_id", "node", "path", "edge_path"))
         ended = ended.union(near.filter("node = to_id"))
         trail = near.filter("node <> to_id")
     w = Window.partitionBy("from_id", "to_id").orderBy(F.size("edge_path"), F.array_join("edge_path", ","))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import ids
 from ..operators import analyze, scan, store, traverse
@@ -46,28 +47,28 @@ def _tested(g: Graph) -> DataFrame:
 
 @query("SELECT kind, count(*) AS n FROM nodes GROUP BY kind")
 def nodes_by_kind(spark, d):
-    return tables.table_nodes(spark, d).groupBy("kind").agg(F.count("*").alias("n"))
+    return _g(spark, d).nodes.groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query("SELECT type, count(*) AS n, CAST(sum(n_evidence) AS BIGINT) AS evidence FROM edges GROUP BY type")
 def edges_by_type(spark, d):
-    return tables.table_edges(spark, d).groupBy("type").agg(F.count("*").alias("n"), F.sum("n_evidence").alias("evidence"))
+    return _g(spark, d).edges.groupBy("type").agg(F.count("*").alias("n"), F.sum("n_evidence").alias("evidence"))
 
 
 @query("SELECT id, type, from_id, to_id FROM edges e WHERE EXISTS (SELECT 1 FROM nodes n WHERE n.id = e.from_id) AND EXISTS (SELECT 1 FROM nodes n WHERE n.id = e.to_id)")
 def edge_ids(spark, d):
-    e, n = tables.table_edges(spark, d).select("id", "type", "from_id", "to_id"), tables.table_nodes(spark, d).select("id")
+    e, n = _g(spark, d).edges.select("id", "type", "from_id", "to_id"), _g(spark, d).nodes.select("id")
     return e.join(n.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(n.withColumnRenamed("id", "to_id"), "to_id", "left_semi")
 
 
 @query("SELECT id, kind, name, path, critical FROM nodes ORDER BY kind, id LIMIT 50")
 def node_scan_topn(spark, d):
-    return scan.list_nodes(tables.table_nodes(spark, d))
+    return scan.list_nodes(_g(spark, d).nodes)
 
 
 @query("SELECT id, type, from_id, to_id FROM edges ORDER BY id LIMIT 100")
 def edge_scan_topn(spark, d):
-    return scan.list_edges(tables.table_edges(spark, d)).select("id", "type", "from_id", "to_id")
+    return scan.list_edges(_g(spark, d).edges).select("id", "type", "from_id", "to_id")
 
 
 @query("WITH c AS (SELECT 'chunk:' || doc_id AS id, 'doc:' || doc_id AS node_id, lang AS kind FROM documents) SELECT * FROM c ORDER BY id LIMIT 1000")
@@ -77,12 +78,12 @@ def chunk_scan(spark, d):
 
 @query("SELECT id, kind, (id = 'part_12' OR name = 'part_12') AS exact FROM nodes WHERE lower(id) LIKE '%part_12%' OR lower(name) LIKE '%part_12%' ORDER BY exact DESC, kind, id LIMIT 20")
 def find_nodes(spark, d):
-    return scan.find_nodes(tables.table_nodes(spark, d), "part_12").select("id", "kind", "exact")
+    return scan.find_nodes(_g(spark, d).nodes, "part_12").select("id", "kind", "exact")
 
 
 @query("SELECT kind, count(*) AS n, count(CASE WHEN critical THEN 1 END) AS critical FROM nodes WHERE kind IN ('Function', 'API', 'Table') GROUP BY kind")
 def critical_nodes(spark, d):
-    n = scan.nodes_by_kinds(tables.table_nodes(spark, d), ("Function", "API", "Table"))
+    n = scan.nodes_by_kinds(_g(spark, d).nodes, ("Function", "API", "Table"))
     return n.groupBy("kind").agg(F.count("*").alias("n"), F.count_if("critical").alias("critical"))
 
 
@@ -91,7 +92,7 @@ _DEGREES = "deg AS (SELECT id, sum(i) AS in_degree, sum(1 - i) AS out_degree, co
 
 @query(f"{tables.WITH}, {_DEGREES} SELECT id, CAST(in_degree AS BIGINT) AS in_degree, CAST(out_degree AS BIGINT) AS out_degree, degree FROM deg")
 def degree(spark, d):
-    return scan.degrees(tables.table_edges(spark, d))
+    return scan.degrees(_g(spark, d).edges)
 
 
 _BOTH = "(SELECT from_id AS id, id AS edge_id, type, to_id AS other FROM edges UNION ALL SELECT to_id, id, type, from_id FROM edges WHERE from_id <> to_id)"
@@ -168,13 +169,14 @@ def impact_counts(spark, d):
     return found.join(g.nodes.select(F.col("id").alias("node"), "kind"), "node").groupBy("start", "kind").agg(F.count_distinct("node").alias("n"))
 
 
-_SUMMARY = """, per AS (SELECT start, count(*) AS n_paths, count(DISTINCT node) AS impacted, bool_or(n.critical) AS any_critical, bool_or(type = 'WRITES') AS writes, bool_or(n.kind = 'External') AS external,
-  bool_or(n.kind = 'Test') AS tested, bool_or(n.kind IN ('Function', 'Method', 'Class', 'Service', 'API', 'Table')) AS testable FROM found JOIN nodes n ON n.id = node GROUP BY start),
-dg AS (SELECT id, count(*) AS degree FROM (SELECT id, edge_id FROM (SELECT from_id AS id, id AS edge_id FROM edges UNION SELECT to_id, id FROM edges)) GROUP BY id),
-summary AS (SELECT s.id AS start, s.kind AS start_kind, coalesce(n_paths, 0) AS n_paths, coalesce(impacted, 0) AS impacted, coalesce(any_critical, false) OR s.critical AS critical, coalesce(writes, false) AS writes,
-  coalesce(external, false) AS external, coalesce(tested, false) AS tested, coalesce(testable, false) OR s.kind IN ('Function', 'Method', 'Class', 'Service', 'API', 'Table') AS testable, coalesce(degree, 0) AS degree
-  FROM nodes s JOIN starts USING (id) LEFT JOIN per ON per.start = s.id LEFT JOIN dg ON dg.id = s.id)"""
-_CHIPS = "array_to_string(list_filter([CASE WHEN impacted > 0 THEN 'downstream' END, CASE WHEN critical THEN 'critical' END, CASE WHEN writes THEN 'db_write' END, CASE WHEN external OR start_kind = 'External' THEN 'external' END, CASE WHEN degree >= 10 THEN 'high_degree' END, CASE WHEN NOT tested AND testable THEN 'untested' END], lambda x: x IS NOT NULL), ',')"
+_SUMMARY = """, dg AS (SELECT id, count(*) AS degree FROM (SELECT from_id AS id, id AS edge_id FROM edges UNION SELECT to_id, id FROM edges) GROUP BY id),
+per AS (SELECT start, count(*) AS n_paths, count(DISTINCT node) AS impacted, bool_or(n.critical) AS any_critical, bool_or(type = 'WRITES') AS writes, count(DISTINCT CASE WHEN n.kind = 'External' THEN node END) AS externals,
+  bool_or(n.kind = 'Test') AS tested, bool_or(n.kind IN ('Function', 'Method', 'Class', 'Service', 'API', 'Table')) AS testable, bool_or(degree >= 10) AS high_degree, bool_or(n.kind = 'API') AS api, bool_or(n.kind = 'Contract') AS contract,
+  max(CASE WHEN path_no = 1 THEN array_to_string(found.path, ' → ') END) AS first_path FROM found JOIN nodes n ON n.id = node LEFT JOIN dg ON dg.id = node GROUP BY start),
+summary AS (SELECT s.id AS start, s.critical AS start_critical, coalesce(n_paths, 0) AS n_paths, coalesce(impacted, 0) AS impacted, coalesce(any_critical, false) OR s.critical AS critical, coalesce(writes, false) AS writes,
+  coalesce(externals, 0) AS externals, coalesce(tested, false) AS tested, coalesce(testable, false) AS testable, coalesce(high_degree, false) AS high_degree, coalesce(api, false) AS api, coalesce(contract, false) AS contract, coalesce(first_path, s.id) AS first_path
+  FROM nodes s JOIN starts USING (id) LEFT JOIN per ON per.start = s.id)"""
+_CHIPS = "array_to_string(list_filter([CASE WHEN impacted > 0 THEN 'downstream' END, CASE WHEN critical THEN 'critical' END, CASE WHEN writes THEN 'db_write' END, CASE WHEN externals > 0 THEN 'external' END, CASE WHEN high_degree THEN 'high_degree' END, CASE WHEN NOT tested AND testable THEN 'untested' END], lambda x: x IS NOT NULL), ',')"
 
 
 @query(_DOWN_TABLES + _SUMMARY + f" SELECT start, n_paths, impacted, {_CHIPS} AS chips FROM summary")
@@ -186,13 +188,14 @@ def impact_chips(spark, d):
 
 @query(
     _DOWN_TESTED + _SUMMARY + f""", {_DEGREES}, most AS (SELECT max(greatest(in_degree, out_degree)) AS most FROM deg),
-db AS (SELECT id, count(*) AS n FROM (SELECT from_id AS id FROM edges WHERE type IN ('READS', 'WRITES') UNION ALL SELECT to_id FROM edges WHERE type IN ('READS', 'WRITES')) GROUP BY id),
-ex AS (SELECT a AS id, count(DISTINCT b) AS n FROM (SELECT from_id AS a, to_id AS b FROM edges UNION ALL SELECT to_id, from_id FROM edges) JOIN nodes ON nodes.id = b AND kind = 'External' GROUP BY a),
-r AS (SELECT start, CAST(coalesce(out_degree, 0) AS BIGINT) AS dependency_count, impacted AS downstream_consumers, round(coalesce(deg.degree, 0) / most, 3) AS centrality, coalesce(db.n, 0) AS db_interactions, coalesce(ex.n, 0) AS external_deps, tested AS test_coverage, critical AS critical_path
-  FROM summary LEFT JOIN deg ON deg.id = start CROSS JOIN most LEFT JOIN db ON db.id = start LEFT JOIN ex ON ex.id = start),
+around AS (SELECT start, node FROM found UNION SELECT id, id FROM starts), ends AS (SELECT id AS edge, from_id AS node FROM edges WHERE type IN ('READS', 'WRITES') UNION SELECT id, to_id FROM edges WHERE type IN ('READS', 'WRITES')),
+db AS (SELECT start, count(DISTINCT edge) AS n FROM around JOIN ends USING (node) GROUP BY start), direct AS (SELECT DISTINCT to_id AS id FROM edges WHERE type = 'TESTS'),
+r AS (SELECT start, coalesce(dg.degree, 0) AS dependency_count, impacted AS downstream_consumers, round(coalesce(dg.degree, 0) / most, 3) AS centrality, coalesce(db.n, 0) AS db_interactions, externals AS external_deps, tested OR direct.id IS NOT NULL AS test_coverage, critical AS critical_path
+  FROM summary LEFT JOIN dg ON dg.id = start CROSS JOIN most LEFT JOIN db USING (start) LEFT JOIN direct ON direct.id = start),
 s AS (SELECT *, CAST(least(100, CASE WHEN downstream_consumers >= 10 THEN 25 WHEN downstream_consumers >= 3 THEN 12 ELSE 0 END + CASE WHEN centrality >= 0.6 THEN 20 WHEN centrality >= 0.3 THEN 10 ELSE 0 END + CASE WHEN test_coverage THEN 0 ELSE 20 END
   + CASE WHEN db_interactions > 0 THEN 12 ELSE 0 END + CASE WHEN external_deps > 0 THEN 10 ELSE 0 END + CASE WHEN critical_path THEN 20 ELSE 0 END) AS BIGINT) AS score FROM r)
-SELECT *, CASE WHEN score >= 55 THEN 'high' WHEN score >= 25 THEN 'medium' ELSE 'low' END AS level FROM s"""
+SELECT *, CASE WHEN score >= 55 THEN 'high' WHEN score >= 25 THEN 'medium' ELSE 'low' END AS level, array_to_string(list_filter([CASE WHEN downstream_consumers >= 10 THEN 'large_downstream' END, CASE WHEN downstream_consumers BETWEEN 3 AND 9 THEN 'moderate_downstream' END,
+  CASE WHEN centrality >= 0.6 THEN 'hub' END, CASE WHEN NOT test_coverage THEN 'untested' END, CASE WHEN db_interactions > 0 THEN 'db_interaction' END, CASE WHEN external_deps > 0 THEN 'external_dependency' END, CASE WHEN critical_path THEN 'critical_path' END], lambda x: x IS NOT NULL), ',') AS signals FROM s"""
 )
 def risk_profile(spark, d):
     g = _g(spark, d)
@@ -231,13 +234,16 @@ def diff_impact(spark, d):
     return analyze.diff_impact(g, _tested(g).withColumn("change", F.lit("signature")))
 
 
+_POLICY_STARTS = _TESTED_STARTS + " UNION SELECT id FROM nodes WHERE kind IN ('Service', 'Table')"
+
+
 @query(
-    _DOWN_TESTED + _SUMMARY + """, hit AS (SELECT start, node FROM found UNION SELECT id, id FROM starts), bare AS (SELECT DISTINCT start FROM hit JOIN nodes ON nodes.id = node AND kind = 'API')
-SELECT start, 'critical_without_tests' AS policy, 'block' AS severity FROM summary WHERE critical AND NOT tested UNION ALL SELECT start, 'public_route_without_contract', 'warn' FROM bare UNION ALL SELECT start, 'db_write_on_path', 'warn' FROM summary WHERE writes"""
+    search_sql("downstream", _POLICY_STARTS, 5, 7) + _SUMMARY + """ SELECT start, 'critical_without_tests' AS policy, 'block' AS severity FROM summary WHERE start_critical AND NOT tested
+UNION ALL SELECT start, 'public_route_without_contract', 'warn' FROM summary WHERE api AND NOT contract UNION ALL SELECT start, 'db_write_on_path', 'warn' FROM summary WHERE writes"""
 )
 def policy(spark, d):
     g = _g(spark, d)
-    return analyze.policies(g, _tested(g), ("critical_without_tests",))
+    return analyze.policies(g, _tested(g).union(g.nodes.filter("kind in ('Service', 'Table')").select("id")), ("critical_without_tests",))
 
 
 @query(_DOWN_TESTED + " SELECT DISTINCT start, path AS file FROM (SELECT start, node FROM found JOIN nodes ON nodes.id = node AND kind IN ('Function', 'Method', 'Class', 'Module', 'File') UNION SELECT id, id FROM starts) x JOIN nodes ON nodes.id = node WHERE path IS NOT NULL".replace("array_to_string", "array_to_string"))
@@ -248,8 +254,10 @@ def plan_change(spark, d):
 
 @query(
     """WITH t AS (SELECT DISTINCT event_type AS task, event_type = 'error' AS security_sensitive, CASE WHEN event_type = 'click' THEN 0.7 WHEN event_type = 'view' THEN 0.2 ELSE 0.0 END AS ambiguity FROM events UNION ALL SELECT * FROM (VALUES ('impact', false, 0.0), ('summary', false, 0.9), ('narration', false, 0.0), ('incident', false, 0.0))),
-r AS (SELECT *, CASE WHEN security_sensitive THEN 'strong' WHEN task IN ('parsing', 'graph_query', 'impact', 'diff', 'search', 'why_path', 'tests_to_run', 'validate') THEN 'deterministic' WHEN task IN ('architecture', 'dynamic_coupling', 'plan_change', 'incident') OR ambiguity >= 0.6 THEN 'strong' WHEN task IN ('summary', 'classification', 'narration', 'routing') OR ambiguity > 0 THEN 'cheap' ELSE 'deterministic' END AS tier FROM t)
-SELECT task, security_sensitive, tier, CAST(CASE WHEN security_sensitive THEN 12 WHEN tier = 'strong' THEN 10 WHEN tier = 'cheap' THEN 1 ELSE 0 END AS BIGINT) AS cost FROM r"""
+r AS (SELECT *, lower(trim(task)) AS k, CASE WHEN security_sensitive THEN 'verifier' WHEN k IN ('parsing', 'graph_query', 'impact', 'diff', 'search', 'why_path', 'tests_to_run', 'validate') THEN 'deterministic' WHEN k IN ('architecture', 'dynamic_coupling', 'plan_change', 'incident') OR ambiguity >= 0.6 THEN 'strong' WHEN k IN ('summary', 'classification', 'narration', 'routing') OR ambiguity > 0 THEN 'cheap' ELSE 'default' END AS choice FROM t)
+SELECT task, security_sensitive, CASE WHEN choice = 'default' THEN 'deterministic' ELSE choice END AS tier, CAST(CASE choice WHEN 'verifier' THEN 12 WHEN 'strong' THEN 10 WHEN 'cheap' THEN 1 ELSE 0 END AS BIGINT) AS cost,
+CASE choice WHEN 'verifier' THEN 'security-sensitive work requires an independent verifier' WHEN 'deterministic' THEN 'deterministic tooling satisfies this with no model call' WHEN 'strong' THEN 'high difficulty/ambiguity warrants a stronger model' WHEN 'cheap' THEN 'a cheap model is sufficient' ELSE 'default to deterministic; escalate only when needed' END AS reason,
+choice NOT IN ('deterministic', 'default') AS uses_model, false AS provider_locked FROM r"""
 )
 def route(spark, d):
     e = _read(spark, d, "events").select(F.col("event_type").alias("task")).distinct()
@@ -258,7 +266,7 @@ def route(spark, d):
     return analyze.route(e.union(more)).drop("ambiguity")
 
 
-@query(_DOWN_TABLES + _SUMMARY + f" SELECT start, 'Changing ' || start || ' reaches ' || impacted || ' nodes over ' || n_paths || ' paths; signals: ' || coalesce(nullif(replace({_CHIPS}, ',', ', '), ''), 'none') || '.' AS text FROM summary")
+@query(_DOWN_TABLES + _SUMMARY + f" SELECT start, 'Changing ' || start || ' affects ' || impacted || ' node(s).' || coalesce(' Risks: ' || nullif(replace({_CHIPS}, ',', ', '), '') || '.', '') || ' Example path: ' || first_path || '.' AS text FROM summary")
 def narration(spark, d):
     g = _g(spark, d)
     return analyze.narration(analyze.impact_summary(g, g.nodes.filter("kind = 'Table'").select("id")))
@@ -271,7 +279,7 @@ def narration(spark, d):
 def edge_merge(spark, d):
     raw = tables.raw_edges(spark, d).filter("type in ('DEPENDS_ON', 'PUBLISHES', 'SUBSCRIBES')")
     rows = raw.select("type", "from_id", "to_id", F.lit("lineitem").alias("file"), F.col("line").cast("int").alias("line"), F.lit("row").alias("snippet"), "source", "confidence", F.col("line").alias("seq"))
-    merged = store.upsert_edges(rows, tables.table_nodes(spark, d))
+    merged = store.upsert_edges(rows, _g(spark, d).nodes)
     return merged.select("id", F.size("evidence").cast("long").alias("n_evidence"), F.array_join(F.array_sort("sources"), ",").alias("sources"), "confidence")
 
 
@@ -350,7 +358,7 @@ def large_downstream(spark, d):
     return traverse.impact(g.edges, g.nodes.filter("kind = 'Table'").select("id")).groupBy("start").agg(F.count_distinct("node").alias("downstream"))
 
 
-_RING = "x AS (SELECT DISTINCT 'n' || n_nationkey AS a, 'n' || ((n_nationkey * 7 + 3) % 25) AS b FROM nation UNION SELECT 'n' || n_nationkey, 'n' || ((n_nationkey + 5) % 25) FROM nation)"
+_RING = "k AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS k FROM orders), x AS (SELECT DISTINCT 'o' || p.o_orderkey AS a, 'o' || q.o_orderkey AS b FROM k p JOIN k q ON p.o_custkey = q.o_custkey AND q.k = CASE WHEN p.k % 4 = 3 THEN p.k - 3 ELSE p.k + 1 END)"
 
 
 @query(
@@ -359,9 +367,11 @@ _RING = "x AS (SELECT DISTINCT 'n' || n_nationkey AS a, 'n' || ((n_nationkey * 7
     + " SELECT DISTINCT array_to_string(path, '>') AS cycle, len(path) AS length FROM (" + " UNION ALL ".join(f"SELECT t.path FROM t{k} t JOIN x ON x.a = t.node AND x.b = t.first WHERE t.node <> t.first" for k in range(1, 5)) + " UNION ALL SELECT path FROM t1 WHERE first = node)"
 )
 def cycles(spark, d):
-    n = _read(spark, d, "nation").select("n_nationkey")
-    edge = lambda to: n.select(F.lit("CALLS").alias("type"), F.concat(F.lit("n"), "n_nationkey").alias("from_id"), F.concat(F.lit("n"), to % 25).alias("to_id"))
-    return analyze.cycles(edge(F.col("n_nationkey") * 7 + 3).union(edge(F.col("n_nationkey") + 5)), CYCLE_TYPES)
+    """Each customer's orders call the next one, and every fourth the first of its four."""
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    k = _read(spark, d, "orders").select("o_custkey", F.concat(F.lit("o"), "o_orderkey").alias("id"), place.alias("k"))
+    steps = k.select("o_custkey", F.col("id").alias("from_id"), F.when(F.col("k") % 4 == 3, F.col("k") - 3).otherwise(F.col("k") + 1).alias("k"))
+    return analyze.cycles(steps.join(k, ["o_custkey", "k"]).select(F.lit("CALLS").alias("type"), "from_id", F.col("id").alias("to_id")), CYCLE_TYPES)
 
 
 # --- maps, search -----------------------------------------------------------
@@ -424,7 +434,7 @@ def page_hrefs(spark, d):
     return lines.hrefs(_read(spark, d, "pages"))
 
 
-@query(r"""WITH t AS (SELECT doc_id, nullif(regexp_extract(lower(text), '(?:insert\s+into|update|delete\s+from)\s+["''`]?([a-z_][a-z0-9_.]*)', 1), '') AS w, nullif(regexp_extract(lower(text), '\bfrom\s+["''`]?([a-z_][a-z0-9_.]*)', 1), '') AS r FROM documents)
+@query(r"""WITH t AS (SELECT doc_id, nullif(regexp_extract(lower(text), '\b(?:insert\s+into|update|delete\s+from)\s+["''`]?([a-z_][a-z0-9_.]*)', 1), '') AS w, nullif(regexp_extract(lower(text), '\bfrom\s+["''`]?([a-z_][a-z0-9_.]*)', 1), '') AS r FROM documents)
 SELECT doc_id, CASE WHEN w IS NOT NULL THEN 'WRITES' ELSE 'READS' END AS access, coalesce(w, r) AS table_name FROM t WHERE coalesce(w, r) IS NOT NULL""")
 def sql_in_text(spark, d):
     return lines.sql_in_text(_read(spark, d, "documents").select("doc_id", "text")).select("doc_id", "access", "table_name")
@@ -446,11 +456,12 @@ def enclosing_symbol(spark, d):
     return lines.enclosing(rows, spans)
 
 
-@query("WITH e AS (SELECT 'fn:repo:n' || c_nationkey || '/c' || c_custkey AS from_id, 'api:/m/' || c_mktsegment AS to_id, c_custkey % 50 = 0 AS maker FROM customer WHERE c_custkey % 10 = 0) SELECT DISTINCT u.from_id, m.from_id AS to_id FROM e m JOIN e u ON m.to_id = u.to_id AND m.maker AND NOT u.maker AND split_part(m.from_id, '/', 1) <> split_part(u.from_id, '/', 1)")
+@query("WITH e AS (SELECT 'fn:repo:n' || c_nationkey || '/c' || c_custkey AS from_id, 'api:/m/' || c_mktsegment || '/' || (c_custkey // 100) AS to_id, c_custkey % 50 = 0 AS maker FROM customer) SELECT DISTINCT u.from_id, m.from_id AS to_id FROM e m JOIN e u ON m.to_id = u.to_id AND m.maker AND NOT u.maker AND split_part(m.from_id, '/', 1) <> split_part(u.from_id, '/', 1)")
 def cross_repo(spark, d):
-    c = _read(spark, d, "customer").filter("c_custkey % 10 = 0")
+    """APIs of a segment and a hundred customers each, so that the pairs grow with the table."""
     from_id = ids.prefix_repo(F.concat(F.lit("fn:c"), "c_custkey"), F.concat(F.lit("n"), "c_nationkey"))
-    edges = c.select(F.when(F.col("c_custkey") % 50 == 0, "EXPOSES").otherwise("CONSUMES").alias("type"), from_id.alias("from_id"), F.concat(F.lit("api:/m/"), "c_mktsegment").alias("to_id"))
+    api = F.concat(F.lit("api:/m/"), "c_mktsegment", F.lit("/"), F.floor(F.col("c_custkey") / 100))
+    edges = _read(spark, d, "customer").select(F.when(F.col("c_custkey") % 50 == 0, "EXPOSES").otherwise("CONSUMES").alias("type"), from_id.alias("from_id"), api.alias("to_id"))
     return analyze.cross_repo(edges)
 
 
@@ -483,7 +494,7 @@ def sync_skip(spark, d):
 
 @query("SELECT id, CASE WHEN contains(id, ':') THEN substring(id, 1, strpos(id, ':')) || 'repo:web/' || substring(id, strpos(id, ':') + 1) ELSE id END AS prefixed, 'web' AS repo, 'n_' || regexp_replace(id, '[^A-Za-z0-9_]', '_', 'g') AS safe FROM nodes WHERE kind IN ('Function', 'API', 'Doc')")
 def prefix_ids(spark, d):
-    n = scan.nodes_by_kinds(tables.table_nodes(spark, d), ("Function", "API", "Doc")).withColumn("prefixed", ids.prefix_repo("id", F.lit("web")))
+    n = scan.nodes_by_kinds(_g(spark, d).nodes, ("Function", "API", "Doc")).withColumn("prefixed", ids.prefix_repo("id", F.lit("web")))
     return n.select("id", ids.prefix_repo("prefixed", F.lit("other")).alias("prefixed"), ids.repo_of("prefixed").alias("repo"), ids.safe_id("id").alias("safe"))
 
 
@@ -506,3 +517,66 @@ def openapi_forward_fill(spark, d):
 def line_scan(spark, d):
     f = _read(spark, d, "documents").select(F.col("doc_id").alias("path"), F.coalesce("text", F.lit("")).alias("content"))
     return lines.lines(f).groupBy(F.col("path").alias("doc_id")).agg(F.count("*").alias("lines"), F.count_if(F.trim("text") != "").alias("filled"))
+
+
+# --- code -------------------------------------------------------------------
+
+
+def _code(spark: SparkSession, d: str) -> DataFrame:
+    """A source file for each customer: what a line holds follows from the row."""
+    k, n, s = F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string"), F.lower("c_mktsegment")
+    text = F.concat_ws(
+        "\n", F.concat(F.lit("import { x } from './m"), n, F.lit("'")), F.concat(F.lit("import y from 'lib"), n, F.lit("'")), F.concat(F.lit("export async function f"), k, F.lit("(a) {")), F.concat(F.lit("  app.post('/c/"), k, F.lit("', h)")),
+        F.concat(F.lit("  fetch('https://h.example/n/"), n, F.lit("', {method: 'PUT'})")), F.concat(F.lit("  bus.emit('ev."), s, F.lit("')")), F.concat(F.lit("  bus.subscribe('ev."), s, F.lit("', f)")), F.lit("}"), F.concat(F.lit("class A"), k, F.lit(" implements I"), n, F.lit(", J {")), F.lit("}"),
+    )
+    return _read(spark, d, "customer").select(F.concat(F.lit("src/c"), k, F.lit(".ts")).alias("path"), text.alias("content"))
+
+
+@query("SELECT 'src/c' || c_custkey || '.ts' AS path, 3 AS line, 'Function' AS kind, 'f' || c_custkey AS name, 'export async function f' || c_custkey || '(a) {' AS signature FROM customer UNION ALL SELECT 'src/c' || c_custkey || '.ts', 9, 'Class', 'A' || c_custkey, 'class A' || c_custkey || ' implements I' || c_nationkey || ', J {' FROM customer")
+def symbol_scan(spark, d):
+    return lines.symbols(_code(spark, d)).select("path", "line", "kind", "name", "signature")
+
+
+@query("SELECT 'src/c' || c_custkey || '.ts' AS path, 4 AS line, 'POST' AS method, '/c/' || c_custkey AS route FROM customer")
+def code_routes(spark, d):
+    return lines.route_calls(_code(spark, d))
+
+
+@query("SELECT 'src/c' || c_custkey || '.ts' AS path, 5 AS line, 'PUT' AS method, '/n/' || c_nationkey AS route FROM customer UNION ALL SELECT 'src/c' || c_custkey || '.ts', 4, 'POST', '/c/' || c_custkey FROM customer")
+def code_http_calls(spark, d):
+    return lines.http_calls(_code(spark, d))
+
+
+@query("SELECT 'src/c' || c_custkey || '.ts' AS path, CAST(unnest([6, 7]) AS INTEGER) AS line, unnest(['PUBLISHES', 'SUBSCRIBES']) AS type, 'ev.' || lower(c_mktsegment) AS event FROM customer")
+def code_events(spark, d):
+    return lines.event_calls(_code(spark, d))
+
+
+@query("SELECT 'src/c' || c_custkey || '.ts' AS path, 1 AS line, 'src/m' || c_nationkey || '.ts' AS target, true AS local FROM customer UNION ALL SELECT 'src/c' || c_custkey || '.ts', 2, 'lib' || c_nationkey, false FROM customer")
+def code_imports(spark, d):
+    return lines.imports(_code(spark, d))
+
+
+@query("SELECT 'src/c' || c_custkey || '.ts' AS path, 9 AS line, 'A' || c_custkey AS class, unnest(['I' || c_nationkey, 'J']) AS interface FROM customer")
+def code_implements(spark, d):
+    return lines.implements(_code(spark, d))
+
+
+@query("SELECT 'r' || s_suppkey || '/requirements.txt' AS path, CAST(unnest([2, 3]) AS INTEGER) AS line, unnest(['lib' || s_nationkey, 'base']) AS package, unnest(['1.' || s_suppkey, NULL]) AS version FROM supplier")
+def requirements_lines(spark, d):
+    text = F.concat(F.lit("# pinned\nlib"), "s_nationkey", F.lit(" >= 1."), "s_suppkey", F.lit("\nbase\n"))
+    return lines.requirements(_read(spark, d, "supplier").select(F.concat(F.lit("r"), "s_suppkey", F.lit("/requirements.txt")).alias("path"), text.alias("content")))
+
+
+@query("SELECT n.id, e.id AS edge_id, e.type, CASE WHEN from_id = n.id THEN to_id ELSE from_id END AS other, m.kind AS other_kind FROM nodes n JOIN edges e ON e.from_id = n.id OR e.to_id = n.id JOIN nodes m ON m.id = CASE WHEN from_id = n.id THEN to_id ELSE from_id END WHERE n.id = 'table:part_12'")
+def symbol(spark, d):
+    return analyze.symbol(_g(spark, d), "part_12")
+
+
+@query(
+    r"""WITH h AS (SELECT 'doc:' || doc_id AS id, 'doc ' || doc_id AS name, lower('doc:' || doc_id || ' doc ' || doc_id || ' ' || coalesce(text, '')) AS hay FROM documents), s AS (SELECT id, name,
+len(list_intersect(['the', 'of', 'doc'], list_distinct(regexp_extract_all(hay, '[a-z0-9_@./:-]+')))) / 3 + CASE WHEN contains(hay, 'the of doc') THEN 0.75 ELSE 0 END AS score FROM h), b AS (SELECT id, name, round(max(score), 6) AS score FROM s WHERE score > 0 GROUP BY id, name)
+SELECT CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS rank, id, 'Doc' AS kind, name, score FROM b QUALIFY rank <= 20"""
+)
+def search_topk(spark, d):
+    return analyze.search_top(_g(spark, d), "the of doc")

@@ -3,20 +3,25 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .lines import FILE_KINDS
+
 # Folders that are left out, and what is read.
-IGNORED = ("node_modules", ".git", "dist", "build", "out", "coverage", ".next", "target", "vendor", "__pycache__", ".venv", "venv", ".cache", ".idea", ".vscode")
-EXTENSIONS = ("ts", "tsx", "js", "jsx", "mjs", "cjs", "py", "java", "go", "rs", "rb", "php", "cs", "c", "h", "cpp", "hpp", "kt", "swift", "scala", "sql")
+# The tool's own folder, which comes first to mind beside .git, has this library's name.
+IGNORED = (".git", ".graphloom", "node_modules", "dist", "build", "out", ".venv", "venv", "__pycache__", "vendor", "generated", ".next", "coverage", ".turbo", ".cache")
+EXTENSIONS = ("ts", "tsx", "js", "jsx", "mjs", "cjs", "py", "java", "go", "rb", "rs", "php", "cs", "kt", "scala", "swift", "c", "cc", "cpp", "h", "hpp")
 MANIFESTS = ("package.json", "requirements.txt", "pyproject.toml", "go.mod", "Cargo.toml", "pom.xml")
 MAX_BYTES = 512 * 1024
 
 
 def wanted(name: str) -> bool:
+    """Manifests, code, and the files that kind_of_file names."""
     low = name.lower()
-    return name in MANIFESTS or low.rpartition(".")[2] in EXTENSIONS or low.startswith((".env", "dockerfile", "openapi", "asyncapi", "swagger", "docker-compose", "compose"))
+    return name in MANIFESTS or ("." in low and low.rpartition(".")[2] in EXTENSIONS) or any(re.search(p, low) for p in FILE_KINDS.values())
 
 
 def source_files(spark: SparkSession, root: str, repo: str | None = None) -> DataFrame:

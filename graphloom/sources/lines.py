@@ -11,8 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.ids import edge_id
-
+from ..functions.ids import edge_id, local_import
 
 
 def _file(start: int, end: int) -> Window:
@@ -26,6 +25,28 @@ def _so_far() -> Window:
 
 # What names a verb of an API.
 VERBS = "get|post|put|patch|delete|options|head"
+# Lower-case names of files by what reads them, in this order.
+FILE_KINDS = {
+    "openapi": r"(openapi|swagger|asyncapi).*\.(yaml|yml|json)$",
+    "sql": r"\.sql$",
+    "compose": r"^(docker-compose\.yml|docker-compose\.yaml|compose\.yml|compose\.yaml)$",
+    "dockerfile": r"^dockerfile($|\.)",
+    "config": r"^\.env($|\.)|\.env$",
+}
+# What declares a symbol, tried in this order.
+DECLARATIONS = (
+    (r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s+([A-Za-z_$][\w$]*)", "Function"),
+    (r"^\s*(?:export\s+)?(?:abstract\s+)?class\s+([A-Za-z_$][\w$]*)", "Class"),
+    (r"^\s*(?:export\s+)?const\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?\(", "Function"),
+    (r"^\s*def\s+([A-Za-z_][\w]*)", "Function"),
+    (r"^\s*class\s+([A-Za-z_][\w]*)", "Class"),
+    (r"^\s*(?:func|fn|sub)\s+([A-Za-z_][\w]*)", "Function"),
+)
+# Callees that register routes, call over HTTP, publish and subscribe.
+ROUTE_METHODS = ("get", "post", "put", "patch", "delete", "options", "head")
+HTTP_CLIENTS = ("fetch", "get", "post", "put", "patch", "delete", "request", "requests", "axios", "got", "ky", "httpx")
+PUBLISHERS = ("emit", "publish", "dispatch", "send", "produce")
+SUBSCRIBERS = ("on", "subscribe", "addEventListener", "consume", "listen")
 
 
 def lines(files: DataFrame) -> DataFrame:
@@ -34,12 +55,10 @@ def lines(files: DataFrame) -> DataFrame:
 
 
 def kind_of_file(path: F.Column) -> F.Column:
-    """What reads a file, by its name."""
+    """What reads a file, by its name: the first of FILE_KINDS that fits, or a manifest's reader."""
     name = F.lower(F.element_at(F.split(path, "/"), -1))
-    return (
-        F.when(name.rlike(r"^(openapi|asyncapi|swagger).*\.(ya?ml|json)$"), "openapi").when(name.endswith(".sql"), "sql").when(name.rlike(r"^(docker-)?compose.*\.ya?ml$"), "compose")
-        .when(name.startswith("dockerfile"), "dockerfile").when(name.rlike(r"^\.env(\..*)?$"), "config").when(name == "package.json", "npm").when(name == "requirements.txt", "pip")
-    )
+    kinds = [F.when(name.rlike(p), k) for k, p in FILE_KINDS.items()]
+    return F.coalesce(*kinds, F.when(name == "package.json", "npm"), F.when(name == "requirements.txt", "pip"))
 
 
 def requirements(files: DataFrame) -> DataFrame:
@@ -97,15 +116,62 @@ def docker_bases(files: DataFrame) -> DataFrame:
 
 
 def symbols(files: DataFrame) -> DataFrame:
-    """(path, line, kind, name, signature, chunk): the first declaration of each line, with 20 lines of text from it."""
-    found = lines(files)
-    function = F.coalesce(*(F.nullif(F.regexp_extract("text", p, 1), F.lit("")) for p in (r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*([A-Za-z_$][\w$]*)", r"^\s*(?:async\s+)?def\s+([A-Za-z_]\w*)", r"^\s*(?:pub\s+)?(?:func|fn)\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)", r"^\s*(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?\([^)]*\)\s*=>")))
-    type_ = F.nullif(F.regexp_extract("text", r"^\s*(?:export\s+)?(?:default\s+)?(?:public\s+)?(?:abstract\s+)?(?:class|struct)\s+([A-Za-z_]\w*)", 1), F.lit(""))
-    face = F.nullif(F.regexp_extract("text", r"^\s*(?:export\s+)?(?:public\s+)?(?:interface|trait)\s+([A-Za-z_]\w*)", 1), F.lit(""))
-    found = found.withColumn("kind", F.when(function.isNotNull(), "Function").when(type_.isNotNull(), "Class").when(face.isNotNull(), "Interface")).withColumn("name", F.coalesce(function, type_, face))
-    ahead = _file(0, 19)
-    found = found.withColumn("chunk", F.substring(F.array_join(F.collect_list("text").over(ahead), "\n"), 1, 4000))
-    return found.filter("name is not null").select("path", "line", "kind", "name", F.substring(F.trim("text"), 1, 200).alias("signature"), "chunk")
+    """(path, line, kind, name, signature, chunk): the first declaration of each line, with 20 lines of text from it.
+
+    A file's lines are an array that is cut at declarations only: no window, and nothing is copied for other lines.
+    """
+    def told(text, i, all_):
+        names = [F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p, _ in DECLARATIONS]
+        kind = F.coalesce(*(F.when(n.isNotNull(), k) for n, (_, k) in zip(names, DECLARATIONS, strict=True)))
+        return F.struct((i + 1).alias("line"), kind.alias("kind"), F.coalesce(*names).alias("name"), text.alias("text"), i.alias("i"))
+
+    found = files.select("path", F.split("content", "\r?\n").alias("all"))
+    found = found.withColumn("s", F.filter(F.transform("all", lambda x, i: told(x, i, F.col("all"))), lambda s: s["name"].isNotNull()))
+    found = found.select("path", F.explode(F.transform("s", lambda s: F.struct(s["line"].alias("line"), s["kind"].alias("kind"), s["name"].alias("name"), F.substring(F.trim(s["text"]), 1, 200).alias("signature"), F.substring(F.array_join(F.slice("all", s["line"], 20), "\n"), 1, 4000).alias("chunk")))).alias("s"))
+    return found.select("path", "s.*")
+
+
+def _called(files: DataFrame) -> DataFrame:
+    """(path, line, text, callee, arg): calls whose first argument is a string."""
+    one = r"([A-Za-z_$][\w$]*)\s*\(\s*[\"'`]([^\"'`]*)[\"'`]"
+    both = F.arrays_zip(F.regexp_extract_all("text", F.lit(one), F.lit(1)).alias("callee"), F.regexp_extract_all("text", F.lit(one), F.lit(2)).alias("arg"))
+    return lines(files).select("path", "line", "text", F.explode(both).alias("c")).select("path", "line", "text", "c.callee", "c.arg")
+
+
+def route_calls(files: DataFrame) -> DataFrame:
+    """(path, line, method, route): calls that register a route, as in app.get("/x", ...)."""
+    return _called(files).filter(F.lower("callee").isin(*ROUTE_METHODS) & F.col("arg").startswith("/")).select("path", "line", F.upper("callee").alias("method"), F.col("arg").alias("route"))
+
+
+def http_calls(files: DataFrame) -> DataFrame:
+    """(path, line, method, route): calls of HTTP clients, hosts cut off; the method is the callee's, else one that the line names, else GET."""
+    found = _called(files).filter(F.lower("callee").isin(*HTTP_CLIENTS) & F.col("arg").rlike("^(/|https?://)")).withColumn("route", F.regexp_replace("arg", "^https?://[^/]+", ""))
+    hint = F.nullif(F.regexp_extract(F.upper(F.substring(F.trim("text"), 1, 200)), r"\b(GET|POST|PUT|PATCH|DELETE)\b", 1), F.lit(""))
+    method = F.when(F.lower("callee").isin(*ROUTE_METHODS), F.upper("callee")).otherwise(F.coalesce(hint, F.lit("GET")))
+    return found.filter(F.col("route").startswith("/")).select("path", "line", method.alias("method"), "route")
+
+
+def event_calls(files: DataFrame) -> DataFrame:
+    """(path, line, type, event): PUBLISHES or SUBSCRIBES with an event's name."""
+    found = _called(files).filter(F.col("arg").rlike(r"^[A-Za-z][\w.:-]*$"))
+    low = F.lower("callee")
+    type_ = F.when(low.isin(*PUBLISHERS), "PUBLISHES").when(low.isin(*(s.lower() for s in SUBSCRIBERS if s.islower())), "SUBSCRIBES")
+    return found.withColumn("type", type_).filter("type is not null").select("path", "line", "type", F.col("arg").alias("event"))
+
+
+def imports(files: DataFrame) -> DataFrame:
+    """(path, line, target, local): what a line imports; local targets are paths, resolved beside the file."""
+    text = F.col("text")
+    of = lambda p: F.nullif(F.regexp_extract(text, p, 1), F.lit(""))
+    target = F.coalesce(of(r"^\s*import\b[^\"']*[\"']([^\"']+)[\"']"), of(r"^\s*export\b[^\"']*\bfrom\s+[\"']([^\"']+)[\"']"), of(r"^\s*from\s+(\.*[A-Za-z_][\w.]*|\.+)\s+import\b"), of(r"^\s*import\s+(?:static\s+)?([A-Za-z_][\w.]*)"))
+    found = lines(files).withColumn("mod", target).filter("mod is not null").withColumn("local", F.col("mod").startswith("."))
+    return found.select("path", "line", F.when(F.col("local"), local_import("path", "mod")).otherwise(F.col("mod")).alias("target"), "local")
+
+
+def implements(files: DataFrame) -> DataFrame:
+    """(path, line, class, interface): one row for each interface that a class line names."""
+    found = lines(files).select("path", "line", F.regexp_extract("text", r"\bclass\s+([A-Za-z_$][\w$]*)", 1).alias("class"), F.regexp_extract("text", r"\bimplements\s+([^{]+)", 1).alias("all"))
+    return found.filter("class <> '' and all <> ''").select("path", "line", "class", F.explode(F.regexp_extract_all("all", F.lit(r"([A-Za-z_$][\w$.]*)(?:<[^>]*>)?"), F.lit(1))).alias("interface"))
 
 
 def enclosing(rows: DataFrame, spans: DataFrame) -> DataFrame:
@@ -129,7 +195,7 @@ def resolve_calls(unresolved: DataFrame, symbol_nodes: DataFrame) -> DataFrame:
 
 def sql_in_text(rows: DataFrame, text: str = "text") -> DataFrame:
     """rows with the table that a text writes to, or else reads from: access and table_name."""
-    wrote = F.nullif(F.regexp_extract(F.lower(text), r"(?:insert\s+into|update|delete\s+from)\s+[\"'`]?([a-z_][a-z0-9_.]*)", 1), F.lit(""))
+    wrote = F.nullif(F.regexp_extract(F.lower(text), r"\b(?:insert\s+into|update|delete\s+from)\s+[\"'`]?([a-z_][a-z0-9_.]*)", 1), F.lit(""))
     read = F.nullif(F.regexp_extract(F.lower(text), r"\bfrom\s+[\"'`]?([a-z_][a-z0-9_.]*)", 1), F.lit(""))
     return rows.withColumn("access", F.when(wrote.isNotNull(), "WRITES").when(read.isNotNull(), "READS")).withColumn("table_name", F.coalesce(wrote, read)).filter("access is not null")
 

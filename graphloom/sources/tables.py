@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import edge_id
+from ..functions.lineage import settled
 from ..schema import Graph
 
 #: Rows (id, kind, name, path, critical).
@@ -19,6 +20,10 @@ UNION ALL SELECT 'ext:' || s_name, 'External', s_name, NULL, false FROM supplier
 UNION ALL SELECT DISTINCT 'event:' || event_type, 'Event', event_type, CAST(NULL AS STRING), false FROM events
 UNION ALL SELECT DISTINCT 'fn:users/' || user_id || '.ts:session', 'Function', 'session', 'users/' || user_id || '.ts', false FROM events
 UNION ALL SELECT DISTINCT 'doc:' || doc_id, 'Doc', 'doc ' || doc_id, CAST(NULL AS STRING), false FROM documents
+UNION ALL SELECT DISTINCT 'pkg:' || p_brand, 'Package', p_brand, CAST(NULL AS STRING), false FROM part
+UNION ALL SELECT DISTINCT 'mod:' || p_type, 'Module', p_type, CAST(NULL AS STRING), false FROM part
+UNION ALL SELECT 'infra:' || n_name, 'Infra', n_name, NULL, false FROM nation
+UNION ALL SELECT 'table:archive_' || n_name, 'Table', 'archive_' || n_name, NULL, false FROM nation
 UNION ALL SELECT DISTINCT 'test:doc' || doc_id || ':suite', 'Test', 'doc' || doc_id, 'tests/doc' || doc_id || '.test.ts', false FROM labels
 """
 
@@ -35,6 +40,7 @@ UNION ALL SELECT 'DEPENDS_ON', 'fn:orders/' || o_custkey || '.ts:o' || o_orderke
 UNION ALL SELECT 'CONTAINS', 'svc:' || n_name, 'ext:' || s_name, s_suppkey, 'infra', 0.6 FROM supplier JOIN nation ON s_nationkey = n_nationkey
 UNION ALL SELECT CASE WHEN event_type IN ('click', 'purchase', 'signup') THEN 'PUBLISHES' ELSE 'SUBSCRIBES' END, 'fn:users/' || user_id || '.ts:session', 'event:' || event_type, event_id, 'runtime', 0.5 FROM events
 UNION ALL SELECT 'TESTS', 'test:doc' || doc_id || ':suite', 'fn:orders/' || o_custkey || '.ts:o' || o_orderkey, doc_id, 'coverage', 0.8 FROM labels JOIN orders ON o_orderkey = doc_id
+UNION ALL SELECT 'IMPORTS', 'mod:' || p_type, 'pkg:' || p_brand, p_partkey, 'parser', 0.8 FROM part
 UNION ALL SELECT 'DOCUMENTS', 'doc:' || doc_id, 'svc:' || n_name, doc_id, 'parser', 0.5 FROM documents JOIN nation ON doc_id % 25 = n_nationkey
 """
 
@@ -71,5 +77,16 @@ def table_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat(F.lit("chunk:"), "doc_id").alias("id"), F.concat(F.lit("doc:"), "doc_id").alias("node_id"), F.col("lang").alias("kind"), "text")
 
 
+_STORED: dict[tuple[str, str], Graph] = {}
+
+
 def table_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    return Graph(table_nodes(spark, sf_dir), table_edges(spark, sf_dir), table_chunks(spark, sf_dir))
+    """The graph as it is stored: built once in a session for each folder, with edges apart by type.
+
+    Queries then scan the types and columns that they need, and none of them
+    counts evidence again. Tables that change need another session or folder.
+    """
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _STORED:
+        _STORED[key] = Graph(settled(table_nodes(spark, sf_dir)), settled(table_edges(spark, sf_dir), "type"), table_chunks(spark, sf_dir))
+    return _STORED[key]

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.functions.ids import canonical_json, edge_id, local_import, prefix_repo, repo_of
+from graphloom.functions.ids import canonical_json, edge_id, is_test_path, local_import, prefix_repo, repo_of
 from graphloom.operators import analyze, scan, store, traverse
 from graphloom.plans.queries import ORACLES, QUERIES
 from graphloom.schema import Graph
@@ -52,15 +52,53 @@ def test_paths_and_flow(spark, graph):
 
 def test_risk_chips_policies(spark, graph):
     chips = {r.start: r.chips for r in analyze.impact_summary(graph, ids(spark, SERVICE, TABLE)).collect()}
-    assert chips[SERVICE] == ["downstream", "critical", "external"] and "db_write" in chips[TABLE]
+    # the service reaches its API, its test and, over the API, an external consumer; nothing critical but itself
+    assert chips[SERVICE] == ["downstream", "critical", "external"] and chips[TABLE] == ["downstream", "critical", "db_write", "external"]
     risk = {r.start: r for r in analyze.risk_profile(graph, ids(spark, SERVICE)).collect()}[SERVICE]
-    assert (risk.dependency_count, risk.downstream_consumers, risk.centrality, risk.db_interactions, risk.level) == (3, 3, 1.333, 1, "high")
-    rules = {(r.start, r.policy) for r in analyze.policies(graph, ids(spark, SERVICE, TABLE)).collect()}
-    assert (SERVICE, "public_route_without_contract") in rules and (TABLE, "db_write_on_path") in rules
+    # four edges touch the service, three nodes are at most at one end, one edge writes; 12 + 20 + 12 + 10 + 20
+    assert (risk.dependency_count, risk.downstream_consumers, risk.centrality, risk.db_interactions, risk.external_deps, risk.test_coverage, risk.score, risk.level) == (4, 3, 1.333, 1, 1, True, 74, "high")
+    assert risk.signals == "moderate_downstream,hub,db_interaction,external_dependency,critical_path"
+    rules = {(r.start, r.policy, r.severity) for r in analyze.policies(graph, ids(spark, SERVICE, TABLE), ("db_write_on_path",)).collect()}
+    assert rules == {(SERVICE, "public_route_without_contract", "warn"), (TABLE, "public_route_without_contract", "warn"), (TABLE, "db_write_on_path", "block")}
+    said = analyze.narration(analyze.impact_summary(graph, ids(spark, SERVICE))).first().text
+    assert said == f"Changing {SERVICE} affects 3 node(s). Risks: downstream, critical, external. Example path: {SERVICE} → {API}."
     assert {r.file for r in analyze.plan_change(graph, ids(spark, SERVICE)).collect()} == {"apps/payments/service.ts"}
+    assert traverse.impact(graph.edges, ids(spark, SERVICE), depth=0).count() == 0
     assert [(r.test, r.command) for r in analyze.tests_to_run(graph, ids(spark, SERVICE)).collect()] == [(TEST, "npm test")]
 
 
+def test_route_tiers(spark):
+    rows = [("  Impact ", False, 0.0, "deterministic", 0), ("incident", False, None, "strong", 10), ("summary", False, 0.9, "strong", 10), ("summary", False, 0.1, "cheap", 1), ("other", False, 0.1, "cheap", 1), ("other", None, 0.0, "deterministic", 0), ("impact", True, 0.0, "verifier", 12)]
+    got = analyze.route(spark.createDataFrame([r[:3] for r in rows], "task string, security_sensitive boolean, ambiguity double")).collect()
+    assert sorted((r.task, r.tier, r.cost, r.uses_model, r.provider_locked) for r in got) == sorted((r[0], r[3], r[4], r[3] != "deterministic", False) for r in rows)
+
+
+def test_conflicts_stick(spark):
+    rows = [("e1", "CALLS", "a", "b", "f", 1, "x", "parser", 0.5, 1), ("e1", "CALLS", "a", "c", "f", 2, "y", "git", 0.9, 2), ("e1", "CALLS", "a", "b", "f", 1, "x", "parser", 0.1, 3), (None, "READS", "a", "t", "f", 3, "z", "parser", 0.6, 4)]
+    got = {r.type: r for r in store.merge_edges(spark.createDataFrame(rows, "id string, type string, from_id string, to_id string, file string, line int, snippet string, source string, confidence double, seq int")).collect()}
+    assert (got["CALLS"].id, got["CALLS"].to_id, got["CALLS"].conflict, got["CALLS"].sources, got["CALLS"].confidence) == ("e1", "b", True, ["parser", "git"], 0.9)
+    assert [e.candidate for e in got["CALLS"].evidence] == [None, "CALLS a c"] and not got["READS"].conflict and got["READS"].id.startswith("e_")
+
+
+def test_fixed_lists(spark):
+    from graphloom.sources.files import EXTENSIONS, IGNORED, MANIFESTS, wanted
+
+    assert {"generated", ".turbo", "vendor"} <= set(IGNORED) and "target" not in IGNORED
+    assert all(wanted(f"a.{x}") for x in EXTENSIONS) and all(map(wanted, MANIFESTS)) and not any(map(wanted, ("readme.md", "makefile", "compose.txt", "py")))
+    kinds = {"api/OpenAPI.v1.yaml": "openapi", "my-swagger.json": "openapi", "asyncapi.yml": "openapi", "db/a.SQL": "sql", "compose.yml": "compose", "docker-compose.yaml": "compose", "compose.dev.yml": None, "Dockerfile": "dockerfile", "dockerfile.dev": "dockerfile", "dockerfiles": None, ".env": "config", ".env.local": "config", "prod.env": "config", ".envrc": None}
+    df = spark.createDataFrame([(p,) for p in kinds], "path string")
+    assert {r.path: r.k for r in df.select("path", lines.kind_of_file(F.col("path")).alias("k")).collect()} == kinds
+    tests = {"tests/a.ts": True, "test/a.ts": True, "__tests__/a.js": True, "spec/a.rb": True, "specs/a.rb": False, "a.test.mjs": True, "a.spec.tsx": True, "a.test.txt": False, "x/test_a.py": True, "a_test.go": True, "a_test.java": True, "tests.py": True, "ATest.java": False}
+    df = spark.createDataFrame([(p,) for p in tests], "path string")
+    assert {r.path: r.k for r in df.select("path", is_test_path("path").alias("k")).collect()} == tests
+    code = "export default async function a1() {\nexport abstract class B1 {\n  const c1 = async (x) => 1\ndef d1():\nclass E1:\nfn f1() {\nsub g1\nfunc h1()\nlet no = (1)"
+    got = lines.symbols(spark.createDataFrame([("p.ts", code)], "path string, content string")).orderBy("line").collect()
+    assert [(r.line, r.kind, r.name) for r in got] == [(1, "Function", "a1"), (2, "Class", "B1"), (3, "Function", "c1"), (4, "Function", "d1"), (5, "Class", "E1"), (6, "Function", "f1"), (7, "Function", "g1"), (8, "Function", "h1")]
+    assert got[7].chunk == "func h1()\nlet no = (1)"
+    said = spark.createDataFrame([("lastupdate x",), ("update y set",), ("select from z",)], "text string")
+    assert [(r.access, r.table_name) for r in lines.sql_in_text(said).collect()] == [("WRITES", "y"), ("READS", "z")]
+
+
 def test_search_hubs_maps(graph):
     assert {r.node_id: r.score for r in analyze.search(graph, "validateTransaction").collect()} == {VALIDATE: 2.75, SERVICE: 1.75}
     top = [(r.id, r.metric) for r in analyze.hubs(graph).collect()]
