@@ -75,17 +75,17 @@ def npm_packages(files: DataFrame) -> DataFrame:
 
 
 def openapi_routes(files: DataFrame) -> DataFrame:
-    """(path, line, method, route): each verb's line with the last route line before it, after paths:."""
-    found = lines(files).withColumn("within", F.max(F.col("text").rlike(r"^paths\s*:").cast("int")).over(_so_far()))
-    found = found.withColumn("route", F.last(F.nullif(F.regexp_extract("text", r"^\s+[\"']?(/[^\s\"':]*)[\"']?\s*:", 1), F.lit("")), ignorenulls=True).over(_so_far()))
-    found = found.withColumn("method", F.upper(F.regexp_extract(F.lower("text"), rf"^\s+[\"']?({VERBS})[\"']?\s*:", 1)))
+    """(path, line, method, route): each verb's line with the last route line before it, both after paths:."""
+    found = lines(files).withColumn("within", F.max(F.col("text").rlike(r"^\s*paths\s*:").cast("int")).over(_so_far()))
+    found = found.withColumn("route", F.last(F.when(F.col("within") == 1, F.nullif(F.regexp_extract("text", r"^\s*[\"']?(/[A-Za-z0-9_{}/.-]*)[\"']?\s*:", 1), F.lit(""))), ignorenulls=True).over(_so_far()))
+    found = found.withColumn("method", F.upper(F.regexp_extract(F.lower("text"), rf"^\s*[\"']?({VERBS})[\"']?\s*:", 1)))
     return found.filter("within = 1 and method <> '' and route is not null").select("path", "line", "method", "route")
 
 
 def sql_tables(files: DataFrame) -> DataFrame:
     """(path, line, table, column): created tables (column null) and their columns up to a line that closes them."""
     text = F.lower(F.trim("text"))
-    found = lines(files).withColumn("table", F.nullif(F.regexp_extract(F.lower("text"), r"create\s+table\s+(?:if\s+not\s+exists\s+)?[\"'`]?([a-z0-9_.]+)[\"'`]?\s*\(", 1), F.lit("")))
+    found = lines(files).withColumn("table", F.nullif(F.regexp_extract(F.lower("text"), r"create\s+table\s+(?:if\s+not\s+exists\s+)?[\"'`]?([a-z_][a-z0-9_.]*)[\"'`]?\s*\(", 1), F.lit("")))
     found = found.withColumn("of", F.last("table", ignorenulls=True).over(_so_far())).withColumn("block", F.count("table").over(_so_far()))
     inside = Window.partitionBy("path", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     found = found.withColumn("closed", F.max(text.startswith(")").cast("int")).over(inside))
@@ -97,7 +97,7 @@ def sql_tables(files: DataFrame) -> DataFrame:
 
 def config_keys(files: DataFrame) -> DataFrame:
     """(path, line, key) of .env files; values are never read."""
-    return lines(files).withColumn("key", F.regexp_extract("text", r"^\s*(?:export\s+)?([A-Z][A-Z0-9_]*)\s*=", 1)).filter("key <> ''").select("path", "line", "key")
+    return lines(files).withColumn("key", F.regexp_extract("text", r"^\s*([A-Z][A-Z0-9_]*)\s*=", 1)).filter("key <> ''").select("path", "line", "key")
 
 
 def compose_services(files: DataFrame) -> DataFrame:
@@ -131,41 +131,57 @@ def symbols(files: DataFrame) -> DataFrame:
     return found.select("path", "s.*")
 
 
-def _called(files: DataFrame) -> DataFrame:
+def called_names(files: DataFrame) -> DataFrame:
     """(path, line, text, callee, arg): calls whose first argument is a string."""
     one = r"([A-Za-z_$][\w$]*)\s*\(\s*[\"'`]([^\"'`]*)[\"'`]"
     both = F.arrays_zip(F.regexp_extract_all("text", F.lit(one), F.lit(1)).alias("callee"), F.regexp_extract_all("text", F.lit(one), F.lit(2)).alias("arg"))
     return lines(files).select("path", "line", "text", F.explode(both).alias("c")).select("path", "line", "text", "c.callee", "c.arg")
 
 
+def routes_of(called: DataFrame) -> DataFrame:
+    return called.filter(F.lower("callee").isin(*ROUTE_METHODS) & F.col("arg").startswith("/")).select("path", "line", "text", F.upper("callee").alias("method"), F.col("arg").alias("route"))
+
+
 def route_calls(files: DataFrame) -> DataFrame:
     """(path, line, method, route): calls that register a route, as in app.get("/x", ...)."""
-    return _called(files).filter(F.lower("callee").isin(*ROUTE_METHODS) & F.col("arg").startswith("/")).select("path", "line", F.upper("callee").alias("method"), F.col("arg").alias("route"))
+    return routes_of(called_names(files)).drop("text")
 
 
-def http_calls(files: DataFrame) -> DataFrame:
-    """(path, line, method, route): calls of HTTP clients, hosts cut off; the method is the callee's, else one that the line names, else GET."""
-    found = _called(files).filter(F.lower("callee").isin(*HTTP_CLIENTS) & F.col("arg").rlike("^(/|https?://)")).withColumn("route", F.regexp_replace("arg", "^https?://[^/]+", ""))
+def clients_of(called: DataFrame) -> DataFrame:
+    found = called.filter(F.lower("callee").isin(*HTTP_CLIENTS) & F.col("arg").rlike("^(/|https?://)")).withColumn("route", F.regexp_replace("arg", "^https?://[^/]+", ""))
     hint = F.nullif(F.regexp_extract(F.upper(F.substring(F.trim("text"), 1, 200)), r"\b(GET|POST|PUT|PATCH|DELETE)\b", 1), F.lit(""))
     method = F.when(F.lower("callee").isin(*ROUTE_METHODS), F.upper("callee")).otherwise(F.coalesce(hint, F.lit("GET")))
-    return found.filter(F.col("route").startswith("/")).select("path", "line", method.alias("method"), "route")
+    return found.filter(F.col("route").startswith("/")).select("path", "line", "text", method.alias("method"), "route")
 
 
-def event_calls(files: DataFrame) -> DataFrame:
-    """(path, line, type, event): PUBLISHES or SUBSCRIBES with an event's name."""
-    found = _called(files).filter(F.col("arg").rlike(r"^[A-Za-z][\w.:-]*$"))
+def http_calls(files: DataFrame) -> DataFrame:
+    """(path, line, method, route): calls of HTTP clients, hosts cut off; the method is the callee's, else one that the line names, else GET."""
+    return clients_of(called_names(files)).drop("text")
+
+
+def events_of(called: DataFrame) -> DataFrame:
+    found = called.filter(F.col("arg").rlike(r"^[A-Za-z][\w.:-]*$"))
     low = F.lower("callee")
     type_ = F.when(low.isin(*PUBLISHERS), "PUBLISHES").when(low.isin(*(s.lower() for s in SUBSCRIBERS if s.islower())), "SUBSCRIBES")
-    return found.withColumn("type", type_).filter("type is not null").select("path", "line", "type", F.col("arg").alias("event"))
+    return found.withColumn("type", type_).filter("type is not null").select("path", "line", "text", "type", F.col("arg").alias("event"))
 
 
-def imports(files: DataFrame) -> DataFrame:
-    """(path, line, target, local): what a line imports; local targets are paths, resolved beside the file."""
+def event_calls(files: DataFrame) -> DataFrame:
+    """(path, line, type, event): PUBLISHES or SUBSCRIBES with an event's name."""
+    return events_of(called_names(files)).drop("text")
+
+
+def imports_with_text(files: DataFrame) -> DataFrame:
     text = F.col("text")
     of = lambda p: F.nullif(F.regexp_extract(text, p, 1), F.lit(""))
     target = F.coalesce(of(r"^\s*import\b[^\"']*[\"']([^\"']+)[\"']"), of(r"^\s*export\b[^\"']*\bfrom\s+[\"']([^\"']+)[\"']"), of(r"^\s*from\s+(\.*[A-Za-z_][\w.]*|\.+)\s+import\b"), of(r"^\s*import\s+(?:static\s+)?([A-Za-z_][\w.]*)"))
     found = lines(files).withColumn("mod", target).filter("mod is not null").withColumn("local", F.col("mod").startswith("."))
-    return found.select("path", "line", F.when(F.col("local"), local_import("path", "mod")).otherwise(F.col("mod")).alias("target"), "local")
+    return found.select("path", "line", "text", F.when(F.col("local"), local_import("path", "mod")).otherwise(F.col("mod")).alias("target"), "local")
+
+
+def imports(files: DataFrame) -> DataFrame:
+    """(path, line, target, local): what a line imports; local targets are paths, resolved beside the file."""
+    return imports_with_text(files).drop("text")
 
 
 def implements(files: DataFrame) -> DataFrame:
@@ -175,9 +191,14 @@ def implements(files: DataFrame) -> DataFrame:
 
 
 def enclosing(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """rows (path, line, …) with the innermost of spans (path, name, start_line, end_line) around each: the one that starts last, null without one."""
-    met = rows.join(spans, (rows.path == spans.path) & rows.line.between(spans.start_line, spans.end_line), "left").drop(spans.path)
-    return met.groupBy(*rows.columns).agg(F.max_by("name", F.struct("start_line", "name")).alias("symbol"))
+    """rows (path, line, …) with the innermost of spans (path, name, start_line, end_line) around each: the one that starts last, null without one.
+
+    Each line of a file is looked up once, however many rows it has; equal rows stay.
+    """
+    spots = rows.select("path", "line").filter("path is not null and line is not null").distinct()
+    met = spots.join(spans.select("path", "name", "start_line", "end_line"), "path").filter("line between start_line and end_line")
+    inner = met.groupBy("path", "line").agg(F.max_by("name", F.struct("start_line", "name")).alias("symbol"))
+    return rows.join(inner, ["path", "line"], "left").select(*rows.columns, "symbol")
 
 
 def calls(files: DataFrame) -> DataFrame:
