@@ -10,6 +10,11 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def trimmed(text: Column | str) -> Column:
+    """The text without white space at its ends, line ends and tabs too."""
+    return F.trim(_c(text), F.lit(" \t\r\n\f\v\u00a0"))
+
+
 def edge_id(type_: Column | str, from_id: Column | str, to_id: Column | str) -> Column:
     """e_ and the first 16 hex digits of the SHA-1 of the parts, zero bytes between them."""
     nul = F.char(F.lit(0))

@@ -8,8 +8,9 @@ from pyspark.sql.window import Window
 
 from ..functions.ids import edge_id, prefix_repo, repo_of, safe_id, service_of, tokens, without_repo
 from ..functions.lineage import settled
-from ..schema import MAPS, PINS, TESTABLE_KINDS, Graph, GraphError
+from ..schema import CYCLE_TYPES, MAPS, PINS, TESTABLE_KINDS, Graph, GraphError
 from .scan import degrees, edges_by_types, find_nodes, nodes_by_kinds
+from .store import validate
 from .traverse import component, impact, neighbors
 
 
@@ -17,12 +18,13 @@ def _listed(*flags: tuple[Column, str]) -> Column:
     return F.array_compact(F.array(*(F.when(c, F.lit(name)) for c, name in flags)))
 
 
-def impact_summary(graph: Graph, starts: DataFrame, direction: str = "downstream") -> DataFrame:
+def impact_summary(graph: Graph, starts: DataFrame, direction: str = "downstream", found: DataFrame | None = None) -> DataFrame:
     """One row per start: n_paths, impacted, critical, and the risk chips in their fixed order.
 
     Chips are about what a start reaches; only `critical` looks at the start too.
+    found is what impact gave for them, where that is at hand.
     """
-    found = impact(graph.edges, starts, direction).select("start", "path_no", "node", "type", "conflict", "path")
+    found = (impact(graph.edges, starts, direction) if found is None else found).select("start", "path_no", "node", "type", "conflict", "path")
     start_nodes = graph.nodes.join(starts.select("id").distinct(), "id").select(F.col("id").alias("start"), F.col("kind").alias("start_kind"), F.col("critical").alias("start_critical"))
     degree = graph.edges.select(F.explode(F.array_distinct(F.array("from_id", "to_id"))).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
     reached = found.join(graph.nodes.select(F.col("id").alias("node"), "kind", "critical"), "node", "left").join(degree, "node", "left")
@@ -113,6 +115,25 @@ def plan_change(graph: Graph, starts: DataFrame) -> DataFrame:
     return reached.select("start", "path").union(own.select("start", "path")).filter("path is not null").distinct().withColumnRenamed("path", "file")
 
 
+def orchestrate(graph: Graph, starts: DataFrame) -> DataFrame:
+    """The bounded workflow for each start: a plan, a check of the graph, the impact once more: (start, step, ok, detail, accepted).
+
+    The graph is checked once for all starts.
+    """
+    reached = lambda name: starts.select(F.col("id").alias("start")).distinct().join(impact(graph.edges, starts).groupBy("start").agg(F.count_distinct("node").alias("n")), "start", "left").select("start", F.coalesce("n", F.lit(0)).alias(name))
+    rows = graph.edges.withColumn("sources_ok", F.col("sources").isNotNull())
+    failed = validate(graph.nodes, rows).filter("name <> 'conflicts'").agg(F.count_if(~F.col("ok")).alias("failed"))
+    both = settled(reached("planned").join(reached("again"), "start").crossJoin(F.broadcast(failed)))
+    whole, same = F.col("failed") == 0, F.col("planned") == F.col("again")
+    said = lambda *parts: F.concat(*(p.cast("string") for p in parts))
+    step = lambda name, ok, detail: F.struct(F.lit(name).alias("step"), ok.alias("ok"), detail.alias("detail"))
+    steps = F.array(
+        step("plan", F.lit(True), said(F.col("planned"), F.lit(" impacted"))), step("verify_graph", whole, said(F.col("failed"), F.lit(" checks failed"))),
+        step("verify_impact_stable", same, said(F.col("again") + 1, F.lit(" vs "), F.col("planned") + 1)),
+    )
+    return both.select("start", F.explode(steps).alias("s"), (whole & same).alias("accepted")).select("start", "s.*", "accepted")
+
+
 #: Tasks by the tier that does them, the tiers' relative costs and the reasons for them.
 TASKS = {
     "deterministic": ("parsing", "graph_query", "impact", "diff", "search", "why_path", "tests_to_run", "validate"),
@@ -212,6 +233,64 @@ def map_anchors(graph: Graph, view: str) -> DataFrame:
     return graph.nodes.filter(F.col("kind") == kind if kind else F.lit(False)).select("id", "kind").join(ends, "id", "left_anti")
 
 
+def capped_map(graph: Graph, view: str, focus: str | None = None, node_cap: int = 150, edge_cap: int = 300) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A view as a chart shows it: its first nodes by kind and id, its first edges by id between them, and counts (name, n).
+
+    Nodes are the ends of the edges kept and the kind that the view shows
+    without edges. Caps are what makes it a chart; the counts name what matches
+    in all. truncated and empty_view are 1 where they hold.
+    """
+    node_cap, edge_cap = max(1, node_cap), max(1, edge_cap)
+    matching = settled(project_map(graph, view, focus))
+    first = settled(matching.orderBy("id").limit(edge_cap))
+    ends = first.select(F.explode(F.array("from_id", "to_id")).alias("id")).distinct()
+    kind = MAPS[view][2]
+    alone = graph.nodes.filter(F.col("kind") == kind if kind else F.lit(False)).select("id").join(F.broadcast(ends), "id", "left_anti")
+    listed = settled(graph.nodes.join(ends.union(alone), "id", "left_semi").select("id", "kind", "name", "path"))
+    nodes = settled(listed.orderBy("kind", "id").limit(node_cap))
+    keep = nodes.select("id")
+    edges = settled(first.join(keep.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(keep.withColumnRenamed("id", "to_id"), "to_id", "left_semi").select("id", "type", "from_id", "to_id"))
+    n = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+    by = lambda df, column, prefix: df.groupBy(column).count().select(F.concat(F.lit(prefix), column).alias("name"), F.col("count").alias("n"))
+    sizes = n(nodes, "nodes").union(n(edges, "edges")).union(n(listed, "total_matching_nodes")).union(n(matching, "total_matching_edges"))
+    chips = n(listed, "l").crossJoin(n(matching, "m").select(F.col("n").alias("m"))).select(F.expr("stack(2, 'truncated', cast(n > {0} or m > {1} as long), 'empty_view', cast(n = 0 as long)) as (name, n)".format(node_cap, edge_cap)))
+    return nodes, edges, sizes.union(by(nodes, "kind", "node_")).union(by(edges, "type", "edge_")).union(chips)
+
+
+def insights(graph: Graph, churn: DataFrame | None = None, top: int = 10, cycle_length: int | None = 5) -> DataFrame:
+    """The report: (section, rank, id, metric) of hubs, bottlenecks, coupling, isolated nodes, cycles, hotspots and large downstream impact.
+
+    Sections are the first `top` by metric (twice as many isolated nodes, 20
+    cycles), ties by kind and id. Without churn, hotspots are the hubs. Impact
+    is measured of the 40 nodes of the highest degree. Longer cycles than
+    cycle_length are left to `cycles`.
+    """
+    top = max(1, min(50, top))
+    kinds = graph.nodes.select("id", "kind")
+    ranked = settled(degrees(graph.edges).join(kinds, "id"))
+    order = lambda *cs: F.row_number().over(Window.orderBy(*cs))
+
+    def section(name: str, rows: DataFrame, many: int, *by: Column | str) -> DataFrame:
+        few = rows.orderBy(*by).limit(many)
+        return few.select(F.lit(name).alias("section"), order(*by).alias("rank"), "id", F.col("metric").cast("long").alias("metric"))
+
+    least = F.least("in_degree", "out_degree")
+    by = (F.desc("metric"), "kind", "id")
+    hub = section("hubs", ranked.withColumn("metric", F.col("degree")), top, *by)
+    spots = graph.nodes.join(churn, "path").select("id", "kind", F.col("commits").alias("metric")) if churn is not None else ranked.withColumn("metric", F.col("degree"))
+    wide = settled(ranked.orderBy(F.desc("degree"), "kind", "id").limit(40))
+    reached = impact(graph.edges, wide.select("id")).filter("node <> start").groupBy(F.col("start").alias("id")).agg(F.count_distinct("node").alias("metric"))
+    parts = [
+        hub, section("bottlenecks", ranked.withColumn("metric", least).filter("metric >= 2"), top, *by), section("coupling", ranked.withColumn("metric", F.col("degree")).filter("metric >= 6"), top, *by),
+        section("isolated", isolated(graph).withColumn("metric", F.lit(0)), 2 * top, "kind", "id"), section("cycles", cycles(graph.edges, CYCLE_TYPES, cycle_length).select(F.col("cycle").alias("id"), F.col("length").alias("metric")), 20, "id"),
+        section("hotspots", spots, top, *by), section("large_downstream_impact", wide.join(reached, "id"), top, F.desc("metric"), F.desc("degree"), "kind", "id"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def mermaid(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Lines of a flowchart, one for each node and edge: (line)."""
     ends = edges.select(F.explode(F.array("from_id", "to_id")).alias("id")).distinct()

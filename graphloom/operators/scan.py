@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..schema import GraphError
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -24,6 +26,26 @@ def list_chunks(chunks: DataFrame, limit: int = 1000) -> DataFrame:
     return chunks.orderBy("id").limit(clamp(limit, 5000))
 
 
+def list_journal(journal: DataFrame, event: str | None = None, limit: int = 100) -> DataFrame:
+    """Entries (seq, ts, event, payload), of one event if given, the newest first."""
+    kept = journal.filter(F.col("event") == event) if event else journal
+    return kept.orderBy(F.desc("seq")).limit(clamp(limit, 1000))
+
+
+def get(rows: DataFrame, id_: str) -> DataFrame:
+    """The node, edge or chunk of an id."""
+    return rows.filter(F.col("id") == id_)
+
+
+def resolve(nodes: DataFrame, identifier: str) -> str:
+    """The id of the node meant: the one of that id, or else the first that find_nodes gives."""
+    wanted = (identifier or "").strip()
+    found = get(nodes, wanted).select("id").first() or (wanted and find_nodes(nodes, wanted, limit=1).select("id").first())
+    if not found:
+        raise GraphError(f"unknown node: {identifier}")
+    return found.id
+
+
 def file_nodes(nodes: DataFrame) -> DataFrame:
     return nodes.filter("kind = 'File'").orderBy("path", "id")
 

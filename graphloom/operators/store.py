@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.ids import edge_id
-from ..schema import EDGE_SOURCES, EDGE_TYPES, NODE_KINDS, PINS
+from ..schema import EDGE_SOURCES, EDGE_TYPES, NODE_KINDS, PINS, GraphError
 
 
 def upsert_nodes(rows: DataFrame, seq: str = "seq") -> DataFrame:
@@ -69,6 +70,32 @@ def upsert_chunks(rows: DataFrame, nodes: DataFrame, seq: str = "seq") -> DataFr
     return last.join(nodes.select(F.col("id").alias("node_id")), "node_id", "left_semi")
 
 
+def mark_critical(nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """nodes with those of the given ids critical; an id that no node has is an error."""
+    missing = ids.select("id").join(nodes.select("id"), "id", "left_anti").first()
+    if missing:
+        raise GraphError(f"unknown node: {missing.id}")
+    marked = ids.select("id", F.lit(True).alias("_critical")).distinct()
+    return nodes.join(marked, "id", "left").withColumn("critical", F.coalesce("_critical", "critical")).select(*nodes.columns)
+
+
+def append_journal(journal: DataFrame, rows: DataFrame) -> DataFrame:
+    """The journal (seq, ts, event, payload) with rows (ts, event, payload) after its last entry, in order of ts, event and payload.
+
+    Only the new rows, which one run makes, are numbered in one window.
+    """
+    last = journal.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("last"))
+    order = Window.orderBy("ts", "event", "payload")
+    new = rows.crossJoin(F.broadcast(last)).select((F.col("last") + F.row_number().over(order)).cast("long").alias("seq"), "ts", "event", "payload")
+    return journal.select("seq", "ts", "event", "payload").unionByName(new)
+
+
+def set_health(health: DataFrame, rows: DataFrame) -> DataFrame:
+    """health (key, value, updated_at) with the last of rows for each key in place of its value."""
+    last = rows.groupBy("key").agg(F.max_by(F.struct("value", "updated_at"), F.col("updated_at")).alias("_last")).select("key", "_last.*")
+    return health.join(last.select("key"), "key", "left_anti").select("key", "value", "updated_at").unionByName(last)
+
+
 def to_sync(scanned: DataFrame, stored: DataFrame, with_chunks: DataFrame, force: bool = False) -> DataFrame:
     """Each scanned file (path, sha256) and whether it is skipped: its digest is stored and its path has a chunk."""
     known = stored.select("path", "sha256").distinct().withColumn("_same", F.lit(True))

@@ -39,15 +39,16 @@ def search_paths(steps: DataFrame, starts: DataFrame, depth: int, most: int | No
     A path is found for every step from a node that was reached for the first
     time, to nodes seen before as well but, with avoid_own_path, not to one on
     the same path. Steps from one node go by edge id. Each start ends with
-    `most` paths, if given.
+    `most` paths, if given. Where starts have a group, those of one group are
+    searched together, in order of their ids, and start is the group.
     """
     if most is not None:  # no path takes more than the first steps from a node, but for those back to its own path
         first = Window.partitionBy("src").orderBy("edge_id")
         steps = steps.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= most + (2 * len(EDGE_TYPES) * depth if avoid_own_path else 0)).drop("_n")
-    steps, starts = settled(steps), settled(starts.select(F.col("id").alias("start")).distinct())
-    frontier = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("rank"), F.array("start").alias("path"), F.array().cast("array<string>").alias("edge_path"))
-    seen = starts.select("start", F.col("start").alias("node"))
-    done = starts.withColumn("n", F.lit(0))
+    steps, starts = settled(steps), settled(starts.select(F.col("group" if "group" in starts.columns else "id").alias("start"), F.col("id").alias("node")).distinct())
+    frontier = starts.select("start", "node", F.row_number().over(Window.partitionBy("start").orderBy("node")).alias("rank"), F.array("node").alias("path"), F.array().cast("array<string>").alias("edge_path"))
+    seen = starts
+    done = starts.select("start").distinct().withColumn("n", F.lit(0))
     out = None
     for level in range(1, depth + 1):
         near = frontier.join(steps, F.col("node") == F.col("src")).join(done, "start")

@@ -125,9 +125,12 @@ def _steps_sql(direction: str | tuple) -> str:
     return f"steps AS MATERIALIZED (SELECT from_id AS src, to_id AS dst, id AS edge_id, type FROM edges WHERE type IN ({of('fwd')}) UNION ALL SELECT to_id, from_id, id, type FROM edges WHERE type IN ({of('inv')}))"
 
 
-def search_sql(direction: str | tuple, starts: str, depth: int, most: int, own_path: bool = True) -> str:
+def search_sql(direction: str | tuple, starts: str, depth: int, most: int, own_path: bool = True, group: str = "id") -> str:
     """Common table expressions up to found: each level's emissions, its first discoveries, and all that is seen."""
-    parts = [_steps_sql(direction), f"starts AS MATERIALIZED ({starts})", "f0 AS MATERIALIZED (SELECT id AS start, id AS node, 0 AS rank, [id] AS path, 0 AS n FROM starts)", "seen0 AS MATERIALIZED (SELECT id AS start, id AS node FROM starts)"]
+    parts = [
+        _steps_sql(direction), f"starts AS MATERIALIZED ({starts})", f"f0 AS MATERIALIZED (SELECT {group} AS start, id AS node, row_number() OVER (PARTITION BY {group} ORDER BY id) AS rank, [id] AS path, 0 AS n FROM starts)",
+        f"seen0 AS MATERIALIZED (SELECT {group} AS start, id AS node FROM starts)",
+    ]
     for k in range(1, depth + 1):
         skip = "AND NOT list_contains(f.path, s.dst)" if own_path else ""
         parts.append(
@@ -498,7 +501,7 @@ def prefix_ids(spark, d):
     return n.select("id", ids.prefix_repo("prefixed", F.lit("other")).alias("prefixed"), ids.repo_of("prefixed").alias("repo"), ids.safe_id("id").alias("safe"))
 
 
-@query()
+@query("SELECT event_id, '{' || string_agg(to_json(k) || ':' || v, ',' ORDER BY k) || '}' AS json FROM (SELECT event_id, unnest(json_keys(props)) AS k, json_extract(props, '$.\"' || k || '\"')::VARCHAR AS v FROM events) GROUP BY event_id")
 def canonical_json(spark, d):
     return _read(spark, d, "events").select("event_id", ids.canonical_json("props").alias("json"))
 

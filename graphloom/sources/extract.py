@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ids import is_test_path, prefix_repo, repo_of, service_of
+from ..functions.ids import is_test_path, prefix_repo, repo_of, service_of, trimmed
 from ..functions.lineage import settled
 from ..operators import store
 from . import lines
@@ -90,7 +90,7 @@ def _all(parts: list[DataFrame]) -> DataFrame:
 
 
 def _line(length: int = 200) -> Column:
-    return F.substring(F.trim("text"), 1, length)
+    return F.substring(trimmed("text"), 1, length)
 
 
 def definitions(files: DataFrame) -> DataFrame:
@@ -106,7 +106,7 @@ def definitions(files: DataFrame) -> DataFrame:
         return lambda text, i: told(text, i, patterns)
 
     def shape(span):
-        return lambda s: F.struct(s["kind"].alias("kind"), s["name"].alias("name"), s["line"].alias("start_line"), (end_of(s) if span else s["line"]).alias("end_line"), F.substring(F.trim(s["text"]), 1, 200).alias("signature"))
+        return lambda s: F.struct(s["kind"].alias("kind"), s["name"].alias("name"), s["line"].alias("start_line"), (end_of(s) if span else s["line"]).alias("end_line"), F.substring(trimmed(s["text"]), 1, 200).alias("signature"))
 
     def told(text, i, patterns):
         names = [F.nullif(F.regexp_extract(text, p, 1), blank) for p, _ in patterns]
@@ -119,7 +119,7 @@ def definitions(files: DataFrame) -> DataFrame:
         return F.when(low.isNull(), F.size("all")).when(low["closes"], low["line"]).otherwise(low["line"] - 1)
 
     split = files.select("path", F.split("content", "\r?\n").alias("all"))
-    low = F.transform("all", lambda x, i: F.struct((i + 1).alias("line"), F.length(F.regexp_extract(x, r"^(\s*)", 1)).alias("indent"), F.trim(x).startswith("}").alias("closes"), x.rlike(r"^\s*[^\s)\]{]").alias("low")))
+    low = F.transform("all", lambda x, i: F.struct((i + 1).alias("line"), F.length(F.regexp_extract(x, r"^(\s*)", 1)).alias("indent"), trimmed(x).startswith("}").alias("closes"), x.rlike(r"^\s*[^\s)\]{]").alias("low")))
     parts = []
     for of, patterns, span, limit in ((rich, RICH_DECLARATIONS, True, 41), (~rich, lines.DECLARATIONS, False, 20)):
         some = split.filter(of).withColumn("s", F.filter(F.transform("all", told_by(patterns)), lambda s: s["name"].isNotNull())).filter(F.size("s") > 0)
@@ -127,7 +127,7 @@ def definitions(files: DataFrame) -> DataFrame:
         shaped = F.transform("s", shape(span))
         some = some.withColumn("d", F.explode(shaped)).select("path", "d.*", "all")
         length = F.least(F.col("end_line") - F.col("start_line") + 1, F.lit(limit)) if span else F.lit(limit)
-        parts.append(some.withColumn("chunk", F.substring(F.trim(F.array_join(F.slice("all", F.col("start_line"), length), "\n")), 1, 4000)).drop("all"))
+        parts.append(some.withColumn("chunk", F.substring(trimmed(F.array_join(F.slice("all", F.col("start_line"), length), "\n")), 1, 4000)).drop("all"))
     front = F.coalesce(*(F.when(F.col("kind") == k, p) for k, p in PREFIXES.items()), F.lit("fn:"))
     named = _all(parts).withColumn("id", F.concat(front, "path", F.lit(":"), "name"))
     first = F.min_by(F.struct("kind", "name", "start_line", "end_line", "signature", "chunk"), F.col("start_line"))

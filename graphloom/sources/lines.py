@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.ids import edge_id, local_import
+from ..functions.ids import edge_id, local_import, trimmed
 
 
 def _file(start: int, end: int) -> Window:
@@ -64,7 +64,7 @@ def kind_of_file(path: F.Column) -> F.Column:
 def requirements(files: DataFrame) -> DataFrame:
     """(path, line, package, version) of requirements files; comments and blank lines are left out."""
     found = lines(files).withColumn("m", F.regexp_extract("text", r"^\s*([A-Za-z0-9_.\-]+)", 1))
-    return found.filter((F.col("m") != "") & ~F.trim("text").startswith("#")).select("path", "line", F.col("m").alias("package"), F.nullif(F.regexp_extract("text", r"(?:==|>=|<=|~=|!=|>|<)\s*([^\s;#,]+)", 1), F.lit("")).alias("version"))
+    return found.filter((F.col("m") != "") & ~trimmed("text").startswith("#")).select("path", "line", F.col("m").alias("package"), F.nullif(F.regexp_extract("text", r"(?:==|>=|<=|~=|!=|>|<)\s*([^\s;#,]+)", 1), F.lit("")).alias("version"))
 
 
 def npm_packages(files: DataFrame) -> DataFrame:
@@ -84,7 +84,7 @@ def openapi_routes(files: DataFrame) -> DataFrame:
 
 def sql_tables(files: DataFrame) -> DataFrame:
     """(path, line, table, column): created tables (column null) and their columns up to a line that closes them."""
-    text = F.lower(F.trim("text"))
+    text = F.lower(trimmed("text"))
     found = lines(files).withColumn("table", F.nullif(F.regexp_extract(F.lower("text"), r"create\s+table\s+(?:if\s+not\s+exists\s+)?[\"'`]?([a-z_][a-z0-9_.]*)[\"'`]?\s*\(", 1), F.lit("")))
     found = found.withColumn("of", F.last("table", ignorenulls=True).over(_so_far())).withColumn("block", F.count("table").over(_so_far()))
     inside = Window.partitionBy("path", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
@@ -127,7 +127,7 @@ def symbols(files: DataFrame) -> DataFrame:
 
     found = files.select("path", F.split("content", "\r?\n").alias("all"))
     found = found.withColumn("s", F.filter(F.transform("all", lambda x, i: told(x, i, F.col("all"))), lambda s: s["name"].isNotNull()))
-    found = found.select("path", F.explode(F.transform("s", lambda s: F.struct(s["line"].alias("line"), s["kind"].alias("kind"), s["name"].alias("name"), F.substring(F.trim(s["text"]), 1, 200).alias("signature"), F.substring(F.array_join(F.slice("all", s["line"], 20), "\n"), 1, 4000).alias("chunk")))).alias("s"))
+    found = found.select("path", F.explode(F.transform("s", lambda s: F.struct(s["line"].alias("line"), s["kind"].alias("kind"), s["name"].alias("name"), F.substring(trimmed(s["text"]), 1, 200).alias("signature"), F.substring(trimmed(F.array_join(F.slice("all", s["line"], 20), "\n")), 1, 4000).alias("chunk")))).alias("s"))
     return found.select("path", "s.*")
 
 
@@ -149,7 +149,7 @@ def route_calls(files: DataFrame) -> DataFrame:
 
 def clients_of(called: DataFrame) -> DataFrame:
     found = called.filter(F.lower("callee").isin(*HTTP_CLIENTS) & F.col("arg").rlike("^(/|https?://)")).withColumn("route", F.regexp_replace("arg", "^https?://[^/]+", ""))
-    hint = F.nullif(F.regexp_extract(F.upper(F.substring(F.trim("text"), 1, 200)), r"\b(GET|POST|PUT|PATCH|DELETE)\b", 1), F.lit(""))
+    hint = F.nullif(F.regexp_extract(F.upper(F.substring(trimmed("text"), 1, 200)), r"\b(GET|POST|PUT|PATCH|DELETE)\b", 1), F.lit(""))
     method = F.when(F.lower("callee").isin(*ROUTE_METHODS), F.upper("callee")).otherwise(F.coalesce(hint, F.lit("GET")))
     return found.filter(F.col("route").startswith("/")).select("path", "line", "text", method.alias("method"), "route")
 
