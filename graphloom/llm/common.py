@@ -9,7 +9,9 @@ import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,6 +82,17 @@ def freed(run: Batches, forget: Callable[[], None]) -> Batches:
     return task
 
 
+def by_bytes(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose texts have about `most` bytes together; a longer text stands alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    lo = 0
+    while lo < batch.num_rows:
+        before = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def unit_hash(c: Column, seed: int) -> Column:
     """A number in [0, 1) that a column's value and the seed decide."""
     return F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)

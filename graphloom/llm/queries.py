@@ -91,11 +91,31 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .importance import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fim import fill_in_middle
+
+    return fill_in_middle(table(spark, sf_dir, "documents")).drop("output")
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import simhash_components
+
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op2_decontamination, op3_sharding, op4_pii, op5_token_counts, op6_jaccard_join, op7_language_id, op8_html_extraction, op9_chat_format, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_packing, op2_decontamination, op3_sharding, op4_pii, op5_token_counts, op6_jaccard_join, op7_language_id, op8_html_extraction, op9_chat_format, op10_quality_rules, op11_importance_resampling, op12_fill_in_middle, op13_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
     from .decontaminate import ORACLE as leaks_sql
+    from .fim import ORACLE as fim_sql
+    from .importance import ORACLE as importance_sql
 
-    return {"op2_decontamination": leaks_sql}
+    return {"op2_decontamination": leaks_sql, "op11_importance_resampling": importance_sql, "op12_fill_in_middle": fim_sql}
