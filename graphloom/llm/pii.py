@@ -16,6 +16,7 @@ without their shape, beside harmless numbers of the same look.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,17 +25,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import unit_hash
+from .common import by_bytes, unit_hash
 
 KINDS = ("email", "ip", "card", "phone")
 #: What the field can label a token with beside none; only it finds secrets.
 LABELS = (*KINDS, "secret")
 #: Documents that training may use, and signs of each.
 SAMPLE_DOCS, SAMPLE_CHARS = 2000, 8000
+#: Signs of a training text that its copy with plants has; plants lie between the words of this part.
+PLANTED_CHARS = 1500
 #: Rounds of message passing, and the probability that an added span needs.
-ROUNDS, SURE = 12, 0.9
+ROUNDS, SURE = 12, 0.8
+#: Hashes of a token's look, and signs of a token that its look is taken from; everything else about a token is taken from all of it.
+LOOKS, LOOK_CHARS = 128, 64
 #: Signs between neighbours of the chain, at most.
 GAP = 3
+#: Bytes of text whose graphs are worked on together, unless a single text is longer, and edges or tokens whose tables are in memory at once.
+SLICE, STEP = 1 << 20, 1 << 15
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -45,8 +52,9 @@ _HIT = re.compile(r"[0-9@]|[(\[]at[)\]]", re.I)
 _RIGHT = re.compile(r"\S*")
 _NEXT = re.compile(r"\s*\S*")
 _DIGIT = re.compile(r"[0-9]")
+_DIGITS, _LETTERS = re.compile(r"[0-9]+"), re.compile(r"[^\W\d_]+")
 _ALONE = re.compile(r"@|[(\[]at[)\]]", re.I)
-_OBFUSCATED = re.compile(r"[A-Za-z0-9._%+-]+\s?(?:@|[(\[]at[)\]])\s?[A-Za-z0-9-]+\s?(?:\.|[(\[]dot[)\]])\s?[A-Za-z]", re.I)
+_DOTTED = re.compile(r"\s?[A-Za-z0-9-]++\s?(?:\.|[(\[]dot[)\]])\s?[A-Za-z]", re.I)
 _HEX = re.compile(r"[0-9a-fA-F]{16}")
 _WORD = re.compile(r"[^\W\d_]+\Z")
 #: Words that come before a kind of token in the four languages and in code.
@@ -71,6 +79,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _byte(digits: str) -> bool:
+    """Whether the number is at most 255, however many zeros lead it."""
+    rest = digits.lstrip("0")
+    return len(rest) < 4 and int(rest or "0") < 256
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     """What the e-mail pattern finds, from each @ outwards."""
     low, at = 0, text.find("@")
@@ -91,7 +105,7 @@ def base_spans(text: str) -> list[Span]:
     out: list[Span] = [("email", a, b) for a, b in _emails(text)] if "@" in text else []
     if not _DIGIT.search(text):
         return out
-    out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(x.lstrip("0")) < 4 and int(x) < 256 for x in m[0].split("."))]
+    out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(_byte(x) for x in m[0].split("."))]
     for m in _CARD.finditer(text):
         d = m[0].replace(" ", "").replace("-", "") if len(m[0]) >= 16 else ""
         if 16 <= len(d) <= 19 and luhn(d):
@@ -121,14 +135,30 @@ def tokens(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _disguised(run: str) -> bool:
+    """Whether an address is written with an (at) or with spaces in it. Looked for from each @ or (at) outwards, so that long runs take linear time."""
+    for m in _ALONE.finditer(run):
+        a = m.start()
+        if a and run[a - 1].isspace():
+            a -= 1
+        if a and run[a - 1] in _LOCAL and _DOTTED.match(run, m.end()):
+            return True
+    return False
+
+
+def look(run: str) -> int:
+    """A hash of how a run looks: its digits' numbers, letters as one, other signs as they are."""
+    return zlib.crc32(_DIGITS.sub(lambda m: str(min(9, len(m[0]))), _LETTERS.sub("a", run[:LOOK_CHARS])).encode("utf-8", "replace")) % LOOKS
+
+
 FEATURES = (
     "any", "at", "address", "obfuscated", "letters", "plus", "bracket", "dash", "quote", "equals", "dots 1", "dots 2", "dots 3", "four parts", "four bytes", "byte", "zeros",
     "digits 1", "digits 2", "digits 3", "digits 4", "digits 5-6", "digits 7-8", "digits 9-12", "digits 13-15", "digits 16-19", "digits 20", "luhn", "hex", "mixed",
-    "after near", "before near", "after plus", "after bracket", "before dash", "near dot", "is after =", *(f"cue {k}" for k in CUES), *(f"cue before {k}" for k in CUES),
+    "after near", "before near", "after plus", "after bracket", "before dash", "near dot", "is after =", *(f"cue {k}" for k in CUES), *(f"cue before {k}" for k in CUES), *(f"look {k}" for k in range(LOOKS)),
 )
 _AT = {f: i for i, f in enumerate(FEATURES)}
 #: Shapes that training hides on a share of tied tokens, so that ties have to tell.
-_SHAPES = [_AT[f] for f in ("address", "obfuscated", "plus", "four parts", "four bytes", "luhn", "hex", "mixed", "after plus", "after bracket", "is after =")] + [i for f, i in _AT.items() if f.startswith("cue")]
+_SHAPES = [_AT[f] for f in ("address", "obfuscated", "plus", "four parts", "four bytes", "luhn", "hex", "mixed", "after plus", "after bracket", "is after =")] + [i for f, i in _AT.items() if f.startswith(("cue", "look"))]
 
 
 def _digits_name(n: int) -> str:
@@ -151,15 +181,15 @@ def _likes(w: str, digits: str) -> tuple[list[str], list[str]]:
 def describe(text: str) -> tuple[list[tuple[int, int]], np.ndarray, list[tuple[int, int]], list[tuple[int, int]]]:
     """A document's tokens, their features, its chain's edges and its ties."""
     spans = tokens(text)
-    x = np.zeros((len(spans), len(FEATURES)), np.float32)
+    x = np.zeros((len(spans), len(FEATURES)), np.uint8)
     chain: list[tuple[int, int]] = []
     ties: list[tuple[int, int]] = []
-    last: dict[str, int] = {}
+    last: dict[str, tuple[int, int]] = {}
     words = [text[a:b] for a, b in spans]
     for i, w in enumerate(words):
         digits = "".join(c for c in w if "0" <= c <= "9")
         dots = min(3, w.count("."))
-        has = {"any", "at" if "@" in w else "any", "plus" if "+" in w else "any", "bracket" if "(" in w or ")" in w else "any", "dash" if "-" in w else "any", "quote" if '"' in w or "'" in w else "any", "equals" if "=" in w else "any"}
+        has = {"any", f"look {look(w)}", "at" if "@" in w else "any", "plus" if "+" in w else "any", "bracket" if "(" in w or ")" in w else "any", "dash" if "-" in w else "any", "quote" if '"' in w or "'" in w else "any", "equals" if "=" in w else "any"}
         if dots:
             has.add(f"dots {dots}")
         if digits:
@@ -170,7 +200,7 @@ def describe(text: str) -> tuple[list[tuple[int, int]], np.ndarray, list[tuple[i
                 has.add("zeros")
         if "@" in w and next(_emails(w), None):
             has.add("address")
-        elif _OBFUSCATED.search(w[:400]):
+        elif _disguised(w):
             has.add("obfuscated")
         if any(c.isalpha() for c in w):
             has.add("letters")
@@ -214,12 +244,13 @@ def describe(text: str) -> tuple[list[tuple[int, int]], np.ndarray, list[tuple[i
             has |= {f"cue {k}", "is after ="}
         for f in has:
             x[i, _AT[f]] = 1
-        look, known = _likes(w, digits)
-        for b in {last[k] for k in look if k in last}:
+        sought, known = _likes(w, digits)
+        # tied to the first and the last like: all mentions share potentials over two ties at most
+        for b in {met for k in sought if k in last for met in last[k]}:
             if (b, i) not in chain[-1:]:
                 ties.append((b, i))
         for k in known:
-            last[k] = i
+            last[k] = (last[k][0] if k in last else i, i)
     return spans, x, chain, ties
 
 
@@ -316,7 +347,7 @@ def examples(texts: list[str], seed: int = 5) -> list[tuple[np.ndarray, list, li
     rng = np.random.default_rng(seed)
     out = []
     for text in texts:
-        for copy, spans in ((text, []), planted(text[:1500], rng)):
+        for copy, spans in ((text, []), planted(text[:PLANTED_CHARS], rng)):
             at, x, chain, ties = describe(copy)
             if not at:
                 continue
@@ -381,26 +412,31 @@ def fit(docs: list[tuple[np.ndarray, list, list, np.ndarray, np.ndarray]]) -> Fi
 
 
 def marginals(field: Field, x: np.ndarray, near: np.ndarray, tied: np.ndarray) -> np.ndarray:
-    """Every token's label probabilities, by damped sum-product message passing on all edges at once."""
-    own = x.astype(float) @ field.weight
-    own -= own.max(1, keepdims=True)
-    src = np.concatenate([near[:, 0], near[:, 1], tied[:, 0], tied[:, 1]])
-    dst = np.concatenate([near[:, 1], near[:, 0], tied[:, 1], tied[:, 0]])
-    e = len(near), len(tied)
-    table = np.concatenate([np.broadcast_to(t, (n, *t.shape)) for t, n in ((field.near, e[0]), (field.near.T, e[0]), (field.tied, e[1]), (field.tied.T, e[1]))])
-    back = np.concatenate([np.arange(e[0]) + e[0], np.arange(e[0]), np.arange(e[1]) + 2 * e[0] + e[1], np.arange(e[1]) + 2 * e[0]])
-    message = np.zeros((len(src), own.shape[1]))
+    """Every token's label probabilities, by damped sum-product message passing on all edges at once.
+
+    Edges go through their tables STEP at a time, so that memory is a few numbers an edge and label.
+    """
+    parts = [(field.near, near[:, 0], near[:, 1]), (field.near.T, near[:, 1], near[:, 0]), (field.tied, tied[:, 0], tied[:, 1]), (field.tied.T, tied[:, 1], tied[:, 0])]
+    own = np.concatenate([x[lo : lo + STEP].astype(float) @ field.weight for lo in range(0, len(x), STEP)] or [np.zeros((0, field.weight.shape[1]))])
+    own -= own.max(1, keepdims=True) if len(own) else 0
+    message = [np.zeros((len(src), own.shape[1])) for _, src, _ in parts]
     total = own.copy()
-    for _ in range(ROUNDS if len(src) else 0):
-        out = total[src] - message[back]
-        new = out[:, :, None] + table
-        top = new.max(1, keepdims=True)
-        new = np.log(np.exp(new - top).sum(1)) + top[:, 0]
-        new -= new.max(1, keepdims=True)
-        message = 0.5 * message + 0.5 * new
-        total = own.copy()
-        np.add.at(total, dst, message)
-    p = np.exp(total - total.max(1, keepdims=True))
+    for _ in range(ROUNDS if len(near) or len(tied) else 0):
+        after = []
+        for k, (table, src, _) in enumerate(parts):
+            back = message[k ^ 1]  # the same edges the other way
+            new = np.empty_like(message[k])
+            for lo in range(0, len(src), STEP):
+                at = slice(lo, lo + STEP)
+                out = (total[src[at]] - back[at])[:, :, None] + table
+                top = out.max(1, keepdims=True)
+                got = np.log(np.exp(out - top).sum(1)) + top[:, 0]
+                new[at] = 0.5 * message[k][at] + 0.5 * (got - got.max(1, keepdims=True))
+            after.append(new)
+        message, total = after, own.copy()
+        for m, (_, _, dst) in zip(message, parts, strict=True):
+            np.add.at(total, dst, m)
+    p = np.exp(total - total.max(1, keepdims=True)) if len(total) else total
     return p / p.sum(1, keepdims=True)
 
 
@@ -480,8 +516,7 @@ def find_pii(docs: DataFrame, field: Field | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            for lo in range(0, rows.num_rows, 512):
-                part = rows.slice(lo, 512)
+            for part in by_bytes(rows, 1, SLICE):
                 found = find(part.column(1).to_pylist(), shared.value)
                 cells = [[dict(zip(("kind", "start", "end", "base"), s, strict=True)) for s in x] for x in found]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cells, _SPAN_TYPE)], names=["doc_id", "spans"])
@@ -502,8 +537,8 @@ def redact(docs: DataFrame, field: Field | None = None, text: str = "text") -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             out: list[str | None] = []
-            for lo in range(0, rows.num_rows, 512):
-                texts = rows.column(at).slice(lo, 512).to_pylist()
+            for part in by_bytes(rows, at, SLICE):
+                texts = part.column(at).to_pylist()
                 for t, found in zip(texts, find(texts, shared.value), strict=True):
                     parts, pos = [], 0
                     for kind, a, b, _ in sorted(found, key=lambda s: (s[1], -s[2])):

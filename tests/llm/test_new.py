@@ -232,3 +232,51 @@ def test_long_texts_are_fingerprinted_in_parts(monkeypatch):
     text = " ".join(f"w{k % 91}" for k in range(700))
     monkeypatch.setattr(simhash, "RUN", 64)
     assert simhash.fingerprint(text.encode()) == plain_fingerprint(text)
+
+
+# --- personal data ----------------------------------------------------------
+
+
+def test_marginals_on_a_tree_by_enumeration(monkeypatch):
+    from itertools import product
+
+    from graphloom.llm import pii
+
+    rng = np.random.default_rng(4)
+    k = len(pii.LABELS) + 1
+    field = pii.Field(rng.normal(size=(len(pii.FEATURES), k)), rng.normal(size=(k, k)), rng.normal(size=(k, k)))
+    x = (rng.random((5, len(pii.FEATURES))) < 0.1).astype(np.uint8)
+    near, tied = np.array([(0, 1), (1, 2)]), np.array([(0, 3), (2, 4)])
+    want = np.zeros((5, k))
+    own = x @ field.weight
+    for y in product(range(k), repeat=5):
+        s = sum(own[i, y[i]] for i in range(5)) + sum(field.near[y[a], y[b]] for a, b in near) + sum(field.tied[y[a], y[b]] for a, b in tied)
+        for i in range(5):
+            want[i, y[i]] += math.exp(s)
+    want /= want.sum(1, keepdims=True)
+    monkeypatch.setattr(pii, "ROUNDS", 60)
+    for step in (1 << 15, 2):
+        monkeypatch.setattr(pii, "STEP", step)
+        assert np.allclose(pii.marginals(field, x, near, tied), want, atol=1e-6)
+
+
+def test_zeros_and_marks_behind_long_runs(spark):
+    from graphloom.llm import pii
+
+    zeros = "0" * 5000
+    assert pii.base_spans(f"a {zeros}1.2.3.{zeros} b") == [("ip", 2, 10008)] and pii.base_spans(f"{zeros}256.2.3.4") == []
+    for run in ("1,jo.berg[at]mail.example.com", ";" * 450 + "1,jo.berg[at]mail.example.com", "a1" * 5000 + "(at)mail.example.com", "jo1 @ mail.example.com"):
+        assert pii._disguised(run)
+    assert not any(map(pii._disguised, ("[at]mail.example.com1", "a" * 100_000 + "1", "a@" * 50_000, "jo@home24", "(at)(at)1")))
+    text = " ".join(str(j % 7) for j in range(40_000)) + f" {zeros}1.2.3.4"  # one token after another
+    rows = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.find_pii(rows, pii.fit([])).collect()}
+    assert [s.kind for s in got[1] if s.base] == ["ip"] and got[2] == got[3] == []
+
+
+def test_all_mentions_are_tied():
+    from graphloom.llm import pii
+
+    at, _, _, ties = pii.describe("call 415 555 0123 4 now, later 4155550123 and then 4155550123 and at last 4155550123")
+    numbers = [i for i, (a, b) in enumerate(at) if b - a == 10]
+    assert {(numbers[0], numbers[1]), (numbers[0], numbers[2]), (numbers[1], numbers[2])} <= set(ties)
