@@ -31,9 +31,11 @@ KINDS = ("email", "ip", "card", "phone")
 #: What the field can label a token with beside none; only it finds secrets.
 LABELS = (*KINDS, "secret")
 #: Documents that training may use, and signs of each.
-SAMPLE_DOCS, SAMPLE_CHARS = 2000, 8000
+SAMPLE_DOCS, SAMPLE_CHARS = 800, 8000
 #: Signs of a training text that its copy with plants has; plants lie between the words of this part.
 PLANTED_CHARS = 1500
+#: Copies with plants that training makes of each text.
+COPIES = 3
 #: Rounds of message passing, and the probability that an added span needs.
 ROUNDS, SURE = 12, 0.8
 #: Hashes of a token's look, and signs of a token that its look is taken from; everything else about a token is taken from all of it.
@@ -343,11 +345,11 @@ def planted(text: str, rng: np.random.Generator) -> tuple[str, list[Span]]:
 
 
 def examples(texts: list[str], seed: int = 5) -> list[tuple[np.ndarray, list, list, np.ndarray, np.ndarray]]:
-    """Features, chain, ties, labels and weights of each text and of a copy with plants."""
+    """Features, chain, ties, labels and weights of each text and of its copies with plants."""
     rng = np.random.default_rng(seed)
     out = []
     for text in texts:
-        for copy, spans in ((text, []), planted(text[:PLANTED_CHARS], rng)):
+        for copy, spans in ((text, []), *(planted(text[:PLANTED_CHARS], rng) for _ in range(COPIES))):
             at, x, chain, ties = describe(copy)
             if not at:
                 continue
@@ -379,7 +381,7 @@ def fit(docs: list[tuple[np.ndarray, list, list, np.ndarray, np.ndarray]]) -> Fi
     field = Field(np.zeros((f, k)), np.zeros((k, k)), np.zeros((k, k)))
     if not docs:
         return field
-    x = np.concatenate([d[0] for d in docs]).astype(float)
+    x = np.concatenate([d[0] for d in docs]).astype(np.float32)
     y = np.concatenate([d[3] for d in docs])
     weight = np.concatenate([d[4] for d in docs])[:, None]
     shift = np.cumsum([0, *(len(d[3]) for d in docs)])
@@ -390,14 +392,14 @@ def fit(docs: list[tuple[np.ndarray, list, list, np.ndarray, np.ndarray]]) -> Fi
     moment = [np.zeros_like(p) for p in params]
     square = [np.zeros_like(p) for p in params]
     for step in range(1, 251):
-        score = x @ field.weight
+        score = (x @ field.weight.astype(np.float32)).astype(float)
         for table, edges in ((field.near, near), (field.tied, tied)):
             np.add.at(score, edges[:, 0], table[:, y[edges[:, 1]]].T)
             np.add.at(score, edges[:, 1], table[y[edges[:, 0]]])
         p = np.exp(score - score.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         miss = (hot - p) * weight / len(y)
-        grads = [x.T @ miss]
+        grads = [x.T @ miss.astype(np.float32)]
         for edges in (near, tied):
             g = np.zeros((k, k))
             np.add.at(g.T, y[edges[:, 1]], miss[edges[:, 0]])
