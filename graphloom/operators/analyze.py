@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.ids import edge_id, prefix_repo, repo_of, safe_id, service_of, tokens, without_repo
 from ..functions.lineage import settled
 from ..schema import CYCLE_TYPES, MAPS, PINS, TESTABLE_KINDS, Graph, GraphError
+from .components import dependency_cycles, inside_components, strong_components
 from .scan import degrees, edges_by_types, find_nodes, nodes_by_kinds
 from .store import validate
 from .traverse import component, impact, neighbors
@@ -192,13 +193,13 @@ def hotspots(graph: Graph, churn: DataFrame, top: int = 10) -> DataFrame:
 def cycles(edges: DataFrame, types: tuple[str, ...], length: int | None = None) -> DataFrame:
     """Simple cycles, each once, from its smallest id: (cycle, length); of any length unless one is given.
 
-    Steps that no cycle can take, from nodes without steps to them or to nodes
-    without further ones, go first, in a few rounds. Each length's trails are
-    written, and the search ends when none is left.
+    Only steps inside a strongly connected component are followed: no cycle
+    takes others. Each length's trails are written, and the search ends when
+    none is left. Their number can grow with the power of a component's size;
+    dependency_cycles reports cycles without that.
     """
     steps = settled(edges.filter(F.col("type").isin(*types)).select(F.col("from_id").alias("src"), F.col("to_id").alias("dst")).distinct())
-    for _ in range(3):
-        steps = settled(steps.join(steps.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(steps.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+    steps = settled(inside_components(steps, strong_components(steps)).select("src", "dst"))
     trail = steps.filter("dst >= src").select(F.col("src").alias("first"), F.col("dst").alias("node"), F.when(F.col("src") == F.col("dst"), F.array("src")).otherwise(F.array("src", "dst")).alias("path"))
     out = trail.filter("first = node").select(F.array_join("path", ">").alias("cycle"), F.lit(1).cast("long").alias("length"))
     trail, done = trail.filter("first <> node"), 1
@@ -257,13 +258,13 @@ def capped_map(graph: Graph, view: str, focus: str | None = None, node_cap: int
     return nodes, edges, sizes.union(by(nodes, "kind", "node_")).union(by(edges, "type", "edge_")).union(chips)
 
 
-def insights(graph: Graph, churn: DataFrame | None = None, top: int = 10, cycle_length: int | None = 5) -> DataFrame:
+def insights(graph: Graph, churn: DataFrame | None = None, top: int = 10) -> DataFrame:
     """The report: (section, rank, id, metric) of hubs, bottlenecks, coupling, isolated nodes, cycles, hotspots and large downstream impact.
 
     Sections are the first `top` by metric (twice as many isolated nodes, 20
     cycles), ties by kind and id. Without churn, hotspots are the hubs. Impact
-    is measured of the 40 nodes of the highest degree. Longer cycles than
-    cycle_length are left to `cycles`.
+    is measured of the 40 nodes of the highest degree. Cycles are those of
+    dependency_cycles, of any length, in its order.
     """
     top = max(1, min(50, top))
     kinds = graph.nodes.select("id", "kind")
@@ -282,7 +283,7 @@ def insights(graph: Graph, churn: DataFrame | None = None, top: int = 10, cycle_
     reached = impact(graph.edges, wide.select("id")).filter("node <> start").groupBy(F.col("start").alias("id")).agg(F.count_distinct("node").alias("metric"))
     parts = [
         hub, section("bottlenecks", ranked.withColumn("metric", least).filter("metric >= 2"), top, *by), section("coupling", ranked.withColumn("metric", F.col("degree")).filter("metric >= 6"), top, *by),
-        section("isolated", isolated(graph).withColumn("metric", F.lit(0)), 2 * top, "kind", "id"), section("cycles", cycles(graph.edges, CYCLE_TYPES, cycle_length).select(F.col("cycle").alias("id"), F.col("length").alias("metric")), 20, "id"),
+        section("isolated", isolated(graph).withColumn("metric", F.lit(0)), 2 * top, "kind", "id"), section("cycles", dependency_cycles(graph, CYCLE_TYPES, 20).select(F.col("path").alias("id"), F.col("length").alias("metric"), "kind", "first", "no"), 20, "kind", "first", "no"),
         section("hotspots", spots, top, *by), section("large_downstream_impact", wide.join(reached, "id"), top, F.desc("metric"), F.desc("degree"), "kind", "id"),
     ]
     out = parts[0]

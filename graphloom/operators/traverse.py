@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from ..functions.lineage import settled
 from ..schema import DOWNSTREAM, EDGE_TYPES, FLOW_TYPES, MAX_DEPTH, MAX_PATHS, UPSTREAM
+from .components import connected
 
 
 def oriented(edges: DataFrame, direction: str | tuple[str, ...]) -> DataFrame:
@@ -138,16 +139,7 @@ def neighbors(edges: DataFrame, ids: DataFrame, direction: str = "both") -> Data
 
 
 def component(edges: DataFrame, focus: str) -> DataFrame:
-    """The nodes that edges connect with a node, in either direction.
-
-    Each round adds the neighbours of the last one's nodes and is written to
-    the checkpoint folder, until nothing is new.
-    """
-    both = settled(edges.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")).union(edges.select("to_id", "from_id")).distinct())
-    seen = frontier = edges.sparkSession.createDataFrame([(focus,)], "node string")
-    while True:
-        frontier = frontier.join(both, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti")
-        frontier = settled(frontier)
-        if frontier.isEmpty():
-            return seen
-        seen = seen.union(frontier)
+    """The nodes that edges connect with a node, in either direction; of an id that no edge has, itself alone."""
+    labels = settled(connected(edges.select(F.col("from_id").alias("a"), F.col("to_id").alias("b"))))
+    own = labels.filter(F.col("node") == focus).select("label")
+    return labels.join(own, "label", "left_semi").select("node").union(edges.sparkSession.createDataFrame([(focus,)], "node string")).distinct()

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import ids
-from ..operators import analyze, scan, store, traverse
+from ..functions.lineage import settled
+from ..operators import analyze, components, scan, store, traverse
 from ..schema import CYCLE_TYPES, DOWNSTREAM, FLOW_TYPES, MAPS, UPSTREAM, Graph
 from ..sources import lines, tables
 
@@ -377,6 +378,46 @@ def cycles(spark, d):
     return analyze.cycles(steps.join(k, ["o_custkey", "k"]).select(F.lit("CALLS").alias("type"), "from_id", F.col("id").alias("to_id")), CYCLE_TYPES)
 
 
+# --- strongly connected components ------------------------------------------
+
+_BACK = """SELECT 'CALLS' AS type, 'fn:orders/' || o_custkey || '.ts:o' || first AS from_id, 'fn:orders/' || o_custkey || '.ts:o' || last AS to_id
+FROM (SELECT o_custkey, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS first, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS last FROM orders WHERE o_custkey % 5 = 0 GROUP BY o_custkey) WHERE first <> last"""
+#: tables.WITH for looped().
+LOOPED = "WITH RECURSIVE " + tables.WITH[5:].replace("edges AS MATERIALIZED", "edges0 AS MATERIALIZED") + (
+    f", back AS MATERIALIZED ({_BACK}), edges AS MATERIALIZED (SELECT * FROM edges0 UNION ALL SELECT 'e_' || substring(sha1(concat(type, chr(0), from_id, chr(0), to_id)), 1, 16), type, from_id, to_id, 1, 0.5, 'parser' FROM back)"
+)
+_COMPONENTS = """cs AS MATERIALIZED (SELECT DISTINCT from_id, to_id FROM edges WHERE type IN ('CALLS', 'IMPORTS', 'DEPENDS_ON')), r AS (SELECT from_id AS a, to_id AS b FROM cs WHERE to_id IN (SELECT from_id FROM cs) UNION SELECT r.a, cs.to_id FROM r JOIN cs ON cs.from_id = r.b AND cs.to_id IN (SELECT from_id FROM cs)),
+comp AS MATERIALIZED (SELECT x.a AS node, min(x.b) AS scc, count(DISTINCT x.b) AS size FROM r x JOIN r y ON y.a = x.b AND y.b = x.a GROUP BY x.a),
+walk AS (SELECT scc AS first, scc AS node, [scc] AS path FROM (SELECT DISTINCT scc FROM comp ORDER BY scc LIMIT 20) UNION ALL SELECT w.first, cs.to_id, list_append(w.path, cs.to_id) FROM walk w JOIN cs ON cs.from_id = w.node JOIN comp c ON c.node = cs.to_id AND c.scc = w.first WHERE len(w.path) = 1 OR w.node <> w.first),
+cyc AS (SELECT first, array_to_string(path, '>') AS path, len(path) - 1 AS length FROM walk WHERE node = first AND len(path) > 1)"""
+
+
+def looped(spark: SparkSession, d: str) -> Graph:
+    """The tables' graph in which the first order of every fifth customer also calls the last one, so that calls of any length come back."""
+    g = _g(spark, d)
+    ends = _read(spark, d, "orders").filter("o_custkey % 5 = 0").groupBy("o_custkey").agg(*(f("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias(c) for c, f in (("first", F.min_by), ("last", F.max_by)))).filter("first <> last")
+    of = lambda c: F.concat(F.lit("fn:orders/"), "o_custkey", F.lit(".ts:o"), c)
+    back = ends.select(F.lit("CALLS").alias("type"), of("first").alias("from_id"), of("last").alias("to_id")).select(ids.edge_id("type", "from_id", "to_id").alias("id"), "type", "from_id", "to_id", F.lit(1).cast("long").alias("n_evidence"), F.lit(0.5).alias("confidence"), F.lit("parser").alias("sources"), F.lit(False).alias("conflict"))
+    return Graph(g.nodes, settled(g.edges.unionByName(back), "type"), g.chunks)
+
+
+@query(f"{LOOPED}, {_COMPONENTS} SELECT node, scc, size FROM comp")
+def strong_components(spark, d):
+    steps = looped(spark, d).edges.filter(F.col("type").isin(*CYCLE_TYPES)).select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"))
+    return components.strong_components(steps)
+
+
+@query(f"{LOOPED}, {_COMPONENTS} SELECT 'Function' AS kind, first, 1 AS no, path, length FROM cyc")
+def dependency_cycles(spark, d):
+    return components.dependency_cycles(looped(spark, d))
+
+
+@query(f"WITH RECURSIVE {tables.WITH[5:]}, e AS MATERIALIZED (SELECT from_id AS a, to_id AS b FROM edges WHERE type = 'CALLS'), b AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS x, a AS y FROM b UNION SELECT r.x, b.b FROM r JOIN b ON b.a = r.y) SELECT x AS node, min(y) AS label FROM r GROUP BY x")
+def connected_calls(spark, d):
+    """Each function with the least one that calls connect it with, in either direction."""
+    return components.connected(_g(spark, d).edges.filter("type = 'CALLS'").select(F.col("from_id").alias("a"), F.col("to_id").alias("b")))
+
+
 # --- maps, search -----------------------------------------------------------
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import analyze, scan, store, traverse
 from ..operators.operations import dispatch
 from ..sources import extract, tables
-from .queries import _DOWN_TABLES, _TESTED_STARTS, _code, _g, _read, _tested, query, search_sql
+from .queries import _COMPONENTS, _DOWN_TABLES, _TESTED_STARTS, LOOPED, _code, _g, _read, _tested, looped, query, search_sql
 
 _SYNCED: dict[tuple[str, str], extract.Synced] = {}
 
@@ -164,20 +164,21 @@ _WIDE = "SELECT id FROM (SELECT nodes.id, kind, count(*) AS degree FROM nodes JO
 
 
 @query(
-    search_sql("downstream", _WIDE, 5, 7) + """, deg AS (SELECT x.id, kind, sum(i) AS in_degree, sum(1 - i) AS out_degree, count(*) AS degree FROM (SELECT from_id AS id, 0 AS i FROM edges UNION ALL SELECT to_id, 1 FROM edges) x JOIN nodes ON nodes.id = x.id GROUP BY x.id, kind),
+    search_sql("downstream", _WIDE, 5, 7).replace(tables.WITH, LOOPED) + f""", {_COMPONENTS}, deg AS (SELECT x.id, kind, sum(i) AS in_degree, sum(1 - i) AS out_degree, count(*) AS degree FROM (SELECT from_id AS id, 0 AS i FROM edges UNION ALL SELECT to_id, 1 FROM edges) x JOIN nodes ON nodes.id = x.id GROUP BY x.id, kind),
 churn AS (SELECT nodes.id, kind, commits FROM nodes JOIN (SELECT 'users/' || user_id || '.ts' AS path, count(*) AS commits FROM events GROUP BY user_id) USING (path)), reached AS (SELECT start AS id, count(DISTINCT node) AS n FROM found WHERE node <> start GROUP BY start),
 s AS (SELECT 'hubs' AS section, row_number() OVER (ORDER BY degree DESC, kind, id) AS rank, id, degree AS metric, 10 AS most FROM deg
 UNION ALL SELECT 'bottlenecks', row_number() OVER (ORDER BY least(in_degree, out_degree) DESC, kind, id), id, least(in_degree, out_degree), 10 FROM deg WHERE least(in_degree, out_degree) >= 2
 UNION ALL SELECT 'coupling', row_number() OVER (ORDER BY degree DESC, kind, id), id, degree, 10 FROM deg WHERE degree >= 6
 UNION ALL SELECT 'isolated', row_number() OVER (ORDER BY kind, id), id, 0, 20 FROM nodes WHERE kind <> 'Repo' AND id NOT IN (SELECT id FROM deg)
 UNION ALL SELECT 'hotspots', row_number() OVER (ORDER BY commits DESC, kind, id), id, commits, 10 FROM churn
+UNION ALL SELECT 'cycles', row_number() OVER (ORDER BY first), path, length, 20 FROM cyc
 UNION ALL SELECT 'large_downstream_impact', row_number() OVER (ORDER BY n DESC, degree DESC, kind, deg.id), deg.id, n, 10 FROM reached JOIN deg ON deg.id = reached.id)
 SELECT section, CAST(rank AS INTEGER) AS rank, id, CAST(metric AS BIGINT) AS metric FROM s WHERE rank <= most"""
 )
 def insights(spark, d):
-    """The report on the tables' graph, in which calls never come back, so that it has no cycles."""
+    """The report on the tables' graph with calls that come back."""
     churn = _read(spark, d, "events").groupBy(F.concat(F.lit("users/"), "user_id", F.lit(".ts")).alias("path")).agg(F.count("*").alias("commits"))
-    return analyze.insights(_g(spark, d), churn)
+    return analyze.insights(looped(spark, d), churn)
 
 
 @query(_DOWN_TABLES + " SELECT id, kind, name FROM nodes WHERE id = 'table:part_7' UNION SELECT id, kind, name FROM nodes WHERE id IN (SELECT node FROM found WHERE start = 'table:part_7')")
