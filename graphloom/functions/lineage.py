@@ -6,25 +6,40 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder below the session's spark.checkpoint.dir. One is made only where that is unset and Spark runs in one process, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="graphloom-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/graphloom/{uuid.uuid4().hex}"
 
 
 def settled(df: DataFrame, by: str | None = None) -> DataFrame:
     """The frame written to the shared checkpoint folder and read again.
 
     Loops then plan each round from files: plans don't grow, and a lost
-    executor costs one round at most. The folder is the session's
-    spark.checkpoint.dir; one is made only where that is unset and Spark runs in
-    one process, as in tests. `by` names a column whose values get folders of
-    their own, so that filters on it read nothing else.
+    executor costs one round at most. `by` names a column whose values get
+    folders of their own, so that filters on it read nothing else.
     """
-    conf = df.sparkSession.conf
-    base = conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.match(r"local(\[|$)", conf.get("spark.master", "")):
-            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="graphloom-")
-        conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/graphloom/{uuid.uuid4().hex}"
+    path = _folder(df.sparkSession)
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def bucketed(df: DataFrame, by: str, *order: str) -> DataFrame:
+    """The frame stored in the shared checkpoint folder as a table with a file for each bucket of a column, sorted by it and `order`.
+
+    Joins and windows on that column then read it without an exchange. There
+    are as many buckets as the session has shuffle partitions.
+    """
+    spark = df.sparkSession
+    path, n = _folder(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"graphloom_{uuid.uuid4().hex}"
+    df.repartition(n, by).write.bucketBy(n, by).sortBy(by, *order).option("path", path).format("parquet").saveAsTable(name)
+    return spark.table(name)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import GraphError
+from ..functions.lineage import bucketed
+from ..schema import Graph, GraphError
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -76,5 +77,15 @@ def find_nodes(nodes: DataFrame, query: str, kind: str | None = None, limit: int
 
 def degrees(edges: DataFrame) -> DataFrame:
     """(id, in_degree, out_degree, degree): a loop counts in both of the first, in one pass over the edges."""
-    ends = edges.select(F.explode(F.array(F.struct(F.col("from_id").alias("id"), F.lit(0).alias("into")), F.struct(F.col("to_id").alias("id"), F.lit(1).alias("into")))).alias("e")).select("e.*")
-    return ends.groupBy("id").agg(F.count_if(F.col("into") == 1).alias("in_degree"), F.count_if(F.col("into") == 0).alias("out_degree"), F.count("*").alias("degree"))
+    return _ends(edges).drop("incident")
+
+
+def _ends(edges: DataFrame) -> DataFrame:
+    end = lambda c, into: F.struct(F.col(c).alias("id"), F.lit(into).alias("into"), (F.col("from_id") == F.col("to_id")).alias("loop"))
+    ends = edges.select(F.explode(F.array(end("from_id", 0), end("to_id", 1))).alias("e")).select("e.*")
+    return ends.groupBy("id").agg(F.count_if(F.col("into") == 1).alias("in_degree"), F.count_if(F.col("into") == 0).alias("out_degree"), F.count("*").alias("degree"), F.count_if(~(F.col("loop") & (F.col("into") == 1))).alias("incident"))
+
+
+def stored_degrees(graph: Graph) -> DataFrame:
+    """degrees of a graph, kept with it, and incident: the edges at a node, a loop once."""
+    return graph.keep("degrees", lambda: bucketed(_ends(graph.edges), "id"))

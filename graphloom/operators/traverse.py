@@ -1,31 +1,49 @@
 """Bounded traversals as level-by-level joins, for many starts at once.
 
 Every row carries its start; a level is one equi-join with the oriented edges
-and one window per start. Paths of a start are numbered in the order in which a
+and one window per start. A graph's oriented edges are stored once, bucketed by
+their source, so that a level exchanges its frontier only. Paths of a start are numbered in the order in which a
 first-in-first-out search would find them, and a level keeps no more than are
 still wanted, so that frontiers stay small however far hubs reach.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.lineage import settled
-from ..schema import DOWNSTREAM, EDGE_TYPES, FLOW_TYPES, MAX_DEPTH, MAX_PATHS, UPSTREAM
+from ..functions.lineage import bucketed, settled
+from ..schema import DOWNSTREAM, EDGE_TYPES, FLOW_TYPES, MAX_DEPTH, MAX_PATHS, UPSTREAM, Graph
 from .components import connected
 
 
-def oriented(edges: DataFrame, direction: str | tuple[str, ...]) -> DataFrame:
-    """Edges as steps (src, dst, edge_id, type, conflict), the way a direction follows each type."""
-    rules = {"downstream": DOWNSTREAM, "upstream": UPSTREAM}.get(direction) if isinstance(direction, str) else dict.fromkeys(direction, "fwd")
-    if rules is None:
+#: What each direction follows, and which way: types by how they are followed.
+DIRECTIONS = {"downstream": DOWNSTREAM, "upstream": UPSTREAM, "flow": dict.fromkeys(FLOW_TYPES, "fwd"), "forward": dict.fromkeys(EDGE_TYPES, "fwd"), "backward": dict.fromkeys(EDGE_TYPES, "inv")}
+
+
+def oriented(edges: DataFrame, direction: str) -> DataFrame:
+    """Edges as steps (src, dst, edge_id, type, conflict, n), the way a direction follows each type; n numbers a node's steps by edge id."""
+    if direction not in DIRECTIONS:
         raise ValueError(f"no such direction: {direction}")
-    back = [t for t, way in rules.items() if way == "inv"]
-    step = edges.filter(F.col("type").isin(*rules))
-    turned = F.col("type").isin(*back) if back else F.lit(False)
-    return step.select(F.when(turned, F.col("to_id")).otherwise(F.col("from_id")).alias("src"), F.when(turned, F.col("from_id")).otherwise(F.col("to_id")).alias("dst"), F.col("id").alias("edge_id"), "type", "conflict")
+    rules = DIRECTIONS[direction]
+    turned = F.col("type").isin(*(t for t, way in rules.items() if way == "inv"))
+    ends = [F.when(turned, F.col(x)).otherwise(F.col(y)) for x, y in (("to_id", "from_id"), ("from_id", "to_id"))]
+    steps = edges.filter(F.col("type").isin(*rules)).select(ends[0].alias("src"), ends[1].alias("dst"), F.col("id").alias("edge_id"), "type", "conflict")
+    return steps.withColumn("n", F.row_number().over(Window.partitionBy("src").orderBy("edge_id")))
+
+
+def stored_steps(source: Graph | DataFrame, direction: str) -> DataFrame:
+    """The steps of a direction, bucketed by source; those of a graph are kept with it."""
+    make = lambda edges: bucketed(oriented(edges, direction), "src", "edge_id")
+    return source.keep(f"steps {direction}", lambda: make(source.edges)) if isinstance(source, Graph) else make(source)
+
+
+def onward(frontier: DataFrame, steps: DataFrame) -> DataFrame:
+    """The steps from each row's node."""
+    return frontier.join(steps, F.col("node") == F.col("src"))
 
 
 def _ranked(df: DataFrame, limit: Column | int | None) -> DataFrame:
@@ -44,15 +62,14 @@ def search_paths(steps: DataFrame, starts: DataFrame, depth: int, most: int | No
     searched together, in order of their ids, and start is the group.
     """
     if most is not None:  # no path takes more than the first steps from a node, but for those back to its own path
-        first = Window.partitionBy("src").orderBy("edge_id")
-        steps = steps.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= most + (2 * len(EDGE_TYPES) * depth if avoid_own_path else 0)).drop("_n")
-    steps, starts = settled(steps), settled(starts.select(F.col("group" if "group" in starts.columns else "id").alias("start"), F.col("id").alias("node")).distinct())
+        steps = steps.filter(F.col("n") <= most + (2 * len(EDGE_TYPES) * depth if avoid_own_path else 0))
+    steps, starts = steps.drop("n"), settled(starts.select(F.col("group" if "group" in starts.columns else "id").alias("start"), F.col("id").alias("node")).distinct())
     frontier = starts.select("start", "node", F.row_number().over(Window.partitionBy("start").orderBy("node")).alias("rank"), F.array("node").alias("path"), F.array().cast("array<string>").alias("edge_path"))
     seen = starts
     done = starts.select("start").distinct().withColumn("n", F.lit(0))
     out = None
     for level in range(1, depth + 1):
-        near = frontier.join(steps, F.col("node") == F.col("src")).join(done, "start")
+        near = onward(frontier, steps).join(done, "start")
         near = near.filter(~F.array_contains("path", F.col("dst"))) if avoid_own_path else near
         near = _ranked(near, None if most is None else F.lit(most) - F.col("n"))
         before = seen.withColumn("was_seen", F.lit(True))
@@ -74,59 +91,82 @@ def search_paths(steps: DataFrame, starts: DataFrame, depth: int, most: int | No
     return out
 
 
-def impact(edges: DataFrame, starts: DataFrame, direction: str = "downstream", depth: int = MAX_DEPTH, max_paths: int = MAX_PATHS) -> DataFrame:
+def impact(graph: Graph | DataFrame, starts: DataFrame, direction: str = "downstream", depth: int = MAX_DEPTH, max_paths: int = MAX_PATHS) -> DataFrame:
     """What a change of each start reaches, at most max_paths paths of at most depth steps each; at depth 0 nothing."""
     depth = max(0, min(MAX_DEPTH, depth))
-    found = search_paths(oriented(edges, direction), starts, max(1, depth), max(1, min(MAX_PATHS, max_paths)))
+    found = search_paths(stored_steps(graph, direction), starts, max(1, depth), max(1, min(MAX_PATHS, max_paths)))
     return found if depth else found.filter(F.lit(False))
 
 
-def reach(edges: DataFrame, starts: DataFrame, direction: str = "downstream", depth: int = MAX_DEPTH) -> DataFrame:
+def reach(graph: Graph | DataFrame, starts: DataFrame, direction: str = "downstream", depth: int = MAX_DEPTH) -> DataFrame:
     """Every node that the starts reach together, with its least depth; no bound on paths."""
-    steps = oriented(edges, direction).select("src", "dst").distinct()
+    steps = stored_steps(graph, direction).select("src", "dst")
     seen = frontier = starts.select(F.col("id").alias("node"), F.lit(0).alias("depth")).distinct()
     for level in range(1, depth + 1):
-        frontier = settled(frontier.join(steps, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(level)))
+        frontier = settled(onward(frontier, steps).select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(level)))
         seen = seen.union(frontier)
     return seen
 
 
-def why_paths(edges: DataFrame, pairs: DataFrame, depth: int = MAX_DEPTH, max_paths: int = MAX_PATHS) -> DataFrame:
+def why_paths(graph: Graph | DataFrame, pairs: DataFrame, depth: int = MAX_DEPTH, max_paths: int = MAX_PATHS) -> DataFrame:
     """Simple forward paths for pairs (from_id, to_id): from_id, to_id, path_no, length, path, edge_path.
 
     Shorter paths come first, equal ones by their edges' ids. A path ends where
-    it meets its target; a pair of one node twice has one empty path.
+    it meets its target; a pair of one node twice has one empty path. Half
+    trails from both ends meet in the middle, so that a path of five steps takes
+    trails of three and two. Lengths go up one by one, and a pair leaves the
+    search with its last wanted path.
     """
-    steps = edges.select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"), F.col("id").alias("edge_id"))
+    ahead, back = (stored_steps(graph, d).select("src", "dst", "edge_id") for d in ("forward", "backward"))
     pairs = settled(pairs.select("from_id", "to_id").distinct())
-    # a trail goes only to nodes from which its target can still be met: (to_id, node, left), searched backwards
-    back = pairs.select("to_id", F.col("to_id").alias("dst")).distinct()
-    close = back.select("to_id", F.col("dst").alias("node"), F.lit(0).alias("left"))
-    seen = close
-    for level in range(1, depth):
-        back = settled(back.join(steps, "dst").select("to_id", F.col("src").alias("node")).distinct().join(seen.select("to_id", "node"), ["to_id", "node"], "left_anti").withColumn("left", F.lit(level)))
-        seen = seen.union(back)
-        back = back.select("to_id", F.col("node").alias("dst"))
-    near_enough = settled(seen)
-    trail = pairs.select("from_id", "to_id", F.col("from_id").alias("node"), F.array("from_id").alias("path"), F.array().cast("array<string>").alias("edge_path"))
-    ended = trail.filter("from_id = to_id")
-    trail = trail.filter("from_id <> to_id")
-    for level in range(1, depth + 1):
-        if level == depth:  # the last step must meet the target
-            near = trail.join(steps, (F.col("node") == F.col("src")) & (F.col("to_id") == F.col("dst")))
+    key = ["from_id", "to_id"]
+    none = F.array().cast("array<string>")
+    paths = pairs.filter("from_id = to_id").select(*key, F.array("from_id").alias("path"), none.alias("edge_path"))
+    open_ = pairs.filter("from_id <> to_id")
+
+    def grown(trails: DataFrame, forward: bool) -> DataFrame:
+        """Trails with one step more at their free end, which meets neither the trail nor the pair's other end."""
+        to = "to_id" if forward else "from_id"
+        near = onward(trails.join(open_, key, "left_semi"), ahead if forward else back).filter(~F.array_contains("path", F.col("dst")) & (F.col("dst") != F.col(to)))
+        path, edges = ([F.col("path"), F.array("dst")], [F.col("edge_path"), F.array("edge_id")])
+        return near.select(*key, F.col("dst").alias("node"), F.concat(*(path if forward else path[::-1])).alias("path"), F.concat(*(edges if forward else edges[::-1])).alias("edge_path"))
+
+    def half(end: str) -> DataFrame:
+        return open_.select(*key, F.col(end).alias("node"), F.array(end).alias("path"), none.alias("edge_path"))
+
+    fore, aft = {0: half("from_id")}, {0: half("to_id")}
+    for length in range(1, depth + 1):
+        f, b = (length + 1) // 2, length // 2
+        if length == 1:  # a step to the target
+            met = onward(fore[0], ahead).filter("dst = to_id").select(*key, F.array("from_id", "to_id").alias("path"), F.array("edge_id").alias("edge_path"))
         else:
-            near = trail.join(steps, F.col("node") == F.col("src")).filter(~F.array_contains("path", F.col("dst")))
-        near = near.select("from_id", "to_id", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), F.concat("edge_path", F.array("edge_id")).alias("edge_path"))
-        near = settled(near.join(near_enough.filter(F.col("left") <= depth - level), ["to_id", "node"]).select("from_id", "to_id", "node", "path", "edge_path"))
-        ended = ended.union(near.filter("node = to_id"))
-        trail = near.filter("node <> to_id")
-    w = Window.partitionBy("from_id", "to_id").orderBy(F.size("edge_path"), F.array_join("edge_path", ","))
-    return ended.withColumn("path_no", F.row_number().over(w)).filter(F.col("path_no") <= max_paths).select("from_id", "to_id", "path_no", F.size("edge_path").alias("length"), "path", "edge_path")
-
-
-def flow(edges: DataFrame, starts: DataFrame, max_steps: int = 12) -> DataFrame:
+            if b not in aft:
+                aft[b] = settled(grown(aft[b - 1], False))
+            for k in range(1, f + 1):
+                if k not in fore:
+                    more = grown(fore[k - 1], True)
+                    if k > 1:  # only where a trail from the target can come, in the steps that are left
+                        left = [aft[i].select(*key, "node").distinct() for i in range(1, min(max(aft), depth - k) + 1)]
+                        while len(left) < depth - k:
+                            left.append(onward(left[-1], back).select(*key, F.col("dst").alias("node")).distinct())
+                        more = more.join(reduce(DataFrame.union, left).distinct(), [*key, "node"], "left_semi")
+                    fore[k] = settled(more)
+            tail = aft[b].select(*key, "node", F.col("path").alias("rest"), F.col("edge_path").alias("last"))
+            met = fore[f].join(tail, [*key, "node"]).join(open_, key, "left_semi").withColumn("rest", F.slice("rest", 2, b)).filter(~F.arrays_overlap("path", "rest"))
+            met = met.select(*key, F.concat("path", "rest").alias("path"), F.concat("edge_path", "last").alias("edge_path"))
+        paths = paths.union(settled(met))
+        if length < depth:
+            full = paths.groupBy(*key).agg(F.count("*").alias("n")).filter(F.col("n") >= max_paths)
+            open_ = settled(open_.join(full, key, "left_anti"))
+            if open_.isEmpty():
+                break
+    w = Window.partitionBy(*key).orderBy(F.size("edge_path"), F.array_join("edge_path", ","))
+    return paths.withColumn("path_no", F.row_number().over(w)).filter(F.col("path_no") <= max_paths).select(*key, "path_no", F.size("edge_path").alias("length"), "path", "edge_path")
+
+
+def flow(graph: Graph | DataFrame, starts: DataFrame, max_steps: int = 12) -> DataFrame:
     """Forward steps from each start, in search order: start, step, from_node, type, node."""
-    found = search_paths(oriented(edges, FLOW_TYPES), starts, max(1, max_steps), max_steps, avoid_own_path=False)
+    found = search_paths(stored_steps(graph, "flow"), starts, max(1, max_steps), max_steps, avoid_own_path=False)
     return found.select("start", F.col("path_no").alias("step"), "from_node", "type", "node")
 
 

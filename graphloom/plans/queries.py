@@ -155,21 +155,21 @@ _DOWN_TESTED = search_sql("downstream", _TESTED_STARTS, 5, 7)
 @query(_DOWN_TABLES + " SELECT start, path_no, CAST(depth AS BIGINT) AS depth, node, array_to_string(path, '>') AS path FROM found")
 def impact_down(spark, d):
     g = _g(spark, d)
-    found = traverse.impact(g.edges, g.nodes.filter("kind = 'Table'").select("id"))
+    found = traverse.impact(g, g.nodes.filter("kind = 'Table'").select("id"))
     return found.select("start", F.col("path_no").cast("long").alias("path_no"), F.col("depth").cast("long").alias("depth"), "node", F.array_join("path", ">").alias("path"))
 
 
 @query(search_sql("upstream", _TESTED_STARTS, 5, 7) + " SELECT start, path_no, CAST(depth AS BIGINT) AS depth, node, array_to_string(path, '>') AS path FROM found")
 def impact_up(spark, d):
     g = _g(spark, d)
-    found = traverse.impact(g.edges, _tested(g), "upstream")
+    found = traverse.impact(g, _tested(g), "upstream")
     return found.select("start", F.col("path_no").cast("long").alias("path_no"), F.col("depth").cast("long").alias("depth"), "node", F.array_join("path", ">").alias("path"))
 
 
 @query(_DOWN_TABLES + " SELECT start, kind, count(DISTINCT node) AS n FROM found JOIN nodes ON nodes.id = node GROUP BY start, kind")
 def impact_counts(spark, d):
     g = _g(spark, d)
-    found = traverse.impact(g.edges, g.nodes.filter("kind = 'Table'").select("id")).select("start", "node")
+    found = traverse.impact(g, g.nodes.filter("kind = 'Table'").select("id")).select("start", "node")
     return found.join(g.nodes.select(F.col("id").alias("node"), "kind"), "node").groupBy("start", "kind").agg(F.count_distinct("node").alias("n"))
 
 
@@ -217,13 +217,13 @@ def why_path(spark, d):
     g = _g(spark, d)
     tests, uses = g.edges.filter("type = 'TESTS'"), g.edges.filter("type = 'CONSUMES'")
     pairs = tests.select("from_id", F.col("to_id").alias("f")).join(uses.select(F.col("from_id").alias("f"), "to_id"), "f").select("from_id", "to_id")
-    return traverse.why_paths(g.edges, pairs).select("from_id", "to_id", F.col("path_no").cast("long").alias("path_no"), F.col("length").cast("long").alias("length"), F.array_join("path", ">").alias("path"))
+    return traverse.why_paths(g, pairs).select("from_id", "to_id", F.col("path_no").cast("long").alias("path_no"), F.col("length").cast("long").alias("length"), F.array_join("path", ">").alias("path"))
 
 
 @query(search_sql(FLOW_TYPES, _TESTED_STARTS, 12, 12, False) + " SELECT start, path_no AS step, from_node, type, node FROM found")
 def flow_steps(spark, d):
     g = _g(spark, d)
-    return traverse.flow(g.edges, _tested(g)).withColumn("step", F.col("step").cast("long"))
+    return traverse.flow(g, _tested(g)).withColumn("step", F.col("step").cast("long"))
 
 
 @query(_DOWN_TABLES + " SELECT DISTINCT start, node AS test, 'npm test' AS command FROM found JOIN nodes ON nodes.id = node AND kind = 'Test'")
@@ -250,7 +250,7 @@ def policy(spark, d):
     return analyze.policies(g, _tested(g).union(g.nodes.filter("kind in ('Service', 'Table')").select("id")), ("critical_without_tests",))
 
 
-@query(_DOWN_TESTED + " SELECT DISTINCT start, path AS file FROM (SELECT start, node FROM found JOIN nodes ON nodes.id = node AND kind IN ('Function', 'Method', 'Class', 'Module', 'File') UNION SELECT id, id FROM starts) x JOIN nodes ON nodes.id = node WHERE path IS NOT NULL".replace("array_to_string", "array_to_string"))
+@query(_DOWN_TESTED + " SELECT DISTINCT start, path AS file FROM (SELECT start, node FROM found JOIN nodes ON nodes.id = node AND kind IN ('Function', 'Method', 'Class', 'Module', 'File') UNION SELECT id, id FROM starts) x JOIN nodes ON nodes.id = node WHERE path IS NOT NULL")
 def plan_change(spark, d):
     g = _g(spark, d)
     return analyze.plan_change(g, _tested(g))
@@ -359,7 +359,7 @@ def hotspots(spark, d):
 @query(_DOWN_TABLES + " SELECT start, count(DISTINCT node) AS downstream FROM found GROUP BY start")
 def large_downstream(spark, d):
     g = _g(spark, d)
-    return traverse.impact(g.edges, g.nodes.filter("kind = 'Table'").select("id")).groupBy("start").agg(F.count_distinct("node").alias("downstream"))
+    return traverse.impact(g, g.nodes.filter("kind = 'Table'").select("id")).groupBy("start").agg(F.count_distinct("node").alias("downstream"))
 
 
 _RING = "k AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS k FROM orders), x AS (SELECT DISTINCT 'o' || p.o_orderkey AS a, 'o' || q.o_orderkey AS b FROM k p JOIN k q ON p.o_custkey = q.o_custkey AND q.k = CASE WHEN p.k % 4 = 3 THEN p.k - 3 ELSE p.k + 1 END)"

@@ -118,7 +118,7 @@ def impact_multi(spark, d):
     """The tested functions of each file as the starts of one search."""
     g = _g(spark, d)
     starts = _tested(g).withColumn("group", F.get(F.split("id", ":"), F.lit(1)))
-    found = traverse.impact(g.edges, starts)
+    found = traverse.impact(g, starts)
     return found.select("start", F.col("path_no").cast("long").alias("path_no"), F.col("depth").cast("long").alias("depth"), "node", F.array_join("path", ">").alias("path"))
 
 

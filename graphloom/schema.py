@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
@@ -34,11 +35,22 @@ MAX_DEPTH, MAX_PATHS = 5, 7
 
 @dataclass(frozen=True)
 class Graph:
-    """nodes (id, kind, name, path, critical), edges (id, type, from_id, to_id, n_evidence, sources, confidence, conflict), chunks (id, node_id, kind, text)."""
+    """nodes (id, kind, name, path, critical), edges (id, type, from_id, to_id, n_evidence, sources, confidence, conflict), chunks (id, node_id, kind, text).
+
+    kept holds what operators have derived of the graph and stored, under a name
+    each: steps bucketed by their source, degrees, a search index.
+    """
 
     nodes: DataFrame
     edges: DataFrame
     chunks: DataFrame
+    kept: dict[str, DataFrame] = field(default_factory=dict, compare=False, repr=False)
+
+    def keep(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """What is kept under a name, made when it is asked for first."""
+        if name not in self.kept:
+            self.kept[name] = make()
+        return self.kept[name]
 
 
 class GraphError(ValueError):

@@ -1,5 +1,7 @@
 """The engine on a small fixed graph, with results worked out by hand, and on the smallest tables."""
 
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -159,3 +161,46 @@ def test_cross_repo_reads_every_customer(spark):
     con.execute(f"create view customer as select * from '{d}/customer.parquet'")
     assert len(got) == len(want) and set(got) == want == set(con.execute(ORACLES["cross_repo_all"]).fetchall())
     assert any(int(u.rsplit("/c", 1)[1]) % 10 for u, _ in got)
+
+
+def test_a_level_exchanges_its_frontier_only(spark, graph):
+    """Stored steps are read by bucket: the one exchange of a level's join is of the frontier, whose rows are few."""
+    steps = traverse.stored_steps(graph, "downstream")
+    frontier = spark.createDataFrame([(f"fn:{k}",) for k in range(100)], "node string")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = traverse.onward(frontier, steps)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert plan.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(node" in plan and "Bucketed: true" in plan
+    assert traverse.stored_steps(graph, "downstream") is steps
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_why_paths_by_enumeration(spark, seed):
+    """All simple paths of up to five steps in a dense random graph, shorter ones first, then by their edges' ids; some pairs have more than seven."""
+    rng = random.Random(seed)
+    edges = [(f"e{k:03}", rng.choice(("CALLS", "READS", "TESTS")), f"n{rng.randrange(14)}", f"n{rng.randrange(14)}") for k in range(45)]
+    pairs = [(f"n{a}", f"n{b}") for a in range(0, 14, 3) for b in range(0, 14, 2)]
+    frame = spark.createDataFrame([(*e, False) for e in edges], "id string, type string, from_id string, to_id string, conflict boolean")
+    want = {}
+    for pair in pairs:
+        found, trails = [], [([pair[0]], [])]
+        for _ in range(6):
+            found += [(len(e), e, p) for p, e in trails if p[-1] == pair[1]]
+            trails = [([*p, b], [*e, i]) for p, e in trails if p[-1] != pair[1] for i, _, a, b in edges if a == p[-1] and b not in p]
+        for n, (_, e, p) in enumerate(sorted(found)[:7], 1):
+            want[(*pair, n)] = (p, e)
+    got = traverse.why_paths(frame, spark.createDataFrame(pairs, "from_id string, to_id string")).collect()
+    assert {(r.from_id, r.to_id, r.path_no): (r.path, r.edge_path) for r in got} == want and any(k[2] == 7 for k in want)
+
+
+def test_pairs_leave_the_search_with_their_last_wanted_path(spark, monkeypatch):
+    """Seven direct steps and a long way round: nothing is asked for beyond the first length."""
+    rows = [(f"e{k}", t, "a", "b", False) for k, t in enumerate(("CALLS", "READS", "WRITES", "TESTS", "IMPORTS", "CONTAINS", "EXPOSES"))] + [("f1", "CALLS", "a", "c", False), ("f2", "CALLS", "c", "b", False)]
+    frame = spark.createDataFrame(rows, "id string, type string, from_id string, to_id string, conflict boolean")
+    jobs, plain = [], traverse.settled
+    monkeypatch.setattr(traverse, "settled", lambda df, by=None: (jobs.append(1), plain(df, by))[1])
+    got = traverse.why_paths(frame, spark.createDataFrame([("a", "b")], "from_id string, to_id string")).collect()
+    assert [r.length for r in got] == [1] * 7 and len(jobs) == 3  # the pairs, the direct steps, and the pairs still open
