@@ -34,11 +34,12 @@ _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 #: Elements whose text is never part of the page's text; the first group holds raw text (fixed values).
 _RAW = frozenset(("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"))
-_SKIPPED = frozenset(("head", "noscript", "template", "svg", "math", "object", "select", "button", "canvas", "audio", "video", "map", "datalist"))
+_SKIPPED = frozenset(("head", "noscript", "template", "svg", "select", "button", "canvas", "audio", "video", "map", "datalist"))
 _VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 _INLINE = frozenset(
     ("a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "nobr", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "img", "wbr", "input", "embed")
 )
+_LEAVES = frozenset(("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "blockquote", "pre", "dt", "dd", "dl", "figure", "figcaption"))
 _END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>|</{t}\Z", re.I) for t in _RAW}
 #: A start tag on the left ends an open element on the right, up to the given ancestors.
 _IMPLIED = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dd", ("dl",)), "dd": ("dd", ("dl",)), "td": ("td", ("tr", "table")), "tr": ("tr", ("table",)), "option": ("option", ("select",))}
@@ -63,6 +64,7 @@ FEATURES = (
     "bias", *(f"tag {t}" for t in TAGS), *(f"name {n}" for n in NAMES), "hidden", "in text", "in text, no other name",
     "words 1", "words 2-3", "words 4-7", "words 8-15", "words 16-31", "words 32-79", "words 80", "links none", "links few", "links many", "links all",
     "ends a sentence", "has a comma", "copyright", "capitals", "after h1", "first", "last",
+    "no root", "no root, no other name", "no root, prose", "in most text", "in most text, no other name",
 )
 _BIT = {f: 1 << i for i, f in enumerate(FEATURES)}
 _TAG_BIT = {t: _BIT[f"tag {t}"] for t in TAGS}
@@ -71,6 +73,7 @@ _KEEP, _LEAVE = _SKIP << 1, _SKIP << 2
 _TEXT_ROOTS = _BIT["tag article"] | _BIT["tag main"] | _BIT["name text"]
 _OTHER = sum(_BIT[f"name {n}"] for n in NAMES if n != "text") | sum(_BIT[f"tag {t}"] for t in ("nav", "header", "footer", "aside", "form", "menu", "dialog"))
 _OWN = (1 << len(FEATURES)) - 1
+_PROSE = _BIT["words 8-15"] | _BIT["words 16-31"] | _BIT["words 32-79"] | _BIT["words 80"]
 
 
 def _attribute_bits(attributes: str) -> int:
@@ -109,7 +112,9 @@ def blocks(page: str) -> tuple[list[str], list[int], list[int | None]]:
     texts: list[str] = []
     feats: list[int] = []
     labels: list[int | None] = []
+    homes: list[int] = []  # the block-level element that holds each block
     stack: list[tuple[str, int]] = [("", 0)]
+    levels, home, elements = [0], 0, 0
     opened: dict[str, int] = {}
     parts: list[str] = []
     mask = linked = links = 0
@@ -134,6 +139,7 @@ def blocks(page: str) -> tuple[list[str], list[int], list[int | None]]:
         if seen_h1:
             bits |= _BIT["after h1"]
         texts.append(text)
+        homes.append(home)
         feats.append(bits)
         labels.append(1 if mask & _KEEP else 0 if mask & _LEAVE else None)
 
@@ -141,6 +147,7 @@ def blocks(page: str) -> tuple[list[str], list[int], list[int | None]]:
         nonlocal links
         while True:
             top, _ = stack.pop()
+            levels.pop()
             opened[top] -= 1
             if top == "a":
                 links -= 1
@@ -148,11 +155,11 @@ def blocks(page: str) -> tuple[list[str], list[int], list[int | None]]:
                 return
 
     def text(piece: str) -> None:
-        nonlocal mask, linked
+        nonlocal mask, linked, home
         here = stack[-1][1]
         if piece and not here & _SKIP:
             if not parts:
-                mask = here
+                mask, home = here, levels[-1]
             parts.append(piece)
             linked += len(piece) if links else 0
 
@@ -210,6 +217,9 @@ def blocks(page: str) -> tuple[list[str], list[int], list[int | None]]:
             bits &= ~_SKIP
         links += name == "a"
         stack.append((name, bits))
+        # paragraphs, headings and list items belong to what holds them
+        elements += 1
+        levels.append(levels[-1] if inline or name in _LEAVES else elements)
         opened[name] = opened.get(name, 0) + 1
     text(page[pos:])
     if parts:
@@ -217,6 +227,19 @@ def blocks(page: str) -> tuple[list[str], list[int], list[int | None]]:
     if feats:
         feats[0] |= _BIT["first"]
         feats[-1] |= _BIT["last"]
+        rootless = not any(f & _TEXT_ROOTS for f in feats)
+        size: dict[int, int] = {}
+        for t, f, h in zip(texts, feats, homes, strict=True):  # the container whose own blocks have most prose
+            if f & _PROSE and not f & (_BIT["links many"] | _BIT["links all"]):
+                size[h] = size.get(h, 0) + len(t)
+        most = max(size, key=size.__getitem__) if size else -1
+        for k, (f, h) in enumerate(zip(feats, homes, strict=True)):
+            free = not f & _OTHER
+            if rootless:
+                f |= _BIT["no root"] | (_BIT["no root, no other name"] if free else 0) | (_BIT["no root, prose"] if free and f & _PROSE else 0)
+            if h == most:
+                f |= _BIT["in most text"] | (_BIT["in most text, no other name"] if free else 0)
+            feats[k] = f
     return texts, feats, labels
 
 
@@ -385,6 +408,17 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = 5) -> list[str]:
         if rng.random() < 0.9:
             after.append(bad(foot, *rng.choice((("footer", ""), ("div", "footer copyright site-footer bottom")))))
         kind = rng.random()
+        if kind > 0.84 and rng.random() < 0.6:  # no element of its own: bare in the body, in a cell beside others, in a nameless part
+            inner, layout = body(), rng.random()
+            if layout < 0.4:
+                return f"<html><body {MARK}=1>{''.join(before)}{inner}{''.join(after)}</body></html>"
+            if layout < 0.7:
+                cells = [f"<td {MARK}=0>{rng.choice((links(2, 9), words(1, 4), f'<a href=/>{words(1, 2)}</a>'))}</td>", f"<td {MARK}=1>{inner}</td>"]
+                if rng.random() < 0.3:
+                    cells.append(f"<td {MARK}=0>{links(1, 4)}</td>")
+                rows = f"<tr><td colspan=2 {MARK}=0>{words(1, 4)}</td></tr>" if rng.random() < 0.5 else ""
+                return f"<html><body {MARK}=0>{''.join(before)}<table>{rows}<tr>{''.join(cells)}</tr></table>{''.join(after)}</body></html>"
+            return f"<html><body {MARK}=0>{''.join(before)}<{(tag := rng.choice(('div', 'section', 'center')))} {MARK}=1>{inner}</{tag}>{''.join(after)}</body></html>"
         open_, close = (
             ("<article", "</article>") if kind < 0.42
             else ("<main", "</main>") if kind < 0.56

@@ -280,3 +280,29 @@ def test_all_mentions_are_tied():
     at, _, _, ties = pii.describe("call 415 555 0123 4 now, later 4155550123 and then 4155550123 and at last 4155550123")
     numbers = [i for i, (a, b) in enumerate(at) if b - a == 10]
     assert {(numbers[0], numbers[1]), (numbers[0], numbers[2]), (numbers[1], numbers[2])} <= set(ties)
+
+
+# --- HTML -------------------------------------------------------------------
+
+PROSE = ["The river rose for three days, and nobody in the village could remember such a flood.", "By noon the square was empty. Only the baker had opened his shop, as he did every morning.", "Nobody knew how long the water would stay, but the old bridge held."]
+MENU = "<a href='/a'>Start</a> <a href='/b'>About us</a> <a href='/c'>Shop</a>"
+LAYOUTS = {
+    "bare": "<html><body><p>{0}</p><p>{1}</p><p>{2}</p></body></html>",
+    "bare with a title": "<body><h1>A flood</h1><p>{0}</p><p>{1}</p><p>{2}</p></body>",
+    "bare beside parts": f"<body><nav>{MENU}</nav><h1>A flood</h1><p>{{0}}</p><p>{{1}}</p><p>{{2}}</p><footer>&copy; 2024 About us</footer></body>",
+    "cell": f"<body><table><tr><td><ul><li><a href='/a'>Start</a></li><li><a href='/b'>About us</a></li></ul></td><td><p>{{0}}</p><p>{{1}}</p><p>{{2}}</p></td></tr></table></body>",
+    "cell in rows": f"<body><table><tr><td colspan=2>{MENU}</td></tr><tr><td>{MENU}</td><td><h2>A flood</h2><p>{{0}}</p><p>{{1}}</p><p>{{2}}</p></td></tr></table></body>",
+    "nameless": f"<body><div><div>{MENU}</div></div><div><div><h1>A flood</h1><p>{{0}}</p><p>{{1}}</p><p>{{2}}</p></div></div><div>&copy; 2024</div></body>",
+    "odd names": f"<body><div class='qx1'>{MENU}</div><div class='zz9'><h1>A flood</h1><p>{{0}}</p><p>{{1}}</p><p>{{2}}</p></div><div class='vv3'>&copy; 2024 About us</div></body>",
+}
+
+
+def test_articles_of_layouts_without_names():
+    from graphloom.llm import html_extract
+
+    ex = html_extract.Extractor(html_extract.fit(html_extract.labelled_pages()))
+    for name, layout in LAYOUTS.items():
+        got = ex.text(layout.format(*PROSE))
+        assert all(p in got for p in PROSE) and "About" not in got and "2024" not in got, (name, got)
+    got = ex.text("<body><article><p>Take <math><mi>x</mi><mo>+</mo><mn>1</mn></math> and <object>a drawing</object>, then go on with it as before.</p></article></body>")
+    assert got == "Take x + 1 and a drawing , then go on with it as before."
