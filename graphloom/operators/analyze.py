@@ -301,7 +301,7 @@ def mermaid(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def search(graph: Graph, query: str, kind: str | None = None) -> DataFrame:
-    """Nodes by lexical score, best chunk each: (node_id, score). Overlap of tokens, a phrase's bonus and an exact name's."""
+    """What search_index.search finds, by a scan of all texts: for a graph that is searched once."""
     chunks = graph.chunks if kind is None else graph.chunks.filter(F.col("kind") == kind)
     met = chunks.select("node_id", "text").join(graph.nodes.select(F.col("id").alias("node_id"), "name"), "node_id")
     hay = F.lower(F.concat_ws(" ", "node_id", "name", "text"))
@@ -309,14 +309,7 @@ def search(graph: Graph, query: str, kind: str | None = None) -> DataFrame:
     overlap = F.size(F.array_intersect(wanted, tokens(hay))) / F.greatest(F.size(wanted), F.lit(1))
     phrase = F.when(F.contains(hay, F.lit(query.lower())), 0.75).otherwise(0.0)
     exact = F.when((F.lower("node_id") == query.lower()) | (F.lower("name") == query.lower()), 1.0).otherwise(0.0)
-    return met.select("node_id", (overlap + phrase + exact).alias("score")).filter("score > 0").groupBy("node_id").agg(F.round(F.max("score"), 6).alias("score"))
-
-
-def search_top(graph: Graph, query: str, kind: str | None = None, limit: int = 20) -> DataFrame:
-    """The best nodes of a search in order, ties by kind and id: (rank, id, kind, name, score)."""
-    found = search(graph, query, kind).join(graph.nodes.select(F.col("id").alias("node_id"), F.col("kind").alias("node_kind"), "name"), "node_id")
-    top = found.orderBy(F.desc("score"), "node_kind", "node_id").limit(max(1, min(50, limit)))
-    return top.select(F.row_number().over(Window.orderBy(F.desc("score"), "node_kind", "node_id")).alias("rank"), F.col("node_id").alias("id"), F.col("node_kind").alias("kind"), "name", "score")
+    return met.select("node_id", overlap.alias("overlap"), phrase.alias("phrase"), exact.alias("exact")).filter("overlap + phrase > 0").groupBy("node_id").agg(F.round(F.max(F.col("overlap") + F.col("phrase") + F.col("exact")), 6).alias("score"))
 
 
 def symbol(graph: Graph, identifier: str) -> DataFrame:

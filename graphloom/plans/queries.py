@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import ids
 from ..functions.lineage import settled
-from ..operators import analyze, components, scan, store, traverse
+from ..operators import analyze, components, scan, search_index, store, traverse
 from ..schema import CYCLE_TYPES, DOWNSTREAM, FLOW_TYPES, MAPS, UPSTREAM, Graph
 from ..sources import lines, tables
 
@@ -464,7 +464,7 @@ def mermaid(spark, d):
 len(list_intersect(['the', 'of', 'doc'], list_distinct(regexp_extract_all(hay, '[a-z0-9_@./:-]+')))) / 3 + CASE WHEN contains(hay, 'the of doc') THEN 0.75 ELSE 0 END AS score FROM h) SELECT node_id, round(max(score), 6) AS score FROM s WHERE score > 0 GROUP BY node_id"""
 )
 def search(spark, d):
-    return analyze.search(_g(spark, d), "the of doc")
+    return search_index.search(_g(spark, d), "the of doc")
 
 
 # --- extraction, sync, text -------------------------------------------------
@@ -623,4 +623,4 @@ len(list_intersect(['the', 'of', 'doc'], list_distinct(regexp_extract_all(hay, '
 SELECT CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS rank, id, 'Doc' AS kind, name, score FROM b QUALIFY rank <= 20"""
 )
 def search_topk(spark, d):
-    return analyze.search_top(_g(spark, d), "the of doc")
+    return search_index.search_top(_g(spark, d), "the of doc")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions.ids import canonical_json, edge_id, is_test_path, local_import, prefix_repo, repo_of
-from graphloom.operators import analyze, scan, store, traverse
+from graphloom.operators import analyze, scan, search_index, store, traverse
 from graphloom.plans.queries import ORACLES, QUERIES
 from graphloom.schema import Graph
 from graphloom.sources import lines
@@ -204,3 +204,31 @@ def test_pairs_leave_the_search_with_their_last_wanted_path(spark, monkeypatch):
     monkeypatch.setattr(traverse, "settled", lambda df, by=None: (jobs.append(1), plain(df, by))[1])
     got = traverse.why_paths(frame, spark.createDataFrame([("a", "b")], "from_id string, to_id string")).collect()
     assert [r.length for r in got] == [1] * 7 and len(jobs) == 3  # the pairs, the direct steps, and the pairs still open
+
+
+def test_search_by_index_equals_the_scan(spark):
+    """Phrases that begin and end inside tokens, hold other signs, or have no whole token; kinds; repeated chunks; nodes without chunks."""
+    rng = random.Random(7)
+    words = ["alpha", "beta", "gammaray", "Delta.x", "e-mail", "foo_bar", "the", "of", "ünder", "x@y"]
+    nodes = [(f"fn:n{k}", rng.choice(("Function", "Class", "class")), rng.choice(("Alpha beta", "run", "the", "Foo_Bar"))) for k in range(60)] + [("fn:N1", "Function", "run"), ("fn:bare", "Doc", "alpha")]
+    chunks = [(f"c{k}", f"fn:n{rng.randrange(60)}", rng.choice(("code", "doc")), rng.choice((" ", ", ", "\n")).join(rng.choice(words) for _ in range(rng.randrange(9)))) for k in range(300)] + [("c0", "fn:n1", "code", None), ("c0", "gone", "code", "alpha beta"), ("cn", "fn:N1", "doc", "alpha beta of the")]
+    g = Graph(spark.createDataFrame(nodes, "id string, kind string, name string"), None, spark.createDataFrame(chunks, "id string, node_id string, kind string, text string"))
+    named = {n[0]: n for n in nodes}
+    for query, kind in (("pha bet", None), ("PHA, BETA, GAM", "code"), ("ray", None), ("fn:n1", None), ("mail ünder x", None), ("(alpha)", None), ("zzz", None)):
+        want = {r.node_id: r.score for r in analyze.search(g, query, kind).collect()}
+        assert {r.node_id: r.score for r in search_index.search(g, query, kind).collect()} == want, query
+        for first in (256, 2):
+            search_index.FIRST = first
+            top = search_index.search_top(g, query, kind, 5).orderBy("rank").collect()
+            assert [r.score for r in top] == sorted(want.values(), reverse=True)[:5] and all(want[r.id] == r.score and named[r.id][1:] == (r.kind, r.name) for r in top), (query, first)
+        search_index.FIRST = 256
+    top = [(r.id, r.kind) for r in search_index.search_top(g, "fn:", None, 50).orderBy("rank").collect()]
+    assert top == [(r.id, r.kind) for r in g.nodes.join(search_index.search(g, "fn:"), F.col("id") == F.col("node_id")).orderBy(F.desc("score"), F.expr("kind COLLATE UNICODE"), F.expr("id COLLATE UNICODE")).limit(50).collect()]
+    postings = search_index.index(g)[0]
+    assert len(postings.inputFiles()) <= 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")  # else the plan doesn't tell that other buckets' files are left out
+    try:
+        plan = postings.filter(F.col("token") == "alpha").select("uid")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+    assert "SelectedBucketsCount: 1 out of" in plan
