@@ -53,7 +53,7 @@ def canonical_json(text: Column | str) -> Column:
 
 
 def local_import(file: Column | str, target: Column | str) -> Column:
-    """The path that a relative import means; without an extension it means .ts."""
+    """The path that a relative import means; without an extension of code it means .ts."""
     folder = F.slice(F.split(_c(file), "/"), 1, F.size(F.split(_c(file), "/")) - 1)
 
     def fold(at: Column, part: Column) -> Column:
@@ -61,7 +61,7 @@ def local_import(file: Column | str, target: Column | str) -> Column:
         return F.when(part.isin(".", ""), at).when(part == "..", up).otherwise(F.concat(at, F.array(part)))
 
     path = F.array_join(F.aggregate(F.split(_c(target), "/"), folder, fold), "/")
-    return F.when(path.rlike(r"\.[A-Za-z0-9]+$"), path).otherwise(F.concat(path, F.lit(".ts")))
+    return F.when(path.rlike(r"\.([cm]?[jt]sx?|py|java)$"), path).otherwise(F.concat(path, F.lit(".ts")))
 
 
 def service_of(path: Column | str) -> Column:

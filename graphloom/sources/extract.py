@@ -15,22 +15,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ids import is_test_path, prefix_repo, repo_of, service_of, trimmed
+from ..functions.ids import is_test_path, local_import, prefix_repo, repo_of, service_of, trimmed
 from ..functions.lineage import settled
 from ..operators import store
-from . import lines
+from . import lexical, lines
 
 # Languages whose calls, imports and strings are read, and manifests by name.
 RICH = r"\.(ts|tsx|js|jsx|mjs|cjs|py|java)$"
 MANIFEST = r"(^|/)(package\.json|requirements\.txt|pyproject\.toml|go\.mod|Cargo\.toml|pom\.xml)$"
-#: What declares a symbol in those languages, tried in this order.
-RICH_DECLARATIONS = (
-    (r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*([A-Za-z_$][\w$]*)", "Function"),
-    (r"^\s*(?:async\s+)?def\s+([A-Za-z_]\w*)", "Function"),
-    (r"^\s*(?:(?:export|default|public|private|protected|static|final|abstract)\s+)*class\s+([A-Za-z_$][\w$]*)", "Class"),
-    (r"^\s*(?:(?:export|default|public|private|protected|static)\s+)*interface\s+([A-Za-z_$][\w$]*)", "Interface"),
-    (r"^\s+(?!.*(?:=>|\b(?:return|new|await|else|function|if|for|while|switch|catch|do|try|with|throw)\b))(?:[\w$<>\[\],.?@]+\s+)*\*?([A-Za-z_$][\w$]*)\s*\([^;{}]*\)\s*(?::[^{;=]+|throws\s+[\w., ]+)?\{", "Method"),
-)
 PREFIXES = {"Class": "cls:", "Interface": "iface:"}
 
 
@@ -93,54 +85,26 @@ def _line(length: int = 200) -> Column:
     return F.substring(trimmed("text"), 1, length)
 
 
-def definitions(files: DataFrame) -> DataFrame:
-    """(path, id, kind, name, start_line, end_line, signature, chunk) of code, the first of each id.
-
-    In the languages of RICH a symbol ends where a line stands as far left as
-    its own, brackets that go on with it left out; elsewhere it is one line.
-    """
-    blank = F.lit("")
-    rich = F.lower("path").rlike(RICH)
-
-    def told_by(patterns):
-        return lambda text, i: told(text, i, patterns)
-
-    def shape(span):
-        return lambda s: F.struct(s["kind"].alias("kind"), s["name"].alias("name"), s["line"].alias("start_line"), (end_of(s) if span else s["line"]).alias("end_line"), F.substring(trimmed(s["text"]), 1, 200).alias("signature"))
-
-    def told(text, i, patterns):
-        names = [F.nullif(F.regexp_extract(text, p, 1), blank) for p, _ in patterns]
-        kind = F.coalesce(*(F.when(n.isNotNull(), k) for n, (_, k) in zip(names, patterns, strict=True)))
-        return F.struct((i + 1).alias("line"), kind.alias("kind"), F.coalesce(*names).alias("name"), text.alias("text"), F.length(F.regexp_extract(text, r"^(\s*)", 1)).alias("indent"))
-
-    def end_of(s):
-        after = F.filter("low", lambda x: (x["line"] > s["line"]) & (x["indent"] <= s["indent"]))
-        low = F.get(after, F.lit(0))
-        return F.when(low.isNull(), F.size("all")).when(low["closes"], low["line"]).otherwise(low["line"] - 1)
-
-    split = files.select("path", F.split("content", "\r?\n").alias("all"))
-    low = F.transform("all", lambda x, i: F.struct((i + 1).alias("line"), F.length(F.regexp_extract(x, r"^(\s*)", 1)).alias("indent"), trimmed(x).startswith("}").alias("closes"), x.rlike(r"^\s*[^\s)\]{]").alias("low")))
-    parts = []
-    for of, patterns, span, limit in ((rich, RICH_DECLARATIONS, True, 41), (~rich, lines.DECLARATIONS, False, 20)):
-        some = split.filter(of).withColumn("s", F.filter(F.transform("all", told_by(patterns)), lambda s: s["name"].isNotNull())).filter(F.size("s") > 0)
-        some = some.withColumn("low", F.filter(low, lambda x: x["low"])) if span else some
-        shaped = F.transform("s", shape(span))
-        some = some.withColumn("d", F.explode(shaped)).select("path", "d.*", "all")
-        length = F.least(F.col("end_line") - F.col("start_line") + 1, F.lit(limit)) if span else F.lit(limit)
-        parts.append(some.withColumn("chunk", F.substring(trimmed(F.array_join(F.slice("all", F.col("start_line"), length), "\n")), 1, 4000)).drop("all"))
+def definitions(files: DataFrame, declared: DataFrame) -> DataFrame:
+    """(path, id, pos, kind, name, start_line, end_line, signature, chunk) of code, the first of each id: what was declared in the languages of RICH, and of other files what single lines declare."""
+    other = lines.symbols(files.filter(~F.lower("path").rlike(RICH)))
+    other = other.select("path", F.col("line").alias("pos"), "kind", "name", F.col("line").alias("start_line"), F.col("line").alias("end_line"), "signature", "chunk")
     front = F.coalesce(*(F.when(F.col("kind") == k, p) for k, p in PREFIXES.items()), F.lit("fn:"))
-    named = _all(parts).withColumn("id", F.concat(front, "path", F.lit(":"), "name"))
-    first = F.min_by(F.struct("kind", "name", "start_line", "end_line", "signature", "chunk"), F.col("start_line"))
+    named = declared.select(*other.columns).union(other).withColumn("id", F.concat(front, "path", F.lit(":"), "name"))
+    first = F.min_by(F.struct("pos", "kind", "name", "start_line", "end_line", "signature", "chunk"), F.col("pos"))
     return named.groupBy("path", "id").agg(first.alias("d")).select("path", "id", "d.*")
 
 
 def _code(files: DataFrame) -> Parsed:
-    defs = settled(definitions(files))
     rich = files.filter(F.lower("path").rlike(RICH))
+    toks = settled(lexical.tokens(rich))
+    opened = settled(lexical.brackets(toks))
+    declared = settled(lexical.declarations(rich, toks, opened))
+    defs = settled(definitions(files, declared))
     test_id = F.concat(F.lit("test:"), "path", F.lit(":suite"))
-    spans = defs.select("path", F.col("id").alias("name"), "start_line", "end_line")
-    within = lambda rows: lines.enclosing(rows, spans).withColumnRenamed("symbol", "caller")
-    first = defs.groupBy("path", F.col("name").alias("callee")).agg(F.min_by("id", F.struct("start_line", "id")).alias("target"))
+    spans = defs.select("path", F.col("id").alias("name"), "start_line", "end_line", "pos")
+    within = lambda rows: lines.enclosing(rows, spans, "pos").withColumnRenamed("symbol", "caller")
+    first = defs.groupBy("path", F.col("name").alias("callee")).agg(F.min_by("id", "pos").alias("target"))
     nodes = [
         _node(files, _file_id(), "File", _bare()), _node(rich.filter(is_test_path(_bare())), test_id, "Test", _bare()),
         _node(defs, F.col("id"), F.col("kind"), F.col("name"), True, F.col("start_line"), F.col("end_line"), F.col("signature")),
@@ -148,10 +112,10 @@ def _code(files: DataFrame) -> Parsed:
     edges = [_edge(defs, "CONTAINS", _file_id(), F.col("id"), F.col("signature"), line=F.col("start_line"))]
 
     # calls by name: inside the file, or left for the whole workspace
-    declared = defs.select("path", F.col("start_line").alias("line"), F.col("name").alias("callee"))
-    text = lines.lines(rich).select("path", "line", "text")
-    calls = lines.calls(rich).distinct().join(declared, ["path", "line", "callee"], "left_anti").join(text, ["path", "line"]).join(first, ["path", "callee"], "left")
-    plumbing = F.lower("callee").isin(*{*lines.HTTP_CLIENTS, *lines.ROUTE_METHODS, *lines.PUBLISHERS, *lines.SUBSCRIBERS})
+    text = settled(lines.lines(rich).select("path", "line", "text"))
+    every = settled(lexical.calls(opened).join(declared.select("path", "pos"), ["path", "pos"], "left_anti"))
+    calls = every.select("path", "line", "callee").distinct().join(text, ["path", "line"]).join(first, ["path", "callee"], "left")
+    plumbing = F.lower("callee").isin(*{x.lower() for x in (*lines.HTTP_CLIENTS, *lines.ROUTE_METHODS, *lines.PUBLISHERS, *lines.SUBSCRIBERS) if x.islower()})
     calls = settled(within(calls).withColumn("plumbing", plumbing).withColumn("test", is_test_path(_bare())))
     edges.append(_edge(calls.filter("caller <> target"), "CALLS", F.col("caller"), F.col("target"), _line(), confidence=0.9))
     edges.append(_edge(calls.filter("test and not plumbing and target is not null"), "TESTS", test_id, F.col("target"), _line(), confidence=0.8))
@@ -159,35 +123,37 @@ def _code(files: DataFrame) -> Parsed:
     left = lambda rows, type_, from_: rows.select(F.lit(type_).alias("type"), from_.alias("from_id"), "callee", _bare().alias("file"), "line", _line().alias("snippet"))
     unresolved = left(open_.filter("test"), "TESTS", test_id).union(left(open_.filter("caller is not null"), "CALLS", F.col("caller")))
 
-    # routes, clients and events
-    called = settled(within(lines.called_names(rich)))
-    owner = defs.groupBy("path").agg(F.min_by("id", F.struct("start_line", "id")).alias("owner"))
+    # routes, clients and events: calls with strings among their arguments
+    called = settled(within(lexical.string_arguments(every, toks, opened).join(text, ["path", "line"])))
+    owner = defs.groupBy("path").agg(F.min_by("id", "pos").alias("owner"))
     api = _own(F.concat(F.lit("api:"), "method", F.lit(":"), "route"))
     callers = called.select("path", "line", "caller").distinct()
-    routes = lines.routes_of(called).join(callers, ["path", "line"]).join(owner, "path", "left")
-    clients = lines.clients_of(called).join(callers, ["path", "line"]).filter("caller is not null")
-    events = lines.events_of(called).join(callers, ["path", "line"]).filter("caller is not null")
+    addressed = called.filter(F.col("arg").rlike("^(/|https?://)")).groupBy("path", "pos", "line", "callee", "text").agg(F.min_by("arg", "n").alias("arg"))
+    routes = lines.routes_of(called.filter("n = 1")).join(callers, ["path", "line"]).join(owner, "path", "left")
+    clients = lines.clients_of(addressed).join(callers, ["path", "line"]).filter("caller is not null")
+    events = lines.events_of(called.filter("n = 1")).join(callers, ["path", "line"]).filter("caller is not null")
     event = _own(F.concat(F.lit("event:"), "event"))
     nodes += [_node(x, api, "API", F.concat("method", F.lit(" "), "route"), False, F.col("line")) for x in (routes, clients)] + [_node(events, event, "Event", F.col("event"), False, F.col("line"))]
     from_ = F.coalesce("caller", "owner")
     edges += [_edge(routes.filter(from_.isNotNull()), "EXPOSES", from_, api, _line(), confidence=0.7), _edge(clients, "CONSUMES", F.col("caller"), api, _line(), confidence=0.6), _edge(events, F.col("type"), F.col("caller"), event, _line(), confidence=0.5)]
 
     # imports
-    found = lines.imports_with_text(rich)
+    found = lexical.imports(toks, text).withColumn("local", F.col("mod").startswith("."))
+    found = found.select("path", "line", "text", F.when(F.col("local"), local_import("path", "mod")).otherwise(F.col("mod")).alias("target"), "local")
     far, near = found.filter(~F.col("local")), found.filter("local")
     ext = _own(F.concat(F.lit("ext:"), "target"))
     nodes.append(_node(far, ext, "External", F.col("target"), False, F.col("line")))
     edges += [_edge(far, "IMPORTS", _file_id(), ext, _line(), confidence=0.8), _edge(near, "IMPORTS", _file_id(), F.concat(F.lit("file:"), "target"), _line(), confidence=0.7)]
 
     # SQL in string literals
-    literal = text.select("path", "line", F.explode(F.regexp_extract_all("text", F.lit("\"[^\"]*\"|'[^']*'|`[^`]*`"), F.lit(0))).alias("text"))
+    literal = lexical.strings(toks).select("path", "line", F.col("literal").alias("text"))
     tables = within(lines.sql_in_text(literal)).filter("caller is not null")
     table = _own(F.concat(F.lit("table:"), "table_name"))
     nodes.append(_node(tables, table, "Table", F.col("table_name"), False, F.col("line")))
     edges.append(_edge(tables, F.col("access"), F.col("caller"), table, _line(120), confidence=0.6))
 
     # interfaces of the same file
-    made = lines.implements(rich).join(text, ["path", "line"]).withColumn("interface", F.element_at(F.split("interface", r"\."), -1))
+    made = lexical.implements(toks).join(text, ["path", "line"])
     made = made.join(first.select("path", F.col("callee").alias("class"), F.col("target").alias("own")), ["path", "class"]).join(first.select("path", F.col("callee").alias("interface"), F.col("target").alias("other")), ["path", "interface"])
     edges.append(_edge(made, "IMPLEMENTS", F.col("own"), F.col("other"), _line(), confidence=0.8))
 

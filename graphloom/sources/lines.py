@@ -7,6 +7,9 @@ file, which is the unit that stays together.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -120,13 +123,13 @@ def symbols(files: DataFrame) -> DataFrame:
 
     A file's lines are an array that is cut at declarations only: no window, and nothing is copied for other lines.
     """
-    def told(text, i, all_):
+    def told(text, i):
         names = [F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p, _ in DECLARATIONS]
         kind = F.coalesce(*(F.when(n.isNotNull(), k) for n, (_, k) in zip(names, DECLARATIONS, strict=True)))
         return F.struct((i + 1).alias("line"), kind.alias("kind"), F.coalesce(*names).alias("name"), text.alias("text"), i.alias("i"))
 
     found = files.select("path", F.split("content", "\r?\n").alias("all"))
-    found = found.withColumn("s", F.filter(F.transform("all", lambda x, i: told(x, i, F.col("all"))), lambda s: s["name"].isNotNull()))
+    found = found.withColumn("s", F.filter(F.transform("all", told), lambda s: s["name"].isNotNull()))
     found = found.select("path", F.explode(F.transform("s", lambda s: F.struct(s["line"].alias("line"), s["kind"].alias("kind"), s["name"].alias("name"), F.substring(trimmed(s["text"]), 1, 200).alias("signature"), F.substring(trimmed(F.array_join(F.slice("all", s["line"], 20), "\n")), 1, 4000).alias("chunk")))).alias("s"))
     return found.select("path", "s.*")
 
@@ -190,14 +193,36 @@ def implements(files: DataFrame) -> DataFrame:
     return found.filter("class <> '' and all <> ''").select("path", "line", "class", F.explode(F.regexp_extract_all("all", F.lit(r"([A-Za-z_$][\w$.]*)(?:<[^>]*>)?"), F.lit(1))).alias("interface"))
 
 
-def enclosing(rows: DataFrame, spans: DataFrame) -> DataFrame:
+def enclosing(rows: DataFrame, spans: DataFrame, order: str = "name") -> DataFrame:
     """rows (path, line, …) with the innermost of spans (path, name, start_line, end_line) around each: the one that starts last, null without one.
 
-    Each line of a file is looked up once, however many rows it has; equal rows stay.
+    Of spans that start together the last by `order` wins. A file's spans and
+    lines are swept in one order: spans pile up as they start, and one that has
+    ended when a line looks for it never counts again, so each is dropped once.
+    Spans may overlap in any way. Each line of a file is looked up once, however
+    many rows it has; equal rows stay.
     """
     spots = rows.select("path", "line").filter("path is not null and line is not null").distinct()
-    met = spots.join(spans.select("path", "name", "start_line", "end_line"), "path").filter("line between start_line and end_line")
-    inner = met.groupBy("path", "line").agg(F.max_by("name", F.struct("start_line", "name")).alias("symbol"))
+    ends = spans.filter("path is not null and start_line <= end_line").select("path", F.col("start_line").cast("long").alias("line"), F.lit(0).alias("what"), F.col(order).alias("by"), "name", F.col("end_line").cast("long").alias("end"))
+    events = ends.unionByName(spots.select("path", F.col("line").cast("long").alias("line"), F.lit(1).alias("what")), allowMissingColumns=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, pile = None, []
+        for batch in batches:
+            out: list[tuple] = []
+            for path, line, what, name, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if path != at:
+                    at, pile = path, []
+                if what == 0:
+                    pile.append((end, name))
+                    continue
+                while pile and pile[-1][0] < line:
+                    pile.pop()
+                out.append((path, line, pile[-1][1] if pile else None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ((), (), ()), (pa.string(), pa.int64(), pa.string()), strict=True)], names=["path", "line", "symbol"])
+
+    swept = events.repartition("path").sortWithinPartitions("path", "line", "what", "by").select("path", "line", "what", F.col("name").cast("string"), "end")
+    inner = swept.mapInArrow(run, "path string, line long, symbol string").withColumn("line", F.col("line").cast(rows.schema["line"].dataType))
     return rows.join(inner, ["path", "line"], "left").select(*rows.columns, "symbol")
 
 

@@ -55,7 +55,7 @@ def test_sync_edges(synced):
 
 def test_sync_nodes_and_counts(synced):
     nodes = {r.id: r for r in synced.nodes.collect()}
-    assert (nodes["fn:svc/worker.py:load"].start_line, nodes["fn:svc/worker.py:load"].end_line) == (3, 7)
+    assert (nodes["fn:svc/worker.py:load"].start_line, nodes["fn:svc/worker.py:load"].end_line) == (3, 6)
     assert (nodes["fn:apps/payments/service.ts:charge"].kind, nodes["fn:apps/payments/service.ts:charge"].end_line) == ("Method", 9)
     assert nodes["svc:payments"].path == "apps/payments" and nodes["file:empty.ts"].kind == "File" and "cfg:KEY" in nodes and "cfg:NO" not in nodes and "infra:Dockerfile" in nodes
     counts = synced.counts.first()
@@ -149,7 +149,7 @@ def test_insight_micro_graphs(spark):
         return Graph(nodes, edges, spark.createDataFrame([], "id string, node_id string, kind string, text string"))
 
     got = {(r.section, r.id): r.metric for r in analyze.insights(of("abz", [("a", "b"), ("b", "a")])).collect()}
-    assert got[("cycles", "a>b")] == 2 and got[("isolated", "z")] == 0 and ("hotspots", "a") in got
+    assert got[("cycles", "a>b>a")] == 2 and got[("isolated", "z")] == 0 and ("hotspots", "a") in got
     star = {(r.section, r.id): r.metric for r in analyze.insights(of("habcde", [(x, "h") for x in "abcde"])).collect()}
     assert star[("hubs", "h")] == 5 and star[("large_downstream_impact", "h")] == 5 and not any(s == "bottlenecks" for s, _ in star)
 
