@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _folder(spark: SparkSession) -> str:
+def new_folder(spark: SparkSession) -> str:
     """A new folder below the session's spark.checkpoint.dir. One is made only where that is unset and Spark runs in one process, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -28,7 +28,7 @@ def settled(df: DataFrame, by: str | None = None) -> DataFrame:
     executor costs one round at most. `by` names a column whose values get
     folders of their own, so that filters on it read nothing else.
     """
-    path = _folder(df.sparkSession)
+    path = new_folder(df.sparkSession)
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
@@ -42,7 +42,7 @@ def bucketed(df: DataFrame, by: str, *order: str, spread: str | None = None) ->
     bucket is dealt to several tasks and files, for values that many rows have.
     """
     spark = df.sparkSession
-    path, n = _folder(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path, n = new_folder(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"graphloom_{uuid.uuid4().hex}"
     # a task gets whole shares of buckets, so that there are at most four files for each
     dealt = df.repartition(n, by) if spread is None else df.repartition(4 * n, F.pmod(F.hash(by), F.lit(n)), F.pmod(F.xxhash64(spread), F.lit(4)))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import new_folder, settled
 from ..operators import analyze, scan, store, traverse
 from ..operators.operations import dispatch
 from ..sources import extract, tables
+from ..streaming import upkeep
 from .queries import _COMPONENTS, _DOWN_TABLES, _TESTED_STARTS, LOOPED, _code, _g, _read, _tested, looped, query, search_sql
 
 _SYNCED: dict[tuple[str, str], extract.Synced] = {}
@@ -73,6 +75,21 @@ def sync_nodes(spark, d):
     return _synced(spark, d).nodes.select("id", "kind")
 
 
+@query(_SYNC_EDGES + " SELECT type, from_id, to_id, confidence FROM e WHERE from_id NOT LIKE '%:src/%' AND to_id NOT LIKE '%:src/%' AND type <> 'TESTS'")
+def upkeep_edges(spark, d):
+    """The workspace without its customers, by a stream of three batches: every second file as it was before and some that go, all files as they are now, and what is gone."""
+    tree = settled(_tree(spark, d).filter("path not like 'src/%'"))
+    stale = tree.filter("pmod(hash(path), 2) = 0").withColumn("content", F.concat(F.lit("function before() { before_that() }\n"), "content"))
+    more = tree.filter("path like 'db/%'").withColumn("path", F.regexp_replace("path", "^db/", "old/"))
+    first = tree.filter("pmod(hash(path), 2) = 1").union(stale).union(more).withColumn("sha256", F.sha2(F.col("content").cast("binary"), 256))
+    shape = lambda rows, removed, seq: rows.select("repo", "path", "content", "sha256", F.lit(removed).alias("removed"), F.lit(seq).cast("long").alias("seq"))
+    source, base, checkpoint = (new_folder(spark) for _ in range(3))
+    for events in (shape(first, False, 1), shape(tree, False, 2), shape(more, True, 3)):
+        events.write.mode("append").parquet(source)
+        upkeep.keep_up(spark, source, base, checkpoint)
+    return upkeep.graph(spark, base).edges.select("type", "from_id", "to_id", "confidence")
+
+
 @query(f"WITH {_FILES} SELECT 'file:' || path AS id, path FROM files")
 def file_nodes(spark, d):
     return scan.file_nodes(_synced(spark, d).nodes).select("id", "path")

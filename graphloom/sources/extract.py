@@ -28,7 +28,7 @@ PREFIXES = {"Class": "cls:", "Interface": "iface:"}
 
 @dataclass(frozen=True)
 class Parsed:
-    """nodes (id, kind, name, path, start_line, end_line, signature, critical, seq), edges (type, from_id, to_id, file, line, snippet, source, confidence, seq), chunks (id, node_id, kind, text, seq), unresolved (type, from_id, callee, file, line, snippet)."""
+    """nodes (id, kind, name, path, start_line, end_line, signature, critical, seq), edges (type, from_id, to_id, file, line, snippet, source, confidence, seq), chunks (id, node_id, kind, text, seq), unresolved (key, type, from_id, callee, file, line, snippet). seq.file and key are the file that says it, its repository in front."""
 
     nodes: DataFrame
     edges: DataFrame
@@ -120,7 +120,7 @@ def _code(files: DataFrame) -> Parsed:
     edges.append(_edge(calls.filter("caller <> target"), "CALLS", F.col("caller"), F.col("target"), _line(), confidence=0.9))
     edges.append(_edge(calls.filter("test and not plumbing and target is not null"), "TESTS", test_id, F.col("target"), _line(), confidence=0.8))
     open_ = calls.filter("target is null and not plumbing")
-    left = lambda rows, type_, from_: rows.select(F.lit(type_).alias("type"), from_.alias("from_id"), "callee", _bare().alias("file"), "line", _line().alias("snippet"))
+    left = lambda rows, type_, from_: rows.select(F.col("path").alias("key"), F.lit(type_).alias("type"), from_.alias("from_id"), "callee", _bare().alias("file"), "line", _line().alias("snippet"))
     unresolved = left(open_.filter("test"), "TESTS", test_id).union(left(open_.filter("caller is not null"), "CALLS", F.col("caller")))
 
     # routes, clients and events: calls with strings among their arguments
@@ -271,17 +271,20 @@ def sync(files: DataFrame, stored: DataFrame | None = None, with_chunks: DataFra
     if stored is not None and with_chunks is not None:
         skip = store.to_sync(files.select(F.col("_key").alias("path"), "sha256"), stored, with_chunks, force).filter("action = 'skip'")
         chosen = files.join(skip.select(F.col("path").alias("_key")).distinct(), "_key", "left_anti")
-    got = parse(chosen.select("repo", "path", "content"))
+    return derived(parse(chosen.select("repo", "path", "content")), files.agg(F.count_distinct("repo").alias("roots"), F.count("*").alias("files")), chosen.agg(F.count("*").alias("changed")))
+
+
+def derived(got: Parsed, roots: DataFrame, changed: DataFrame) -> Synced:
+    """The graph of what files say. roots (roots, files) and changed (changed) are rows of counts."""
     nodes = settled(store.upsert_nodes(got.nodes))
     services, held = derived_services(nodes.filter("kind = 'File'").select("id", "path"))
     added = services.select("id", "kind", "name", "path", F.lit(None).cast("int").alias("start_line"), F.lit(None).cast("int").alias("end_line"), F.lit(None).cast("string").alias("signature"), F.lit(False).alias("critical"))
     full = settled(nodes.join(added.select("id"), "id", "left_anti").unionByName(added))
     raw = settled(got.edges.unionByName(resolved(got.unresolved, nodes)).unionByName(held))
     edges = settled(store.upsert_edges(raw, full))
-    roots = files.agg(F.count_distinct("repo").alias("roots"), F.count("*").alias("files"))
     cross = cross_repo_evidence(edges)
     across = store.upsert_edges(cross, full)
     edges = settled(edges.join(across.select("id"), "id", "left_anti").unionByName(store.upsert_edges(raw.join(cross.select("type", "from_id", "to_id").distinct(), ["type", "from_id", "to_id"], "left_semi").unionByName(cross), full)))
-    counts = roots.crossJoin(chosen.agg(F.count("*").alias("changed"))).crossJoin(nodes.agg(F.count_if(F.col("kind") != "File").alias("symbols"))).crossJoin(edges.agg(F.count("*").alias("edges"))).crossJoin(services.agg(F.count("*").alias("services"))).crossJoin(across.agg(F.count("*").alias("cross_repo_edges")))
+    counts = roots.crossJoin(changed).crossJoin(nodes.agg(F.count_if(F.col("kind") != "File").alias("symbols"))).crossJoin(edges.agg(F.count("*").alias("edges"))).crossJoin(services.agg(F.count("*").alias("services"))).crossJoin(across.agg(F.count("*").alias("cross_repo_edges")))
     counts = counts.select(F.greatest("roots", F.lit(1)).alias("roots"), "files", "changed", (F.col("files") - F.col("changed")).alias("skipped"), "symbols", "edges", "services", "cross_repo_edges")
     return Synced(full, edges, store.upsert_chunks(got.chunks, full), counts)
