@@ -45,6 +45,8 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 LEAST = 2
 #: Size bands grow by this factor.
 RATIO = 1.5
+#: A set's first sketch, 256 bits in four numbers.
+LOW = ("low0", "low1", "low2", "low3")
 #: Every set has a sketch of 256 bits, and from so many elements on a second one of at least twice as many bits as elements.
 LONG = 100
 #: Words' hashes that a task remembers, and the longest of these words in bytes.
@@ -206,32 +208,33 @@ def _scan(docs: DataFrame, width: int, plan: Plan) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for rows in (batch.slice(lo, 1024) for batch in batches for lo in range(0, batch.num_rows, 1024)):
-            n, cls, low, high, keys = [], [], [], [], []
+            n, cls, low, high, keys = [], [], [[], [], [], []], [], []
             for cell in rows.column(2):
                 h = shingle_set(cell.as_py(), width)
                 n.append(len(h))
                 if not len(h):
-                    for c in (cls, low, high, keys):
+                    for c in (cls, *low, high, keys):
                         c.append(None)
                     continue
                 name = xxhash.xxh3_128_digest(h.tobytes())
                 cls.append(name)
                 if name in seen:
-                    for c in (low, high, keys):
+                    for c in (*low, high, keys):
                         c.append(None)
                     continue
                 if len(seen) >= REMEMBERED:
                     seen.clear()
                 seen.add(name)
-                low.append(bit_sketch(h, 256))
+                for c, x in zip(low, np.frombuffer(bit_sketch(h, 256), np.int64).tolist(), strict=True):
+                    c.append(x)
                 high.append(high_sketch(h))
                 keys.append(block_keys(h, plan).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), rows.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(low, pa.binary()), pa.array(high, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "row", "n", "cls", "low", "high", "keys"],
+                [rows.column(0), rows.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), *(pa.array(x, pa.int64()) for x in low), pa.array(high, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["doc_id", "row", "n", "cls", *LOW, "high", "keys"],
             )
 
-    return docs.mapInArrow(freed(run, _forget), "doc_id long, row long, n long, cls binary, low binary, high binary, keys array<long>")
+    return docs.mapInArrow(freed(run, _forget), f"doc_id long, row long, n long, cls binary, {', '.join(f'{c} long' for c in LOW)}, high binary, keys array<long>")
 
 
 def _meetings(keyed: DataFrame) -> DataFrame:
@@ -263,7 +266,7 @@ def _meetings(keyed: DataFrame) -> DataFrame:
 def _compared(members: DataFrame, plan: Plan) -> DataFrame:
     """The pairs of a cell's members of different labels that sizes and sketches leave possible: (first, other).
 
-    Rows (cell, short, label, n, low, high) come sorted by cell. A cell has at
+    Rows (cell, short, label, n, LOW, high) come sorted by cell. A cell has at
     most TOGETHER members, which are compared in memory; only pairs that may be
     linked leave the task.
     """
@@ -306,8 +309,8 @@ def _compared(members: DataFrame, plan: Plan) -> DataFrame:
 
         for rows in batches:
             cells, short, label, n = (rows.column(k).to_numpy() for k in range(4))
-            low = np.frombuffer(b"".join(rows.column(4).to_pylist()), np.uint64).reshape(-1, 4)
-            high = [x or b"" for x in rows.column(5).to_pylist()]
+            low = np.stack([rows.column(k).to_numpy().view(np.uint64) for k in range(4, 8)], 1)
+            high = [x or b"" for x in rows.column(8).to_pylist()]
             edges = [0, *(np.flatnonzero(cells[1:] != cells[:-1]) + 1).tolist(), len(cells)]
             for a, b in zip(edges, edges[1:], strict=False):
                 if held and cell != cells[a] and (out := handed()) is not None:
@@ -317,7 +320,7 @@ def _compared(members: DataFrame, plan: Plan) -> DataFrame:
         if held and (out := handed()) is not None:
             yield out
 
-    return members.select("cell", "short", "label", "n", "low", "high").mapInArrow(run, "first long, other long")
+    return members.select("cell", "short", "label", "n", *LOW, "high").mapInArrow(run, "first long, other long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -419,7 +422,7 @@ def _joined(docs: DataFrame, width: int, plan: Plan) -> tuple[DataFrame, DataFra
     sets = scan.filter(F.col("cls").isNotNull())
     # equal sets: the copies' rows meet after a partial aggregation in each task
     classes = cut(
-        sets.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.first("n").alias("n"), F.max("low").alias("low"), F.max("high").alias("high"))
+        sets.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.first("n").alias("n"), *(F.max(c).alias(c) for c in LOW), F.max("high").alias("high"))
         .withColumn("short", F.xxhash64("cls")).withColumn("node", F.monotonically_increasing_id())
     )
     keyed = sets.filter(F.col("keys").isNotNull()).select(F.explode("keys").alias("key"), F.xxhash64("cls").alias("short"))
@@ -427,7 +430,7 @@ def _joined(docs: DataFrame, width: int, plan: Plan) -> tuple[DataFrame, DataFra
 
     def possible(cells: DataFrame) -> DataFrame:
         """From rows (cell, short, label), the pairs of nodes that may be linked, with their classes."""
-        told = cells.join(classes.select("short", "n", "low", "high"), "short")
+        told = cells.join(classes.select("short", "n", *LOW, "high"), "short")
         pairs = cut(_compared(told.repartition("cell").sortWithinPartitions("cell"), plan).distinct())
         for side, name in (("a", "first"), ("b", "other")):
             pairs = pairs.join(classes.select(F.col("short").alias(name), F.col("node").alias(side), F.col("n").alias(f"{side}_n"), F.col("cls").alias(f"{side}_cls"), F.col("row").alias(f"{side}_row")), name)
@@ -478,7 +481,14 @@ def _joined(docs: DataFrame, width: int, plan: Plan) -> tuple[DataFrame, DataFra
     shares = members.groupBy("short").agg(F.count("*").alias("shares"))
     lead = members.join(shares, "short").groupBy("key").agg(F.max(F.struct("shares", "short")).alias("lead")).select("key", F.col("lead.short").alias("first"))
     members = cut(members.join(lead, "key").filter("short <> first").select("key", "short", "first"))
-    stars = cut(members.select("first", F.col("short").alias("other")).distinct())
+    # only with two keys or more, as linked sets nearly always share, and where sizes and first sketches leave a link
+    # possible: what is left out here meets again in the second round
+    few = classes.select("short", "n", *LOW)
+    of = lambda name: few.select(F.col("short").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("n", *LOW)))
+    stars = members.groupBy("first", F.col("short").alias("other")).agg(F.count("*").alias("shared")).filter("shared > 1").join(of("other"), "other").join(of("first"), "first")
+    far = sum((F.bit_count(F.col(f"first_{c}").bitwiseXOR(F.col(f"other_{c}"))) for c in LOW[1:]), F.bit_count(F.col("first_low0").bitwiseXOR(F.col("other_low0"))))
+    near = far * (den + num) <= (F.col("first_n") + F.col("other_n")) * (den - num)
+    stars = cut(stars.filter(near & (F.least("first_n", "other_n") * den >= F.greatest("first_n", "other_n") * num)).select("first", "other"))
     stars = stars.join(stars.groupBy("first").agg(F.count("*").alias("size")), "first")
     stars = stars.withColumn("cell", F.xxhash64("first", F.pmod(F.xxhash64("other", F.lit(31)), F.ceil(F.col("size") / TOGETHER))))
     links = verified(possible(stars.select("cell", F.col("first").alias("short"), F.lit(0).cast("long").alias("label")).distinct().union(stars.select("cell", "other", F.lit(1).cast("long")))))
@@ -486,7 +496,9 @@ def _joined(docs: DataFrame, width: int, plan: Plan) -> tuple[DataFrame, DataFra
     # then the other classes that share a key but not the component
     names = classes.join(label, "node", "left").select("short", F.coalesce("label", "node").alias("label"))
     members = cut(members.select("key", "short").join(names, "short"))
-    mixed = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("key", "size")
+    # keys of equal members, as those of one shared passage, are one: a second count of members' hashes tells sets of them apart
+    mixed = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"), *(f(F.xxhash64("short", F.lit(k))).alias(f"same{k}") for k, f in ((41, F.bit_xor), (43, F.bit_xor), (47, F.bit_xor)))).filter("lo <> hi")
+    mixed = mixed.groupBy("size", "same41", "same43", "same47").agg(F.min("key").alias("key")).select("key", "size")
     more = verified(possible(chunked(members.join(mixed, "key"))))
     if more.limit(1).count():
         links = cut(links.union(more).distinct())
