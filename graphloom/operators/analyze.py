@@ -312,12 +312,22 @@ def search(graph: Graph, query: str, kind: str | None = None) -> DataFrame:
     return met.select("node_id", overlap.alias("overlap"), phrase.alias("phrase"), exact.alias("exact")).filter("overlap + phrase > 0").groupBy("node_id").agg(F.round(F.max(F.col("overlap") + F.col("phrase") + F.col("exact")), 6).alias("score"))
 
 
+def mermaid_text(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The flowchart as one text (mermaid): its boxes by kind and id, then its arrows by id. Of a map's bounded nodes and edges."""
+    ends = edges.select(F.explode(F.array("from_id", "to_id")).alias("id")).distinct()
+    quoted = lambda c: F.regexp_replace(c, '"', "'")
+    boxes = nodes.join(ends, "id", "left_semi").select(F.lit(1).alias("part"), F.struct("kind", "id").alias("at"), F.concat(F.lit("  "), safe_id("id"), F.lit('["'), quoted(F.concat("kind", F.lit(": "), "name")), F.lit('"]')).alias("line"))
+    arrows = edges.select(F.lit(2).alias("part"), F.struct(F.lit("").alias("kind"), "id").alias("at"), F.concat(F.lit("  "), safe_id("from_id"), F.lit(" -->|"), "type", F.lit("| "), safe_id("to_id")).alias("line"))
+    listed = boxes.union(arrows).agg(F.array_sort(F.collect_list(F.struct("part", "at", "line"))).alias("all"))
+    return listed.select(F.array_join(F.concat(F.array(F.lit("flowchart LR")), F.transform("all", lambda x: x["line"])), "\n").alias("mermaid"))
+
+
 def symbol(graph: Graph, identifier: str) -> DataFrame:
     """The edges at the node of that id, or else at the first that find_nodes gives, with their other nodes: (id, edge_id, type, other, other_kind)."""
     own = graph.nodes.filter(F.col("id") == identifier.strip()).select("id")
     node = own if not own.isEmpty() else find_nodes(graph.nodes, identifier.strip(), limit=1).select("id")
     if node.isEmpty():
-        raise GraphError(f"unknown symbol: {identifier}")
+        raise GraphError(f"no symbol is named {identifier}")
     return neighbors(graph.edges, node).join(graph.nodes.select(F.col("id").alias("other"), F.col("kind").alias("other_kind")), "other").select("id", "edge_id", "type", "other", "other_kind")
 
 

@@ -43,7 +43,7 @@ def resolve(nodes: DataFrame, identifier: str) -> str:
     wanted = (identifier or "").strip()
     found = get(nodes, wanted).select("id").first() or (wanted and find_nodes(nodes, wanted, limit=1).select("id").first())
     if not found:
-        raise GraphError(f"unknown node: {identifier}")
+        raise GraphError(f"no node is named {identifier}")
     return found.id
 
 

@@ -74,7 +74,7 @@ def mark_critical(nodes: DataFrame, ids: DataFrame) -> DataFrame:
     """nodes with those of the given ids critical; an id that no node has is an error."""
     missing = ids.select("id").join(nodes.select("id"), "id", "left_anti").first()
     if missing:
-        raise GraphError(f"unknown node: {missing.id}")
+        raise GraphError(f"the graph has no node {missing.id}")
     marked = ids.select("id", F.lit(True).alias("_critical")).distinct()
     return nodes.join(marked, "id", "left").withColumn("critical", F.coalesce("_critical", "critical")).select(*nodes.columns)
 
