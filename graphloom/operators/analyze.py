@@ -236,7 +236,7 @@ def map_anchors(graph: Graph, view: str) -> DataFrame:
 
 
 def capped_map(graph: Graph, view: str, focus: str | None = None, node_cap: int = 150, edge_cap: int = 300) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """A view as a chart shows it: its first nodes by kind and id, its first edges by id between them, and counts (name, n).
+    """A view as a chart shows it: its first nodes by kind and id in the order of Unicode's default collation, its first edges by id between them, and counts (name, n).
 
     Nodes are the ends of the edges kept and the kind that the view shows
     without edges. Caps are what makes it a chart; the counts name what matches
@@ -249,7 +249,7 @@ def capped_map(graph: Graph, view: str, focus: str | None = None, node_cap: int
     kind = MAPS[view][2]
     alone = graph.nodes.filter(F.col("kind") == kind if kind else F.lit(False)).select("id").join(F.broadcast(ends), "id", "left_anti")
     listed = settled(graph.nodes.join(ends.union(alone), "id", "left_semi").select("id", "kind", "name", "path"))
-    nodes = settled(listed.orderBy("kind", "id").limit(node_cap))
+    nodes = settled(listed.orderBy(F.expr("kind COLLATE UNICODE"), F.expr("id COLLATE UNICODE"), "kind", "id").limit(node_cap))
     keep = nodes.select("id")
     edges = settled(first.join(keep.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(keep.withColumnRenamed("id", "to_id"), "to_id", "left_semi").select("id", "type", "from_id", "to_id"))
     n = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
@@ -344,6 +344,31 @@ def cross_repo(edges: DataFrame, canonical: bool = False) -> DataFrame:
     return make.join(use, "api").filter("producer <> consumer").select("from_id", "to_id").distinct()
 
 
+def cross_repo_factors(edges: DataFrame, canonical: bool = False) -> DataFrame:
+    """cross_repo in factored form: (api, role, repo, id), what makes and what uses each API that another repository takes part in.
+
+    As many rows as the edges behind it, where pairs are makers times users.
+    """
+    api = without_repo if canonical else lambda c: F.col(c)
+    ends = edges.filter(F.col("type").isin("EXPOSES", "CONSUMES")).select(api("to_id").alias("api"), F.when(F.col("type") == "EXPOSES", "make").otherwise("use").alias("role"), repo_of("from_id").alias("repo"), F.col("from_id").alias("id")).filter("repo is not null").distinct()
+    sides = ends.groupBy("api", "role").agg(F.min("repo").alias("lo"), F.max("repo").alias("hi")).groupBy("api").agg(F.count("*").alias("roles"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return ends.join(sides.filter("roles = 2 and lo <> hi").select("api"), "api", "left_semi")
+
+
+def cross_repo_counts(factors: DataFrame) -> DataFrame:
+    """(consumer, producer, links): how many uses of a maker's API by another repository there are between each two repositories, from counts alone."""
+    per = factors.groupBy("api", "role", "repo").agg(F.count("*").alias("n"))
+    side = lambda role, name: per.filter(F.col("role") == role).select("api", F.col("repo").alias(name), F.col("n").alias(f"{name}_n"))
+    met = side("use", "consumer").join(side("make", "producer"), "api").filter("consumer <> producer")
+    return met.groupBy("consumer", "producer").agg(F.sum(F.col("consumer_n") * F.col("producer_n")).alias("links"))
+
+
+def cross_repo_pairs(factors: DataFrame, consumer: str, producer: str) -> DataFrame:
+    """(from_id, to_id): the pairs behind the counts of two repositories."""
+    side = lambda role, repo, name: factors.filter((F.col("role") == role) & (F.col("repo") == repo)).select("api", F.col("id").alias(name))
+    return side("use", consumer, "from_id").join(side("make", producer, "to_id"), "api").select("from_id", "to_id").distinct()
+
+
 def prefixed(edges: DataFrame, repo: Column) -> DataFrame:
     return edges.withColumn("from_id", prefix_repo("from_id", repo)).withColumn("to_id", prefix_repo("to_id", repo))
 

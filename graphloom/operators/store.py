@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.ids import edge_id
+from ..functions.lineage import settled
 from ..schema import EDGE_SOURCES, EDGE_TYPES, NODE_KINDS, PINS, GraphError
 
 
@@ -54,6 +55,51 @@ def merge_edges(rows: DataFrame, seq: str = "seq") -> DataFrame:
     )
 
 
+def _named_edges(rows: DataFrame) -> Column:
+    own = edge_id("type", "from_id", "to_id")
+    return F.coalesce(F.nullif(F.trim("id"), F.lit("")), own) if "id" in rows.columns else own
+
+
+def numbered(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """rows with no: 1, 2, 3 and so on within each key, in the order given.
+
+    Rows are sorted in ranges of key and order, so that a key of many rows lies
+    in many ranges. A row's place follows from its place in its range and the
+    sizes of the ranges before, and its number from its key's first place.
+    """
+    placed = settled(rows.repartitionByRange(key, *order).sortWithinPartitions(key, *order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))  # a row for each range
+    at = placed.withColumn("_part", part).join(F.broadcast(shift), "_part").withColumn("_place", F.col("_shift") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
+    first = at.groupBy(key).agg(F.min("_place").alias("_first"))
+    return at.join(first, key).select(*rows.columns, (F.col("_place") - F.col("_first") + 1).alias("no"))
+
+
+def merged_rows(rows: DataFrame, seq: str = "seq") -> tuple[DataFrame, DataFrame]:
+    """merge_edges with evidence as rows: edges (id, type, from_id, to_id, n_evidence, sources, confidence, conflict) and evidence (id, no, file, line, snippet, candidate).
+
+    Takes the same raw rows and gives the same pieces in the same order, but
+    never gathers an edge's evidence in one row or task, so that one edge may
+    have a third of all of it.
+    """
+    named = rows.withColumn("_id", _named_edges(rows)).withColumnRenamed(seq, "_seq")
+    first = named.groupBy("_id").agg(F.min_by(F.struct("type", "from_id", "to_id"), F.struct("_seq", "type", "from_id", "to_id")).alias("first"))
+    if "id" in rows.columns:
+        named = named.join(first, "_id")
+        other = (F.col("type") != F.col("first.type")) | (F.col("from_id") != F.col("first.from_id")) | (F.col("to_id") != F.col("first.to_id"))
+        named = named.withColumn("candidate", F.when(other, F.concat_ws(" ", "type", "from_id", "to_id"))).drop("first")
+    else:
+        named = named.withColumn("candidate", F.lit(None).cast("string"))
+    pieces = settled(named.groupBy("_id", "file", "line", "snippet", "candidate").agg(F.min("_seq").alias("_seq")))
+    counts = pieces.groupBy("_id").agg(F.count("*").alias("n_evidence"), F.max(F.col("candidate").isNotNull()).alias("conflict"))
+    sources = named.groupBy("_id", "source").agg(F.min("_seq").alias("_seq"), F.max("confidence").alias("confidence"))
+    told = sources.groupBy("_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_seq", "source"))), lambda x: x["source"]).alias("sources"), F.max("confidence").alias("confidence"))  # as many as there are kinds of sources
+    edges = first.join(counts, "_id").join(told, "_id").select(F.col("_id").alias("id"), "first.type", "first.from_id", "first.to_id", "n_evidence", "sources", "confidence", "conflict")
+    evidence = numbered(pieces, "_id", "_seq", "file", "line", "snippet", "candidate")
+    return edges, evidence.select(F.col("_id").alias("id"), "no", "file", "line", "snippet", "candidate")
+
+
 def upsert_edges(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """Merged edges of known type and sources whose ends exist and whose evidence holds."""
     known = nodes.select("id")

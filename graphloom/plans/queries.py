@@ -509,12 +509,29 @@ def cross_repo(spark, d):
     return analyze.cross_repo(edges)
 
 
-@query("WITH e AS (SELECT 'fn:repo:n' || c_nationkey || '/c' || c_custkey AS from_id, 'api:/m/' || c_mktsegment AS to_id, c_custkey % 50 = 0 AS maker FROM customer) SELECT DISTINCT u.from_id, m.from_id AS to_id FROM e m JOIN e u ON m.to_id = u.to_id AND m.maker AND NOT u.maker AND split_part(m.from_id, '/', 1) <> split_part(u.from_id, '/', 1)")
-def cross_repo_all(spark, d):
-    """cross_repo over all customers; an API's pairs are its makers times its users, so the result grows with the square of the table."""
+_SEGMENTS = "WITH e AS (SELECT 'fn:repo:n' || c_nationkey || '/c' || c_custkey AS id, 'api:/m/' || c_mktsegment AS api, 'n' || c_nationkey AS repo, CASE WHEN c_custkey % 50 = 0 THEN 'make' ELSE 'use' END AS role FROM customer)"
+
+
+def _segment_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Each customer offers or uses the API of its segment."""
     from_id = ids.prefix_repo(F.concat(F.lit("fn:c"), "c_custkey"), F.concat(F.lit("n"), "c_nationkey"))
-    edges = _read(spark, d, "customer").select(F.when(F.col("c_custkey") % 50 == 0, "EXPOSES").otherwise("CONSUMES").alias("type"), from_id.alias("from_id"), F.concat(F.lit("api:/m/"), "c_mktsegment").alias("to_id"))
-    return analyze.cross_repo(edges)
+    return _read(spark, d, "customer").select(F.when(F.col("c_custkey") % 50 == 0, "EXPOSES").otherwise("CONSUMES").alias("type"), from_id.alias("from_id"), F.concat(F.lit("api:/m/"), "c_mktsegment").alias("to_id"))
+
+
+@query(_SEGMENTS + " SELECT u.repo AS consumer, m.repo AS producer, count(*) AS links FROM e m JOIN e u ON m.api = u.api AND m.role = 'make' AND u.role = 'use' AND m.repo <> u.repo GROUP BY u.repo, m.repo")
+def cross_repo_all(spark, d):
+    """The pairs of all customers, which grow with the square of the table, counted for each two repositories without being made."""
+    return analyze.cross_repo_counts(analyze.cross_repo_factors(_segment_edges(spark, d)))
+
+
+@query(_SEGMENTS + " SELECT api, role, repo, id FROM e WHERE EXISTS (SELECT 1 FROM e o WHERE o.api = e.api AND o.role <> e.role AND o.repo <> e.repo) OR api IN (SELECT m.api FROM e m JOIN e u ON m.api = u.api AND m.role = 'make' AND u.role = 'use' AND m.repo <> u.repo)")
+def cross_repo_factors(spark, d):
+    return analyze.cross_repo_factors(_segment_edges(spark, d))
+
+
+@query(_SEGMENTS + " SELECT DISTINCT u.id AS from_id, m.id AS to_id FROM e m JOIN e u ON m.api = u.api AND m.role = 'make' AND u.role = 'use' AND m.repo = 'n2' AND u.repo = 'n1'")
+def cross_repo_pairs(spark, d):
+    return analyze.cross_repo_pairs(analyze.cross_repo_factors(_segment_edges(spark, d)), "n1", "n2")
 
 
 @query("WITH f AS (SELECT DISTINCT path FROM (SELECT 'services/s' || (o_custkey % 40) || '/c' || o_custkey || '.ts' AS path FROM orders UNION ALL SELECT 'users/u' || user_id || '.ts' FROM events)) SELECT CASE WHEN path LIKE 'services/%' THEN split_part(path, '/', 2) ELSE 'users' END AS service, count(*) AS files FROM f GROUP BY 1")
@@ -624,3 +641,77 @@ SELECT CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS rank, id,
 )
 def search_topk(spark, d):
     return search_index.search_top(_g(spark, d), "the of doc")
+
+
+# --- what no other query shows ----------------------------------------------
+
+
+@query("WITH x AS (SELECT 'e' || (l_linenumber % 3) AS id, l_orderkey * 10 + l_linenumber AS seq, l_returnflag AS file, CAST(l_quantity AS INTEGER) AS line, l_linestatus AS snippet FROM lineitem), p AS (SELECT id, file, line, snippet, min(seq) AS seq FROM x GROUP BY id, file, line, snippet) SELECT id, row_number() OVER (PARTITION BY id ORDER BY seq, file, line, snippet) AS no, file, line, snippet FROM p")
+def evidence_rows(spark, d):
+    """Three edges with all line items as their evidence."""
+    rows = _read(spark, d, "lineitem").select(F.concat(F.lit("e"), F.col("l_linenumber") % 3).alias("id"), F.lit("CALLS").alias("type"), F.lit("a").alias("from_id"), F.lit("b").alias("to_id"), F.col("l_returnflag").alias("file"), F.col("l_quantity").cast("int").alias("line"), F.col("l_linestatus").alias("snippet"), F.lit("parser").alias("source"), F.lit(0.5).alias("confidence"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    return store.merged_rows(rows)[1].drop("candidate")
+
+
+@query("SELECT id, type, n_evidence, sources, CAST(confidence AS DOUBLE) AS confidence FROM edges WHERE type IN ('DEPENDS_ON', 'SUBSCRIBES')")
+def edge_merge_rows(spark, d):
+    raw = tables.raw_edges(spark, d).filter("type in ('DEPENDS_ON', 'SUBSCRIBES')")
+    rows = raw.select("type", "from_id", "to_id", F.lit("lineitem").alias("file"), F.col("line").cast("int").alias("line"), F.lit("row").alias("snippet"), "source", "confidence", F.col("line").alias("seq"))
+    return store.merged_rows(rows)[0].select("id", "type", "n_evidence", F.array_join(F.array_sort("sources"), ",").alias("sources"), "confidence")
+
+
+@query("SELECT 's' || s_suppkey || '/package.json' AS path, unnest(CASE WHEN s_suppkey % 2 = 0 THEN ['lib' || s_nationkey, 'both'] ELSE ['lib' || s_nationkey, 'both', 'dev'] END) AS package, unnest(CASE WHEN s_suppkey % 2 = 0 THEN ['1.' || s_suppkey, '1'] ELSE ['1.' || s_suppkey, '2', '^' || s_suppkey] END) AS version FROM supplier")
+def npm_packages(spark, d):
+    """Each supplier's package.json; every second has development packages, one of them named among the others too."""
+    k = F.col("s_suppkey").cast("string")
+    dev = F.when(F.col("s_suppkey") % 2 == 1, F.concat(F.lit(', "devDependencies": {"both": "2", "dev": "^'), k, F.lit('"}'))).otherwise("")
+    text = F.concat(F.lit('{"name": "x", "dependencies": {"lib'), F.col("s_nationkey").cast("string"), F.lit('": "1.'), k, F.lit('", "both": "1"}'), dev, F.lit("}"))
+    return lines.npm_packages(_read(spark, d, "supplier").select(F.concat(F.lit("s"), k, F.lit("/package.json")).alias("path"), text.alias("content")))
+
+
+@query("SELECT 'o' || o_orderkey || '/.env' AS path, 2 + o_orderkey % 3 AS line, 'KEY_' || o_custkey AS key FROM orders WHERE o_orderstatus = 'F'")
+def config_keys(spark, d):
+    """Each order's settings: a comment, as many names in small letters as its key asks for, and a key where it is done."""
+    low = F.array_join(F.array_repeat(F.lit("small=1"), (F.col("o_orderkey") % 3).cast("int")), "\n")
+    key = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("KEY_"), "o_custkey", F.lit(" = x"))).otherwise("# none")
+    text = F.concat(F.lit("# A=1\n"), low, F.when(F.length(low) > 0, "\n").otherwise(""), key)
+    found = lines.config_keys(_read(spark, d, "orders").select(F.concat(F.lit("o"), "o_orderkey", F.lit("/.env")).alias("path"), text.alias("content")))
+    return found.select("path", F.col("line").cast("long").alias("line"), "key")
+
+
+@query("SELECT 'p' || p_partkey || '/Dockerfile' AS path, CASE WHEN p_size % 4 <> 0 THEN lower(replace(p_brand, '#', '')) || ':' || p_size END AS base FROM part")
+def docker_bases(spark, d):
+    """Each part's Dockerfile; the first FROM counts, and some have none."""
+    base = F.concat(F.lower(F.regexp_replace("p_brand", "#", "")), F.lit(":"), "p_size")
+    text = F.when(F.col("p_size") % 4 != 0, F.concat(F.lit("# FROM none\n  from "), base, F.lit(" AS x\nFROM other\n"))).otherwise("RUN x FROM y")
+    return lines.docker_bases(_read(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey", F.lit("/Dockerfile")).alias("path"), text.alias("content")))
+
+
+@query("SELECT event_type AS kind, count(*) AS n FROM (SELECT CASE WHEN value < 20 THEN 'Nothing' WHEN value < 40 THEN 'Event' ELSE 'Function' END AS event_type, event_id FROM events) WHERE event_type <> 'Nothing' GROUP BY 1")
+def refused_kinds(spark, d):
+    """Nodes of a kind that isn't in the vocabulary are refused."""
+    e = _read(spark, d, "events")
+    rows = e.select(F.concat(F.lit("e"), "event_id").alias("id"), F.when(F.col("value") < 20, "Nothing").when(F.col("value") < 40, "Event").otherwise("Function").alias("kind"), F.lit("x").alias("name"), F.col("event_id").alias("seq"))
+    return store.upsert_nodes(rows).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("WITH l AS (SELECT *, CASE WHEN l_returnflag = 'A' THEN 'parser' WHEN l_returnflag = 'R' THEN 'git' WHEN l_linestatus = 'F' THEN 'user' WHEN l_linenumber > 5 THEN 'unknown' ELSE 'lockfile' END AS source FROM lineitem), s AS (SELECT l_orderkey AS id, list(source ORDER BY l_linenumber, l_partkey, source) AS src FROM l GROUP BY l_orderkey) SELECT id, CASE WHEN NOT list_contains(src, 'unknown') THEN array_to_string(list_filter(src, lambda x, i: list_position(src, x) = i), ',') END AS sources FROM s")
+def normal_sources(spark, d):
+    """The sources of each order's lines, distinct in order; null where one is unknown."""
+    source = F.when(F.col("l_returnflag") == "A", "parser").when(F.col("l_returnflag") == "R", "git").when(F.col("l_linestatus") == "F", "user").when(F.col("l_linenumber") > 5, "unknown").otherwise("lockfile")
+    per = _read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", source.alias("s")))), lambda x: x["s"]).alias("all"))
+    return per.select("id", F.array_join(store.normal_sources(F.col("all")), ",").alias("sources"))
+
+
+@query("SELECT doc_id AS id, bool_and(coalesce(contains(text, piece), false)) AS accepted FROM (SELECT doc_id, text, unnest([substr(text, 1, 12), CASE WHEN doc_id % 3 = 0 THEN 'not there ' || doc_id ELSE substr(text, 20, 9) END]) AS piece FROM documents WHERE text IS NOT NULL) GROUP BY doc_id")
+def verified_edges(spark, d):
+    """Claims that cite two pieces of each document, some of them made up."""
+    docs = _read(spark, d, "documents").filter("text is not null").select("doc_id", "text")
+    pieces = F.array(F.substring("text", 1, 12), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("not there "), "doc_id")).otherwise(F.substring("text", 20, 9)))
+    claims = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("file"), F.explode(pieces).alias("snippet"))
+    return analyze.verified_edges(claims, docs.select(F.col("doc_id").alias("path"), F.col("text").alias("content")))
+
+
+@query("SELECT type, bool_and(n_evidence > 0) AS evidence_used FROM edges GROUP BY type")
+def evidence_used(spark, d):
+    return _g(spark, d).edges.groupBy("type").agg(F.bool_and(F.coalesce("n_evidence", F.lit(0)) > 0).alias("evidence_used"))

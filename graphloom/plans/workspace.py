@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from ..functions.lineage import new_folder, settled
 from ..operators import analyze, scan, store, traverse
 from ..operators.operations import dispatch
 from ..sources import extract, tables
+from ..sources.files import source_files
 from ..streaming import upkeep
 from .queries import _COMPONENTS, _DOWN_TABLES, _TESTED_STARTS, LOOPED, _code, _g, _read, _tested, looped, query, search_sql
 
@@ -161,7 +165,7 @@ def cross_repo_edges(spark, d):
 
 
 _MAP = f"""{tables.WITH}, m AS (SELECT e.id, e.type, from_id, to_id FROM edges e JOIN nodes a ON a.id = from_id JOIN nodes b ON b.id = to_id WHERE type IN ('READS', 'WRITES', 'CONTAINS') AND a.kind IN ('Table', 'Column', 'Service', 'Function', 'Method') AND b.kind IN ('Table', 'Column', 'Service', 'Function', 'Method')),
-f AS (SELECT * FROM m ORDER BY id LIMIT 300), l AS (SELECT id, kind, name FROM nodes WHERE kind = 'Table' OR id IN (SELECT from_id FROM f UNION SELECT to_id FROM f)), k AS (SELECT * FROM l ORDER BY kind, id LIMIT 150), e AS (SELECT * FROM f WHERE from_id IN (SELECT id FROM k) AND to_id IN (SELECT id FROM k))"""
+f AS (SELECT * FROM m ORDER BY id LIMIT 300), l AS (SELECT id, kind, name FROM nodes WHERE kind = 'Table' OR id IN (SELECT from_id FROM f UNION SELECT to_id FROM f)), k AS (SELECT * FROM l ORDER BY kind COLLATE en, id COLLATE en, kind, id LIMIT 150), e AS (SELECT * FROM f WHERE from_id IN (SELECT id FROM k) AND to_id IN (SELECT id FROM k))"""
 
 
 @query(_MAP + " SELECT id, kind, name FROM k")
@@ -202,3 +206,40 @@ def insights(spark, d):
 def operation_impact(spark, d):
     """The nodes of one operation's envelope."""
     return dispatch(_g(spark, d), "impact", id="table:part_7").nodes.select("id", "kind", "name")
+
+
+_SCANNED = """files AS (SELECT 'lib/s' || s_suppkey || '/_private.py' AS path, 's' || s_suppkey || ' = ' || s_nationkey || chr(10) AS content FROM supplier UNION ALL SELECT 'conf/n' || n_nationkey || '/.env', 'KEY=' || n_name FROM nation
+UNION ALL SELECT 'src/c' || c_nationkey || '/c' || c_custkey || '.ts', '// ' || c_name FROM customer)"""
+
+
+@query(f"WITH {_SCANNED} SELECT path, CAST(octet_length(encode(content)) AS BIGINT) AS size, sha256(content) AS sha256 FROM files")
+def file_scan(spark, d):
+    """Files written from the tables, hidden and ignored ones among them, found and read by tasks."""
+    text = lambda c: F.col(c).cast("string")
+    of = lambda table, path, content: _read(spark, d, table).select(F.concat(*path).alias("path"), F.concat(*content).alias("content"))
+    tree = of("supplier", (F.lit("lib/s"), text("s_suppkey"), F.lit("/_private.py")), (F.lit("s"), text("s_suppkey"), F.lit(" = "), text("s_nationkey"), F.lit("\n"))).union(of("nation", (F.lit("conf/n"), text("n_nationkey"), F.lit("/.env")), (F.lit("KEY="), "n_name")))
+    tree = tree.union(of("customer", (F.lit("src/c"), text("c_nationkey"), F.lit("/c"), text("c_custkey"), F.lit(".ts")), (F.lit("// "), "c_name"))).union(of("region", (F.lit("node_modules/r"), text("r_regionkey"), F.lit(".ts")), (F.lit("ignored"),)))
+    root = re.sub("^file:/*", "/", new_folder(spark))
+
+    def write(rows):
+        for r in rows:
+            full = os.path.join(root, r.path)
+            os.makedirs(os.path.dirname(full), exist_ok=True)
+            with open(full, "w", encoding="utf-8") as f:
+                f.write(r.content)
+
+    tree.foreachPartition(write)
+    return source_files(spark, root).select("path", "size", "sha256")
+
+
+@query(" SELECT kind, count(*) AS n FROM (SELECT kind, id FROM nodes ORDER BY kind, id LIMIT 200) GROUP BY kind")
+def operation_graph(spark, d):
+    return dispatch(_g(spark, d), "graph", node_limit="200").nodes.groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'e_' || substring(sha1(concat('CALLS', chr(0), a, chr(0), b)), 1, 16) AS id, 'CALLS' AS type, a AS from_id, b AS to_id, 'user' AS sources FROM (SELECT min(id) AS a, max(id) AS b FROM nodes WHERE kind = 'Function')")
+def operation_pin(spark, d):
+    """A pin between the first and the last function."""
+    g = _g(spark, d)
+    ends = g.nodes.filter("kind = 'Function'").agg(F.min("id").alias("a"), F.max("id").alias("b")).first()
+    return dispatch(g, "pin", type="CALLS", **{"from": ends.a, "to": ends.b}).edges.select("id", "type", "from_id", "to_id", F.array_join("sources", ",").alias("sources"))

@@ -201,7 +201,8 @@ def _ingested(files: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
     infra = F.concat(F.lit("infra:"), "path")
     parts = lines.compose_services(of("compose"))
     service = _own(F.concat(F.lit("svc:"), "service"))
-    nodes += [_node(of("compose").unionByName(of("dockerfile")), infra, "Infra", _name()), _node(parts, service, "Service", F.col("service"), False, F.col("line"))]
+    built = of("dockerfile").join(lines.docker_bases(of("dockerfile")), "path")  # the signature is what it builds on
+    nodes += [_node(of("compose"), infra, "Infra", _name()), _node(built, infra, "Infra", _name(), signature=F.concat(F.lit("FROM "), "base")), _node(parts, service, "Service", F.col("service"), False, F.col("line"))]
     edges.append(_edge(parts, "CONTAINS", infra, service, F.concat("service", F.lit(":")), "infra", 0.8))
     return nodes, edges
 

@@ -232,3 +232,36 @@ def test_search_by_index_equals_the_scan(spark):
     finally:
         spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
     assert "SelectedBucketsCount: 1 out of" in plan
+
+
+def test_evidence_as_rows_is_the_lists(spark):
+    """Repeats, conflicts and one edge with most rows: the same edges and pieces, in the same order, without a list of them."""
+    rng = random.Random(3)
+    rows = [(rng.choice((None, None, "x1", " ")), rng.choice(("CALLS", "READS")), rng.choice("ab"), rng.choice("bc"), rng.choice(("f", "g", None)), rng.randrange(9), rng.choice("st"), rng.choice(("parser", "git")), rng.random(), k) for k in range(300)]
+    rows += [(None, "CALLS", "hot", "hub", "f", k % 700, "s", "user", 0.1, 1000 + k) for k in range(2000)]
+    raw = spark.createDataFrame(rows, "id string, type string, from_id string, to_id string, file string, line int, snippet string, source string, confidence double, seq long").repartition(5)
+    for some in (raw, raw.drop("id"), raw.limit(0)):
+        want = {r.id: r for r in store.merge_edges(some).collect()}
+        edges, evidence = store.merged_rows(some)
+        got = {r.id: r for r in edges.collect()}
+        assert got.keys() == want.keys()
+        pieces = {}
+        for r in evidence.orderBy("id", "no").collect():
+            pieces.setdefault(r.id, []).append((r.no, r.file, r.line, r.snippet, r.candidate))
+        for i, w in want.items():
+            g = got[i]
+            assert (g.type, g.from_id, g.to_id, g.sources, g.confidence, g.conflict, g.n_evidence) == (w.type, w.from_id, w.to_id, w.sources, w.confidence, w.conflict, len(w.evidence))
+            assert pieces[i] == [(n, e.file, e.line, e.snippet, e.candidate) for n, e in enumerate(w.evidence, 1)]
+
+
+def test_factored_dependencies_are_the_pairs(spark):
+    edges = [("EXPOSES", f"fn:repo:r{k % 3}/m{k}", f"api:{k % 4}") for k in range(12)] + [("CONSUMES", f"fn:repo:r{k % 4}/u{k}", f"api:{k % 5}") for k in range(30)] + [("CONSUMES", "fn:none", "api:0"), ("CALLS", "fn:repo:r1/m1", "api:0"), ("CONSUMES", "fn:repo:r0/u0", "api:0")]
+    df = spark.createDataFrame(edges, "type string, from_id string, to_id string")
+    factors = analyze.cross_repo_factors(df)
+    repo = lambda i: i.split(":")[2].split("/")[0]
+    links = {(u, m, a) for t, u, a in edges if t == "CONSUMES" and "repo" in u for s, m, b in edges if s == "EXPOSES" and a == b and repo(u) != repo(m)}
+    counts = {(r.consumer, r.producer): r.links for r in analyze.cross_repo_counts(factors).collect()}
+    assert sum(counts.values()) == len(links) and all(n == sum((repo(u), repo(m)) == k for u, m, _ in links) for k, n in counts.items())
+    pairs = {(r.from_id, r.to_id) for r in analyze.cross_repo(df).collect()}
+    assert {(r.from_id, r.to_id) for r in analyze.cross_repo_pairs(factors, "r0", "r1").collect()} == {p for p in pairs if (repo(p[0]), repo(p[1])) == ("r0", "r1")} and pairs == {x[:2] for x in links}
+    assert factors.count() <= len(edges)
