@@ -518,9 +518,15 @@ def _segment_edges(spark: SparkSession, d: str) -> DataFrame:
     return _read(spark, d, "customer").select(F.when(F.col("c_custkey") % 50 == 0, "EXPOSES").otherwise("CONSUMES").alias("type"), from_id.alias("from_id"), F.concat(F.lit("api:/m/"), "c_mktsegment").alias("to_id"))
 
 
-@query(_SEGMENTS + " SELECT u.repo AS consumer, m.repo AS producer, count(*) AS links FROM e m JOIN e u ON m.api = u.api AND m.role = 'make' AND u.role = 'use' AND m.repo <> u.repo GROUP BY u.repo, m.repo")
+@query(_SEGMENTS + " SELECT DISTINCT u.id AS from_id, m.id AS to_id FROM e m JOIN e u ON m.api = u.api AND m.role = 'make' AND u.role = 'use' AND m.repo <> u.repo")
 def cross_repo_all(spark, d):
-    """The pairs of all customers, which grow with the square of the table, counted for each two repositories without being made."""
+    """cross_repo over all customers; an API's pairs are its makers times its users, so the result grows with the square of the table. cross_repo_factors is the same in rows that grow with it."""
+    return analyze.cross_repo(_segment_edges(spark, d))
+
+
+@query(_SEGMENTS + " SELECT u.repo AS consumer, m.repo AS producer, count(*) AS links FROM e m JOIN e u ON m.api = u.api AND m.role = 'make' AND u.role = 'use' AND m.repo <> u.repo GROUP BY u.repo, m.repo")
+def cross_repo_counts(spark, d):
+    """The pairs of cross_repo_all counted for each two repositories, without being made."""
     return analyze.cross_repo_counts(analyze.cross_repo_factors(_segment_edges(spark, d)))
 
 
