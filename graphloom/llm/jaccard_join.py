@@ -47,7 +47,7 @@ LEAST = 2
 RATIO = 1.5
 #: A set's first sketch, 256 bits in four numbers.
 LOW = ("low0", "low1", "low2", "low3")
-#: Every set has a sketch of 256 bits, and from so many elements on a second one of at least twice as many bits as elements.
+#: Every set has a sketch of 256 bits, and from so many elements on a second one of more bits than elements, 512 at least.
 LONG = 100
 #: Words' hashes that a task remembers, and the longest of these words in bytes.
 WORDS, WORD_BYTES = 200_000, 40
@@ -194,7 +194,7 @@ def bit_sketch(h: np.ndarray, bits: int) -> bytes:
 
 
 def high_sketch(h: np.ndarray) -> bytes | None:
-    return bit_sketch(h, 1 << max(10, len(h).bit_length() + 1)) if len(h) >= LONG else None
+    return bit_sketch(h, 1 << max(9, len(h).bit_length())) if len(h) >= LONG else None
 
 
 def fold(sketch: np.ndarray, words: int) -> np.ndarray:
@@ -481,11 +481,10 @@ def _joined(docs: DataFrame, width: int, plan: Plan) -> tuple[DataFrame, DataFra
     shares = members.groupBy("short").agg(F.count("*").alias("shares"))
     lead = members.join(shares, "short").groupBy("key").agg(F.max(F.struct("shares", "short")).alias("lead")).select("key", F.col("lead.short").alias("first"))
     members = cut(members.join(lead, "key").filter("short <> first").select("key", "short", "first"))
-    # only with two keys or more, as linked sets nearly always share, and where sizes and first sketches leave a link
-    # possible: what is left out here meets again in the second round
+    # only where sizes and first sketches leave a link possible
     few = classes.select("short", "n", *LOW)
     of = lambda name: few.select(F.col("short").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("n", *LOW)))
-    stars = members.groupBy("first", F.col("short").alias("other")).agg(F.count("*").alias("shared")).filter("shared > 1").join(of("other"), "other").join(of("first"), "first")
+    stars = members.select("first", F.col("short").alias("other")).distinct().join(of("other"), "other").join(of("first"), "first")
     far = sum((F.bit_count(F.col(f"first_{c}").bitwiseXOR(F.col(f"other_{c}"))) for c in LOW[1:]), F.bit_count(F.col("first_low0").bitwiseXOR(F.col("other_low0"))))
     near = far * (den + num) <= (F.col("first_n") + F.col("other_n")) * (den - num)
     stars = cut(stars.filter(near & (F.least("first_n", "other_n") * den >= F.greatest("first_n", "other_n") * num)).select("first", "other"))
