@@ -136,7 +136,7 @@ def test_operations_on_the_fixed_graph(spark, graph):  # noqa: F811
 
 
 def test_operations_say_what_is_wrong(spark, graph):  # noqa: F811
-    wrong = [("nothing", {}), ("impact", {}), ("impact", {"id": "fn:none"}), ("impact", {"id": SERVICE, "direction": "left"}), ("search", {"q": " "}), ("search", {"q": "§"}), ("symbol", {"id": "zzz"}), ("map", {"view": "none"}), ("pin", {"type": "CALLS", "from_": SERVICE, "to": "gone"}), ("pin", {"type": "NONE"}), ("neighbors", {"id": SERVICE, "direction": "up"}), ("diff_impact", {})]
+    wrong = [("nothing", {}), ("impact", {}), ("impact", {"id": "fn:none"}), ("impact", {"id": SERVICE, "direction": "left"}), ("search", {"q": " "}), ("search", {"q": "§"}), ("symbol", {"id": "zzz"}), ("map", {"view": "none"}), ("pin", {"type": "CALLS", "from_": SERVICE, "to": "gone"}), ("pin", {"type": "NONE"}), ("neighbors", {"id": SERVICE, "direction": "up"})]
     for name, args in wrong:
         got = dispatch(graph, name, **args)
         assert not got.ok and got.error and not got.evidence_used, name
