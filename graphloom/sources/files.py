@@ -1,4 +1,4 @@
-"""Source trees as a data source: folders are partitions, and tasks list and read them.
+"""Source trees as a data source: folders are dealt to tasks, which list and read them.
 
     spark.dataSource.register(SourceTree)
     spark.read.format("source_tree").option("root", root).load()
@@ -32,6 +32,8 @@ MANIFESTS = ("package.json", "requirements.txt", "pyproject.toml", "go.mod", "Ca
 MAX_BYTES = 512 * 1024
 #: Files that a task hands on at once, and their bytes.
 BATCH_FILES, BATCH_BYTES = 512, 8 << 20
+#: Tasks that folders are dealt to, if there are more.
+TASKS = 64
 
 COLUMNS = "repo string, path string, content string, size long, sha256 string"
 
@@ -50,6 +52,13 @@ class Folder(InputPartition):
     below: bool
 
 
+@dataclass
+class Folders(InputPartition):
+    """Folders that one task reads, where there are more than tasks."""
+
+    folders: list[Folder]
+
+
 @dataclass(frozen=True)
 class Paths:
     """The paths that filters leave: of these, if any are named, and with all these beginnings."""
@@ -95,10 +104,15 @@ class TreeReader(DataSourceReader):
         for _ in range(self.depth):
             out += [Folder(f, False) for f in level]
             level = [x for f in level for x in self._folders(f)]
-        return out + [Folder(f, True) for f in level]
+        out += [Folder(f, True) for f in level]
+        return out if len(out) <= TASKS else [Folders(out[k::TASKS]) for k in range(TASKS)]
+
+    def _files(self, partition: Folder | Folders) -> Iterator[str]:
+        for f in partition.folders if isinstance(partition, Folders) else [partition]:
+            yield from self._in(f.path, f.below)
 
-    def _files(self, partition: Folder) -> Iterator[str]:
-        stack = [partition.path]
+    def _in(self, top: str, below: bool) -> Iterator[str]:
+        stack = [top]
         while stack:
             folder = stack.pop()
             try:
@@ -107,10 +121,10 @@ class TreeReader(DataSourceReader):
             except OSError:
                 continue
             yield from (x for n in names if self.paths.take(x := f"{folder}/{n}" if folder else n))
-            if partition.below:
+            if below:
                 stack += reversed(self._folders(folder))
 
-    def read(self, partition: Folder) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Folder | Folders) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         held = 0
 
@@ -138,7 +152,7 @@ class TreeReader(DataSourceReader):
 
 
 class SourceTree(DataSource):
-    """Options: root, repo (none by default), and depth, down to which each folder is a partition of its own (2)."""
+    """Options: root, repo (none by default), and depth, down to which the driver lists folders to deal them to tasks (2)."""
 
     @classmethod
     def name(cls) -> str:

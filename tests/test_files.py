@@ -40,3 +40,12 @@ def test_filters_reach_the_listing(spark, root):
     list(reader.pushFilters([files.StringStartsWith(("path",), "pkg/s"), files.EqualTo(("repo",), "x")]))
     assert [(p.path, p.below) for p in reader.partitions()] == [("", False), ("pkg", False), ("pkg/sub", True)]
     assert [(p.path, p.below) for p in files.TreeReader(root, None, 2).partitions()] == [("", False), ("lib", False), ("pkg", False), ("pkg/sub", True)]
+
+
+def test_many_folders_are_dealt_to_few_tasks(spark, tmp_path):
+    for k in range(3 * files.TASKS):
+        (tmp_path / "lib" / f"s{k}").mkdir(parents=True)
+        (tmp_path / "lib" / f"s{k}" / "a.ts").write_text(str(k))
+    read = files.source_files(spark, str(tmp_path))
+    assert read.rdd.getNumPartitions() <= files.TASKS
+    assert sorted((r.path, r.content) for r in read.collect()) == sorted((f"lib/s{k}/a.ts", str(k)) for k in range(3 * files.TASKS))
