@@ -70,3 +70,18 @@ def test_a_level_takes_two_exchanges(spark):
         traverse.settled = settled
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert len(plans) > 2 and all(p.count("Exchange hashpartitioning") <= 2 for p in plans[2:])
+
+
+def test_pairs_between_repositories_once_without_comparing_all(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(rng.choice(["EXPOSES", "CONSUMES", "CALLS"]), rng.choice(["fn:repo:r{}/f{}", "fn:f{1}"]).format(rng.randrange(3), rng.randrange(12)), rng.choice([f"api:{rng.randrange(6)}", None])) for _ in range(400)]
+    rows += [("EXPOSES", "fn:repo:a/one", "api:x")] * 2 + [("CONSUMES", f"fn:repo:b/u{k}", "api:x") for k in range(30)]
+    edges = spark.createDataFrame(rows, "type string, from_id string, to_id string")
+    repo = lambda x: x.split(":")[2].split("/")[0] if x.startswith("fn:repo:") else None
+    of = lambda type_: {(a, x) for t, x, a in rows if t == type_ and a and repo(x)}
+    want = {(u, m) for a, m in of("EXPOSES") for b, u in of("CONSUMES") if a == b and repo(m) != repo(u)}
+    for most in (4_000_000, 7):
+        monkeypatch.setattr(analyze, "SHARE_PAIRS", most, raising=False)
+        got = [(r.from_id, r.to_id) for r in analyze.cross_repo(edges).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert analyze.cross_repo(edges)._jdf.queryExecution().optimizedPlan().nodeName() == "Union"  # not one comparison of all pairs
