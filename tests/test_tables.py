@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import analyze, scan, traverse
 from graphloom.plans.queries import QUERIES
-from graphloom.schema import EDGE_TYPES
+from graphloom.schema import CYCLE_TYPES, EDGE_TYPES, Graph, LazyGraph
 from graphloom.sources import tables
 
 SMALL = "/root/testdata/sf0.001"
@@ -85,3 +85,40 @@ def test_pairs_between_repositories_once_without_comparing_all(spark, monkeypatc
         got = [(r.from_id, r.to_id) for r in analyze.cross_repo(edges).collect()]
         assert len(got) == len(set(got)) and set(got) == want
     assert analyze.cross_repo(edges)._jdf.queryExecution().optimizedPlan().nodeName() == "Union"  # not one comparison of all pairs
+
+
+def test_ends_are_those_of_the_edges(spark, odd):
+    head = lambda c: F.substring_index(c, ":", 1)
+    found = tables.merged_edges(tables.raw_edges(spark, odd)).select("type", head("from_id").alias("a"), head("to_id").alias("b")).distinct().collect()
+    assert {r.type for r in found} == set(tables.ENDS) == set(tables.TYPES)
+    assert all(r.a in tables.ENDS[r.type][0] and r.b in tables.ENDS[r.type][1] for r in found)
+
+
+def test_only_types_on_a_way_are_stored(spark):
+    """Why-paths from tests to APIs and impact of tables store no edges that none of their ways can take, and find what the whole graph gives."""
+    tables._STORED.pop((spark.sparkContext.applicationId, SMALL), None)
+    got = QUERIES["why_path"](spark, SMALL).collect()
+    g = tables.table_graph(spark, SMALL)
+    stored = {k for k in g.kept if k.startswith("steps")}
+    assert {t for k in stored for t in k.split()[2:]} == {"TESTS", "CALLS", "CONSUMES"} and len(stored) == 2
+    whole = Graph(g.nodes, g.edges, g.chunks)
+    starts = g.nodes.filter("kind = 'Table'").select("id")
+    assert traverse.followed(g, "downstream", starts) == ("CALLS", "PUBLISHES", "TESTS", "WRITES") and traverse.followed(whole, "downstream", starts) is None
+    columns = ["start", "path_no", "node", "edge_id"]
+    assert {tuple(r) for r in traverse.impact(g, starts).select(columns).collect()} == {tuple(r) for r in traverse.impact(whole, starts).select(columns).collect()}
+    pairs = g.edges_of(("TESTS",)).select("from_id", F.col("to_id").alias("f")).join(g.edges_of(("CONSUMES",)).select(F.col("from_id").alias("f"), "to_id"), "f").select("from_id", "to_id")
+    assert got and {(r.from_id, r.to_id, r.path_no, r.path) for r in got} == {(r.from_id, r.to_id, r.path_no, ">".join(r.path)) for r in traverse.why_paths(whole, pairs).collect()}
+
+
+def test_starts_of_many_beginnings_follow_all_types(spark):
+    g = tables.table_graph(spark, SMALL)
+    assert traverse.followed(g, "downstream", spark.range(200).selectExpr("concat('x', id, ':y') as id")) is None
+    assert traverse.followed(g, "downstream", spark.createDataFrame([("none",), (None,)], "id string")) == ()
+    assert traverse.impact(g, spark.createDataFrame([("none",)], "id string")).isEmpty()
+
+
+def test_only_types_on_cycles_are_searched(spark):
+    g = tables.table_graph(spark, SMALL)
+    assert g.on_cycles(CYCLE_TYPES) == ("CALLS",) and Graph(g.nodes, g.edges, g.chunks).on_cycles(CYCLE_TYPES) == CYCLE_TYPES
+    both = LazyGraph(lambda: g.nodes, lambda t: g.edges_of((t,)), g.chunks, lambda e: e, ("IMPORTS", "CALLS", "DEPENDS_ON"), {"IMPORTS": (("a",), ("b",)), "CALLS": (("b",), ("a", "c")), "DEPENDS_ON": (("c",), ("d",))})
+    assert both.on_cycles(CYCLE_TYPES) == ("CALLS", "IMPORTS")
