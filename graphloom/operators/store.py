@@ -41,17 +41,18 @@ def merge_edges(rows: DataFrame, seq: str = "seq") -> DataFrame:
     the largest. Repeats go before an edge's rows meet, so that its list holds
     different pieces only.
     """
-    ordered = lambda c: F.array_sort(F.collect_list(c))
-    named = F.coalesce(F.nullif(F.trim("id"), F.lit("")), edge_id("type", "from_id", "to_id")) if "id" in rows.columns else edge_id("type", "from_id", "to_id")
-    once = rows.withColumn("_id", named).groupBy("_id", "type", "from_id", "to_id", "file", "line", "snippet", "source").agg(F.min(seq).alias("seq"), F.max("confidence").alias("confidence"))
-    got = once.groupBy("_id").agg(
-        ordered(F.struct("seq", "type", "from_id", "to_id", "file", "line", "snippet")).alias("all"), ordered(F.struct("seq", "source")).alias("from_all"), F.max("confidence").alias("confidence")
-    ).withColumn("first", F.get("all", F.lit(0)))
+    own = ["type", "from_id", "to_id"]
+    named = rows.withColumn("_own", F.nullif(F.trim("id"), F.lit(""))) if "id" in rows.columns else rows.withColumn("_own", F.lit(None).cast("string"))
+    once = named.groupBy("_own", *own, "file", "line", "snippet", "source").agg(F.min(seq).alias("seq"), F.max("confidence").alias("confidence"))
+    once = once.withColumn("_id", F.coalesce("_own", edge_id(*own))).drop("_own").repartition("_id")  # all that follows stays where an id's rows are
+    pieces = F.array_sort(F.collect_list(F.struct("seq", *own, "file", "line", "snippet", "source")))
+    got = once.groupBy("_id").agg(pieces.alias("all"), F.max("confidence").alias("confidence")).withColumn("first", F.get("all", F.lit(0)))
     other = lambda x: (x["type"] != F.col("first.type")) | (x["from_id"] != F.col("first.from_id")) | (x["to_id"] != F.col("first.to_id"))
     piece = lambda x: F.struct(x["file"].alias("file"), x["line"].alias("line"), x["snippet"].alias("snippet"), F.when(other(x), F.concat_ws(" ", x["type"], x["from_id"], x["to_id"])).alias("candidate"))
+    sources = F.array_sort(F.transform("all", lambda x: F.struct(x["seq"].alias("seq"), x["source"].alias("source"))))
     return got.select(
         F.col("_id").alias("id"), "first.type", "first.from_id", "first.to_id", F.array_distinct(F.transform("all", piece)).alias("evidence"),
-        F.array_distinct(F.transform("from_all", lambda x: x["source"])).alias("sources"), "confidence", F.exists("all", other).alias("conflict"),
+        F.array_distinct(F.transform(sources, lambda x: x["source"])).alias("sources"), "confidence", F.exists("all", other).alias("conflict"),
     )
 
 

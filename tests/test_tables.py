@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import analyze, scan, traverse
+from graphloom.operators import analyze, scan, store, traverse
 from graphloom.plans.queries import QUERIES
 from graphloom.schema import CYCLE_TYPES, EDGE_TYPES, Graph, LazyGraph
 from graphloom.sources import tables
@@ -122,3 +122,14 @@ def test_only_types_on_cycles_are_searched(spark):
     assert g.on_cycles(CYCLE_TYPES) == ("CALLS",) and Graph(g.nodes, g.edges, g.chunks).on_cycles(CYCLE_TYPES) == CYCLE_TYPES
     both = LazyGraph(lambda: g.nodes, lambda t: g.edges_of((t,)), g.chunks, lambda e: e, ("IMPORTS", "CALLS", "DEPENDS_ON"), {"IMPORTS": (("a",), ("b",)), "CALLS": (("b",), ("a", "c")), "DEPENDS_ON": (("c",), ("d",))})
     assert both.on_cycles(CYCLE_TYPES) == ("CALLS", "IMPORTS")
+
+
+def test_merging_gathers_one_list_after_the_exchange(spark):
+    """Sources and evidence come from one list, which is made where an id's rows are and so is not exchanged."""
+    rows = [("own", "CALLS", "a", "b", "f", 1, "s", "user", 0.5, 2), ("own", "CALLS", "a", "b", "f", 1, "s", "git", 0.9, 1), (" ", "READS", "a", "c", "g", 2, "t", "parser", 0.6, 3), ("own", "READS", "a", "c", "g", 2, "t", "git", 0.1, 4)]
+    merged = store.merge_edges(spark.createDataFrame(rows, "id string, type string, from_id string, to_id string, file string, line int, snippet string, source string, confidence double, seq long"))
+    got = {r.id: r for r in merged.collect()}
+    assert len(got) == 2 and got["own"].sources == ["git", "user"] and got["own"].conflict and got["own"].confidence == 0.9
+    assert [(e.file, e.candidate) for e in got["own"].evidence] == [("f", None), ("g", "READS a c")]
+    plan = merged._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list(") == 1 and plan.index("collect_list(") < plan.index("RepartitionByExpression")
