@@ -55,6 +55,8 @@ WORDS, WORD_BYTES = 200_000, 40
 REMEMBERED = 200_000
 #: Members of a key that are compared with each other in one go; larger keys are split into pairs of half as many.
 TOGETHER = 4096
+#: Members up to which cells are compared many at a time.
+TOGETHER_SMALL = 512
 #: Pairs of one document that a task verifies, and bits of the table that thins out documents before they are joined.
 FAN, BITS = 64, 1 << 24
 #: Members, and elements of their sets, that a task counts the links of in one go; larger components are split into pairs of half as many.
@@ -263,62 +265,89 @@ def _meetings(keyed: DataFrame) -> DataFrame:
     return keyed.mapInArrow(run, "key long, first long, other long")
 
 
+def _far(high: list[bytes], i: np.ndarray, j: np.ndarray, most: np.ndarray, scale: int) -> np.ndarray:
+    """Which pairs of rows (i, j) have second sketches whose distance, times scale, is more than `most`."""
+    width, far = np.array([len(x) for x in high]), np.zeros(len(i), bool)
+    both = width[i] * width[j] > 0
+    for a, b in set(zip(width[i][both].tolist(), width[j][both].tolist(), strict=True)):
+        least, alike = min(a, b) // 8, np.flatnonzero((width[i] == a) & (width[j] == b))
+        for part in np.array_split(alike, -(-len(alike) * (a + b) // (1 << 20))):
+            x, y = (np.frombuffer(b"".join([high[k] for k in side[part].tolist()]), np.uint64).reshape(len(part), -1, least) for side in (i, j))
+            differ = np.bitwise_xor.reduce(x, axis=1) ^ np.bitwise_xor.reduce(y, axis=1)
+            far[part] = np.bitwise_count(differ).sum(1, dtype=np.int64) * scale > most[part]
+    return far
+
+
+def possible_pairs(size: np.ndarray, short: np.ndarray, label: np.ndarray, n: np.ndarray, low: np.ndarray, high: list[bytes], plan: Plan) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (first, other) of rows of one cell that labels, sizes and sketches leave possible, each once. size has the rows of each cell in turn.
+
+    Cells of at most TOGETHER_SMALL rows are compared all at once: each row with
+    the next one of its cell, then with the one after that, and so on. A row of
+    a larger cell is compared with all that follow it there.
+    """
+    end = np.cumsum(size)
+    after = np.repeat(end, size) - np.arange(len(short)) - 1
+    small = np.repeat(size <= TOGETHER_SMALL, size)
+    left, right = [], []
+
+    def kept(i: np.ndarray, j: np.ndarray) -> None:
+        fit = (label[i] != label[j]) & (short[i] != short[j])
+        fit &= np.minimum(n[i], n[j]) * plan.den >= np.maximum(n[i], n[j]) * plan.num
+        i, j = i[fit], j[fit]
+        near = np.bitwise_count(low[i] ^ low[j]).sum(1, dtype=np.int64) * (plan.den + plan.num) <= (n[i] + n[j]) * (plan.den - plan.num)
+        left.append(i[near])
+        right.append(j[near])
+
+    step, rows = 1, np.flatnonzero(small & (after > 0))
+    while len(rows):
+        kept(rows, rows + step)
+        step += 1
+        rows = rows[after[rows] >= step]
+    for row in np.flatnonzero(~small & (after > 0)).tolist():
+        j = row + 1 + np.flatnonzero(label[row + 1 : row + 1 + after[row]] != label[row])
+        if len(j):
+            kept(np.full(len(j), row), j)
+    if not left:
+        return short[:0], short[:0]
+    i, j = np.concatenate(left), np.concatenate(right)
+    first, other = np.minimum(short[i], short[j]), np.maximum(short[i], short[j])
+    order = np.lexsort((other, first))  # a pair of many cells once
+    first, other, i, j = first[order], other[order], i[order], j[order]
+    new = np.ones(len(i), bool)
+    new[1:] = (first[1:] != first[:-1]) | (other[1:] != other[:-1])
+    first, other, i, j = first[new], other[new], i[new], j[new]
+    near = ~_far(high, i, j, (n[i] + n[j]) * (plan.den - plan.num), plan.den + plan.num)
+    return first[near], other[near]
+
+
 def _compared(members: DataFrame, plan: Plan) -> DataFrame:
     """The pairs of a cell's members of different labels that sizes and sketches leave possible: (first, other).
 
     Rows (cell, short, label, n, LOW, high) come sorted by cell. A cell has at
-    most TOGETHER members, which are compared in memory; only pairs that may be
-    linked leave the task.
+    most TOGETHER members, about. All cells that end in a batch are compared in
+    memory; only pairs that may be linked leave the task.
     """
 
-    def within(short: np.ndarray, label: np.ndarray, n: np.ndarray, low: np.ndarray, high: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        width = np.array([len(x) for x in high])
-        for i in range(len(n) - 1):
-            j = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
-            if not len(j):
-                continue
-            j = j[(np.minimum(n[i], n[j]) * plan.den >= np.maximum(n[i], n[j]) * plan.num) & (short[j] != short[i])]
-            for sketch in ("low", "high"):
-                if not len(j):
-                    break
-                most = (n[i] + n[j]) * (plan.den - plan.num)
-                if sketch == "low":
-                    j = j[np.bitwise_count(low[j] ^ low[i]).sum(1, dtype=np.int64) * (plan.den + plan.num) <= most]
-                elif width[i]:
-                    own, far = np.frombuffer(high[i], np.uint64), np.zeros(len(j), bool)
-                    for size in np.unique(width[j][width[j] > 0]).tolist():
-                        least = min(size, width[i]) // 8
-                        mine, alike = fold(own, least), np.flatnonzero(width[j] == size)
-                        for part in np.array_split(alike, -(-len(alike) * size // (1 << 20))):
-                            other = np.frombuffer(b"".join([high[k] for k in j[part].tolist()]), np.uint64).reshape(len(part), -1, least)
-                            far[part] = np.bitwise_count(np.bitwise_xor.reduce(other, axis=1) ^ mine).sum(1, dtype=np.int64) * (plan.den + plan.num) > most[part]
-                    j = j[~far]
-            if len(j):
-                yield np.minimum(short[i], short[j]), np.maximum(short[i], short[j])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        cell = None
+        cells, short, label, n, low, high = (np.empty(0, np.int64),) * 4 + (np.empty((0, 4), np.uint64), [])
 
-        def handed() -> pa.RecordBatch | None:
-            short, label, n = (np.concatenate([h[k] for h in held]) for k in range(3))
-            low, high = np.concatenate([h[3] for h in held]), [x for h in held for x in h[4]]
-            got = list(within(short, label, n, low, high)) if len(n) > 1 else []
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([g[k] for g in got])) for k in range(2)], names=["first", "other"]) if got else None
+        def handed(upto: int) -> pa.RecordBatch:
+            edge = np.flatnonzero(np.concatenate([[True], cells[1:upto] != cells[: upto - 1], [True]]))
+            first, other = possible_pairs(np.diff(edge), short[:upto], label[:upto], n[:upto], low[:upto], high[:upto], plan)
+            return pa.RecordBatch.from_arrays([pa.array(first), pa.array(other)], names=["first", "other"])
 
         for rows in batches:
-            cells, short, label, n = (rows.column(k).to_numpy() for k in range(4))
-            low = np.stack([rows.column(k).to_numpy().view(np.uint64) for k in range(4, 8)], 1)
-            high = [x or b"" for x in rows.column(8).to_pylist()]
-            edges = [0, *(np.flatnonzero(cells[1:] != cells[:-1]) + 1).tolist(), len(cells)]
-            for a, b in zip(edges, edges[1:], strict=False):
-                if held and cell != cells[a] and (out := handed()) is not None:
-                    yield out
-                cell = cells[a]
-                held.append((short[a:b], label[a:b], n[a:b], low[a:b], high[a:b]))
-        if held and (out := handed()) is not None:
-            yield out
+            if not rows.num_rows:
+                continue
+            cells, short, label, n = (np.concatenate([held, rows.column(k).to_numpy()]) for k, held in enumerate((cells, short, label, n)))
+            low = np.concatenate([low, np.stack([rows.column(k).to_numpy().view(np.uint64) for k in range(4, 8)], 1)])
+            high += [x or b"" for x in rows.column(8).to_pylist()]
+            last = int(np.flatnonzero(cells != cells[-1])[-1]) + 1 if cells[0] != cells[-1] else 0  # the last cell may go on
+            if last:
+                yield handed(last)
+                cells, short, label, n, low, high = cells[last:], short[last:], label[last:], n[last:], low[last:], high[last:]
+        if len(cells):
+            yield handed(len(cells))
 
     return members.select("cell", "short", "label", "n", *LOW, "high").mapInArrow(run, "first long, other long")
 

@@ -12,7 +12,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from graphloom.llm import decontaminate, html_extract, langid, pii, quality, sharding
+from graphloom.llm import decontaminate, html_extract, jaccard_join, langid, pii, quality, sharding
 from graphloom.llm.jaccard_join import keep_one, shingle_set
 from graphloom.llm.wordbpe import ChunkTokenizer
 
@@ -199,3 +199,35 @@ def test_pipeline_stages(spark):
     tok = Tokenizer.from_file(PATH)
     assert sum(r.length for r in after) == sum(len(tok.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in before)
     assert sys.modules["corpus_pipeline"].ORACLE_SQL is None
+
+
+def test_small_cells_are_compared_many_at_a_time(monkeypatch):
+    rng, plan = np.random.default_rng(7), jaccard_join.Plan(80, 100)
+    size = np.array([*rng.integers(1, 5, 3000).tolist(), 700, 2, 1])
+    base = [rng.integers(0, 1 << 63, int(k), np.uint64) for k in rng.integers(20, 300, 40)]
+    sets = [np.sort(np.concatenate([base[k][int(rng.integers(0, 4)) :], rng.integers(0, 1 << 63, int(rng.integers(0, 6)), np.uint64)])) for k in rng.integers(0, 40, 500)]
+    at = rng.integers(0, 500, size.sum())
+    low = np.stack([np.frombuffer(jaccard_join.bit_sketch(h, 256), np.uint64) for h in sets])
+    high = [jaccard_join.high_sketch(h) or b"" for h in sets]
+    label, n = rng.integers(0, 3, size.sum()), np.array([len(h) for h in sets])
+
+    def near(x, y):
+        most = plan.most(int(n[x]), int(n[y]))
+        words = min(len(high[x]), len(high[y])) // 8
+        apart = lambda a, b: int(np.bitwise_count(a ^ b).sum())
+        if min(n[x], n[y]) * 100 < max(n[x], n[y]) * 80 or apart(low[x], low[y]) > most:
+            return False
+        return not words or apart(*(jaccard_join.fold(np.frombuffer(high[k], np.uint64), words) for k in (x, y))) <= most
+
+    wanted, begin = set(), 0
+    for m in size.tolist():
+        for i in range(begin, begin + m):
+            for j in range(i + 1, begin + m):
+                if label[i] != label[j] and at[i] != at[j] and (min(at[i], at[j]), max(at[i], at[j])) not in wanted and near(at[i], at[j]):
+                    wanted.add((min(at[i], at[j]), max(at[i], at[j])))
+        begin += m
+    count, calls = np.bitwise_count, []
+    monkeypatch.setattr(np, "bitwise_count", lambda x: calls.append(1) or count(x))
+    first, other = jaccard_join.possible_pairs(size, at, label, n[at], low[at], [high[k] for k in at], plan)
+    assert wanted and sorted(zip(first.tolist(), other.tolist(), strict=True)) == sorted(wanted)
+    assert len(calls) < 1000  # not one for each of some 5000 rows of small cells
