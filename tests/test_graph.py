@@ -265,3 +265,19 @@ def test_factored_dependencies_are_the_pairs(spark):
     pairs = {(r.from_id, r.to_id) for r in analyze.cross_repo(df).collect()}
     assert {(r.from_id, r.to_id) for r in analyze.cross_repo_pairs(factors, "r0", "r1").collect()} == {p for p in pairs if (repo(p[0]), repo(p[1])) == ("r0", "r1")} and pairs == {x[:2] for x in links}
     assert factors.count() <= len(edges)
+
+
+@pytest.mark.parametrize("hidden", [0, 15, 40])
+def test_a_chart_stores_its_first_edges_only(spark, monkeypatch, hidden):
+    names = [f"fn:a{k}" for k in range(40)]
+    nodes = spark.createDataFrame([(x, "Function", x, None, False) for x in names[hidden:]] + [("cls:alone", "Class", "alone", None, False), ("table:t", "Table", "t", None, False)], "id string, kind string, name string, path string, critical boolean")
+    edges = spark.createDataFrame([(f"e{k:02}", "CALLS", x, y) for k, (x, y) in enumerate(zip(names, names[1:], strict=False))], "id string, type string, from_id string, to_id string")
+    stored, real = [], analyze.settled
+    monkeypatch.setattr(analyze, "settled", lambda df, *a: stored.append(real(df, *a)) or stored[-1])
+    shown, drawn, counts = analyze.capped_map(Graph(nodes, edges, None), "call", edge_cap=3, node_cap=5)
+    left = [k for k in range(39) if k >= hidden][:3]
+    ends = {names[k + d] for k in left for d in (0, 1)}
+    assert {r.id for r in drawn.collect()} == {f"e{k:02}" for k in left} and {r.id for r in shown.collect()} == ends
+    got = {r.name: r.n for r in counts.collect()}
+    assert (got["total_matching_edges"], got["total_matching_nodes"], got["truncated"], got["empty_view"]) == (max(0, 39 - hidden), len(ends), int(39 - hidden > 3), int(not ends))
+    assert max(df.count() for df in stored) <= 2 * 3 * analyze.EARLY  # the ends of as many edges
