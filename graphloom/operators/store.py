@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -154,12 +156,21 @@ def to_sync(scanned: DataFrame, stored: DataFrame, with_chunks: DataFrame, force
 
 def validate(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The graph's four checks: name, failed rows, ok; and conflicts as a fifth row. edges have n_evidence and sources_ok."""
-    ids = nodes.select("id")
-    dangling = edges.join(ids.withColumnRenamed("id", "from_id"), "from_id", "left_anti").select("id").union(edges.join(ids.withColumnRenamed("id", "to_id"), "to_id", "left_anti").select("id")).distinct().agg(F.count("*").alias("failed")).withColumn("name", F.lit("dangling_edges"))
-    counts = edges.agg(
-        F.count_if(F.col("n_evidence") == 0).alias("missing_evidence"), F.count_if(~F.col("sources_ok")).alias("bad_sources"), F.count_if(F.col("conflict")).alias("conflicts"), F.count("*").alias("n")
-    )
-    doubles = edges.groupBy("type", "from_id", "to_id").count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("failed")).withColumn("name", F.lit("duplicate_edges"))
+    own = ["type", "from_id", "to_id"]
+    # ends that no node has are told from distinct ends; edges are looked through only where there are any
+    ends = edges.select(F.explode(F.array("from_id", "to_id")).alias("end")).distinct()
+    gone = settled(ends.join(nodes.select(F.col("id").alias("end")), "end", "left_anti"))
+    lost = gone.select(F.col("end").alias("id"))
+    if not gone.isEmpty():
+        lost = reduce(DataFrame.union, [edges.select("id", F.col(c).alias("at")).join(gone, F.col("at").eqNullSafe(F.col("end")), "left_semi").select("id") for c in own[1:]])
+    dangling = lost.distinct().agg(F.count("*").alias("failed")).withColumn("name", F.lit("dangling_edges"))
+    # edges of one hash may be the same edge; only where there are such, edges meet by type and ends
+    per = edges.groupBy(F.xxhash64(*own)).agg(F.count_if(F.col("n_evidence") == 0).alias("missing_evidence"), F.count_if(~F.col("sources_ok")).alias("bad_sources"), F.count_if(F.col("conflict")).alias("conflicts"), F.count("*").alias("n"))
+    counts = settled(per.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("missing_evidence", "bad_sources", "conflicts")), F.count_if(F.col("n") > 1).alias("alike")))
+    doubles = counts.select(F.col("alike").alias("failed"))
+    if doubles.first().failed:
+        doubles = edges.groupBy(*own).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("failed"))
+    doubles = doubles.withColumn("name", F.lit("duplicate_edges"))
     stacked = counts.selectExpr("stack(3, 'missing_evidence', missing_evidence, 'bad_sources', bad_sources, 'conflicts', conflicts) as (name, failed)")
     rows = dangling.select("name", "failed").union(stacked).union(doubles.select("name", "failed"))
     return rows.select("name", F.col("failed").cast("long").alias("failed"), (F.col("failed") == 0).alias("ok"))

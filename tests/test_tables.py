@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import analyze, scan, store, traverse
+from graphloom.plans import workspace  # noqa: F401  adds its queries
 from graphloom.plans.queries import QUERIES
 from graphloom.schema import CYCLE_TYPES, EDGE_TYPES, Graph, LazyGraph
 from graphloom.sources import tables
@@ -133,3 +134,21 @@ def test_merging_gathers_one_list_after_the_exchange(spark):
     assert [(e.file, e.candidate) for e in got["own"].evidence] == [("f", None), ("g", "READS a c")]
     plan = merged._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("collect_list(") == 1 and plan.index("collect_list(") < plan.index("RepartitionByExpression")
+
+
+@pytest.mark.parametrize("name", ["graph_health", "orchestrate"])
+def test_checks_of_a_whole_graph_store_no_edges(spark, odd, monkeypatch, name):
+    monkeypatch.setattr(tables, "_STORED", {})
+    QUERIES[name](spark, odd).collect()
+    assert {k for k in tables.table_graph(spark, odd).kept if k.startswith("edges ")} <= {"edges TESTS"}
+
+
+def test_checks_count_each_kind_of_fault(spark):
+    nodes = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
+    schema = "id string, type string, from_id string, to_id string, n_evidence long, sources_ok boolean, conflict boolean"
+    whole = [("1", "CALLS", "a", "b", 1, True, False), ("2", "CALLS", "b", "c", 2, True, False), ("3", "READS", "a", "b", 1, True, True)]
+    faults = [("4", "CALLS", "a", "b", 0, False, False), ("5", "CALLS", "a", "b", 1, None, False), ("6", "CALLS", "x", "y", 0, True, None), ("7", "CALLS", None, "a", 1, True, False), ("8", None, "a", "gone", 1, True, False), ("8", None, "a", "gone", 1, True, False)]
+    told = lambda rows: {r.name: (r.failed, r.ok) for r in store.validate(nodes, spark.createDataFrame(rows, schema)).collect()}
+    assert told(whole) == {"dangling_edges": (0, True), "missing_evidence": (0, True), "bad_sources": (0, True), "conflicts": (1, False), "duplicate_edges": (0, True)}
+    assert told(whole + faults) == {"dangling_edges": (3, False), "missing_evidence": (2, False), "bad_sources": (1, False), "conflicts": (1, False), "duplicate_edges": (3, False)}
+    assert {n for n, _ in told([]).values()} == {0}
