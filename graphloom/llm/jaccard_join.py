@@ -57,6 +57,8 @@ REMEMBERED = 200_000
 TOGETHER = 4096
 #: Members up to which cells are compared many at a time.
 TOGETHER_SMALL = 512
+#: Pairs that first sketches leave possible, held at most before the second ones are compared.
+PAIRS = 1 << 18
 #: Pairs of one document that a task verifies, and bits of the table that thins out documents before they are joined.
 FAN, BITS = 64, 1 << 24
 #: Members, and elements of their sets, that a task counts the links of in one go; larger components are split into pairs of half as many.
@@ -288,7 +290,7 @@ def possible_pairs(size: np.ndarray, short: np.ndarray, label: np.ndarray, n: np
     end = np.cumsum(size)
     after = np.repeat(end, size) - np.arange(len(short)) - 1
     small = np.repeat(size <= TOGETHER_SMALL, size)
-    left, right = [], []
+    left, right, found = [], [], []
 
     def kept(i: np.ndarray, j: np.ndarray) -> None:
         fit = (label[i] != label[j]) & (short[i] != short[j])
@@ -297,6 +299,23 @@ def possible_pairs(size: np.ndarray, short: np.ndarray, label: np.ndarray, n: np
         near = np.bitwise_count(low[i] ^ low[j]).sum(1, dtype=np.int64) * (plan.den + plan.num) <= (n[i] + n[j]) * (plan.den - plan.num)
         left.append(i[near])
         right.append(j[near])
+        if sum(map(len, left)) > PAIRS:
+            told()
+
+    def once(first: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """The places of pairs, each once."""
+        order = np.lexsort((other, first))
+        a, b = first[order], other[order]
+        return order[np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)]]
+
+    def told() -> None:
+        i, j = np.concatenate(left), np.concatenate(right)
+        left.clear()
+        right.clear()
+        first, other = np.minimum(short[i], short[j]), np.maximum(short[i], short[j])
+        at = once(first, other)  # a pair of many cells is looked at once
+        at = at[~_far(high, i[at], j[at], (n[i[at]] + n[j[at]]) * (plan.den - plan.num), plan.den + plan.num)]
+        found.append((first[at], other[at]))
 
     step, rows = 1, np.flatnonzero(small & (after > 0))
     while len(rows):
@@ -307,17 +326,13 @@ def possible_pairs(size: np.ndarray, short: np.ndarray, label: np.ndarray, n: np
         j = row + 1 + np.flatnonzero(label[row + 1 : row + 1 + after[row]] != label[row])
         if len(j):
             kept(np.full(len(j), row), j)
-    if not left:
+    if left:
+        told()
+    if not found:
         return short[:0], short[:0]
-    i, j = np.concatenate(left), np.concatenate(right)
-    first, other = np.minimum(short[i], short[j]), np.maximum(short[i], short[j])
-    order = np.lexsort((other, first))  # a pair of many cells once
-    first, other, i, j = first[order], other[order], i[order], j[order]
-    new = np.ones(len(i), bool)
-    new[1:] = (first[1:] != first[:-1]) | (other[1:] != other[:-1])
-    first, other, i, j = first[new], other[new], i[new], j[new]
-    near = ~_far(high, i, j, (n[i] + n[j]) * (plan.den - plan.num), plan.den + plan.num)
-    return first[near], other[near]
+    first, other = (np.concatenate([f[k] for f in found]) for k in range(2))
+    at = once(first, other)
+    return first[at], other[at]
 
 
 def _compared(members: DataFrame, plan: Plan) -> DataFrame:
