@@ -5,8 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom.functions.lineage import settled
 from graphloom.operators import analyze, scan, store, traverse
-from graphloom.plans.queries import QUERIES
+from graphloom.plans.queries import QUERIES, looped
 from graphloom.schema import CYCLE_TYPES, EDGE_TYPES, Graph, LazyGraph
 from graphloom.sources import tables
 
@@ -151,3 +152,28 @@ def test_checks_count_each_kind_of_fault(spark):
     assert told(whole) == {"dangling_edges": (0, True), "missing_evidence": (0, True), "bad_sources": (0, True), "conflicts": (1, False), "duplicate_edges": (0, True)}
     assert told(whole + faults) == {"dangling_edges": (3, False), "missing_evidence": (2, False), "bad_sources": (1, False), "conflicts": (1, False), "duplicate_edges": (3, False)}
     assert {n for n, _ in told([]).values()} == {0}
+
+
+def test_degrees_from_numbers(spark, odd):
+    """The tables' degrees counted by numbers are those of the edges, in the graph with calls that come back too."""
+    for g in (tables.table_graph(spark, odd), looped(spark, odd)):
+        assert g.degrees() is not None
+        want = sorted(scan.end_counts(g.edges_of(EDGE_TYPES, once=True)).filter("id is not null").collect())
+        assert sorted(g.degrees().collect()) == want and len({r.id for r in want}) == len(want)
+        some = spark.createDataFrame([(r.id,) for r in want[::7]] + [("fn:none",)], "id string")
+        assert sorted(scan.degrees_of(g, some).collect()) == [(r.id, r.incident) for r in want[::7]] and "degrees" not in g.kept
+
+
+def test_few_starts_exchange_no_steps(spark, odd):
+    """A search from few starts finds what one over steps stored by their source finds, without storing them so, and degrees are counted for what it reaches alone."""
+    g = tables.table_graph(spark, odd)
+    starts = settled(g.nodes.filter("kind in ('Event', 'External', 'Service', 'Table') or id like 'fn:orders/1%'").select("id"))
+    for key in [k for k in g.kept if "steps" in k or k == "degrees"]:
+        del g.kept[key]
+    few = traverse.chosen_steps(g, "downstream", starts)
+    found = settled(traverse.search_paths(few, starts, 3, 7))
+    analyze.impact_summary(g, starts, found=found).collect()
+    assert "n" not in few.columns and not any(k.startswith("steps") or k == "degrees" for k in g.kept)
+    stored = traverse.search_paths(traverse.stored_steps(g, "downstream"), starts, 3, 7)
+    told = lambda rows: sorted(tuple(map(str, r)) for r in rows.select("start", "path_no", "depth", "node", "type", "edge_id", "path", "was_seen").collect())
+    assert told(found) == told(stored) and found.count() > 50
