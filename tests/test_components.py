@@ -144,3 +144,13 @@ def test_large_components_give_a_shortest_cycle(spark, monkeypatch):
     got = {r.first: r.path for r in components.dependency_cycles(graph_of(spark, pairs), most=None).filter("no = 1").collect()}
     assert got["r007"] == ">".join(["r007", "r008", "r009", "r010", "r011", *(f"r{k:03}" for k in range(8))])
     assert got["s000"] == "s000>s001>s002>s003>s000" and got["t007"].count(">") == 10
+
+
+def test_cycles_do_not_depend_on_the_size_of_components(spark, monkeypatch):
+    """Components of more than DFS_EDGES edges are searched as others are: a cycle for each step back, in the same order."""
+    pairs = together(["two rings and a bridge", "ring with chords", "chain back to itself", "dense"])
+    want = plain_cycles(pairs)
+    for held in (100_000, 7):
+        monkeypatch.setattr(components, "DFS_EDGES", held)
+        got = sorted(components.dependency_cycles(graph_of(spark, pairs), most=None).collect(), key=lambda r: (r.kind, r.first, r.no))
+        assert [r.path for r in got] == want and len(want) > 20
