@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from test_graph import API, ORDER, SERVICE, TABLE, TEST, VALIDATE, graph, ids  # noqa: F401  graph is a fixture
 
 from graphloom.functions.lineage import settled
-from graphloom.operators import analyze, scan, store
+from graphloom.operators import analyze, components, scan, store
 from graphloom.operators.operations import OPERATIONS, dispatch
 from graphloom.plans import workspace  # noqa: F401
 from graphloom.plans.queries import ORACLES, QUERIES
@@ -154,6 +154,16 @@ def test_insight_micro_graphs(spark):
     assert star[("hubs", "h")] == 5 and star[("large_downstream_impact", "h")] == 5 and not any(s == "bottlenecks" for s, _ in star)
 
 
+def test_insights_report_all_cycles_of_large_components(spark, monkeypatch):
+    """A component of more than DFS_EDGES edges gives the report each of its cycles, as a small one does."""
+    monkeypatch.setattr(components, "DFS_EDGES", 3)
+    pairs = [("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "b"), ("d", "a"), ("d", "d")]
+    nodes = spark.createDataFrame([(n, "Function", n, None, False) for n in "abcd"], "id string, kind string, name string, path string, critical boolean")
+    edges = spark.createDataFrame([(f"e{i}", "CALLS", a, b, 1, "parser", 0.9, False) for i, (a, b) in enumerate(pairs)], "id string, type string, from_id string, to_id string, n_evidence int, sources string, confidence double, conflict boolean")
+    got = analyze.insights(Graph(nodes, edges, spark.createDataFrame([], "id string, node_id string, kind string, text string"))).filter("section = 'cycles'").orderBy("rank").collect()
+    assert [(r.id, r.metric) for r in got] == [("a>b>a", 2), ("b>c>d>b", 3), ("a>b>c>d>a", 4), ("d>d", 1)]
+
+
 def test_journal_health_critical(spark, graph):  # noqa: F811
     none = spark.createDataFrame([], "seq long, ts string, event string, payload string")
     first = store.append_journal(none, spark.createDataFrame([("2", "sync", "b"), ("1", "sync", "a"), ("1", "pin", "c")], "ts string, event string, payload string"))
