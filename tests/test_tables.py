@@ -177,3 +177,27 @@ def test_few_starts_exchange_no_steps(spark, odd):
     stored = traverse.search_paths(traverse.stored_steps(g, "downstream"), starts, 3, 7)
     told = lambda rows: sorted(tuple(map(str, r)) for r in rows.select("start", "path_no", "depth", "node", "type", "edge_id", "path", "was_seen").collect())
     assert told(found) == told(stored) and found.count() > 50
+
+
+def test_whole_edges_by_numbers(spark, odd, tmp_path, monkeypatch):
+    """The edges with nodes at both ends are those that a join with the nodes finds, where keys are missing or null too; none is stored or exchanged by its id."""
+    folder = str(tmp_path)
+    key = lambda c: F.when(F.col(c) % 7 == 0, None).otherwise(F.col(c))
+    left_out = {"part": "p_partkey % 3 <> 1", "customer": "c_custkey % 4 <> 2", "supplier": "s_suppkey <> 3", "orders": "o_orderkey % 5 <> 0"}
+    for t in tables._TABLES:
+        rows = spark.read.parquet(f"{odd}/{t}.parquet").filter(left_out.get(t, "true"))
+        for c in {"lineitem": ["l_partkey"], "orders": ["o_custkey"], "events": ["user_id"], "customer": ["c_nationkey"]}.get(t, []):
+            rows = rows.withColumn(c, key(c) if c != "l_partkey" else F.when(F.col("l_suppkey") == 1, F.col(c)).otherwise(F.when(F.col("l_linenumber") != 3, F.col(c))))
+        rows.write.parquet(f"{folder}/{t}.parquet")
+    monkeypatch.setattr(tables, "_STORED", {})
+    for d in (odd, folder):
+        got = QUERIES["edge_ids"](spark, d)
+        assert not any(g.kept for g in tables._STORED.values())
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join LeftSemi, (from_id" not in plan and "Join LeftSemi, (to_id" not in plan
+        e, n = tables.merged_edges(tables.raw_edges(spark, d)).select("id", "type", "from_id", "to_id"), tables.table_nodes(spark, d).select("id")
+        want = e.join(n.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(n.withColumnRenamed("id", "to_id"), "to_id", "left_semi").select(e.columns)
+        rows = [tuple(r) for r in got.collect()]
+        assert got.columns == e.columns and len(rows) == len(set(rows)) and set(rows) == {tuple(r) for r in want.collect()}
+        if d == folder:
+            assert 0 < len(rows) < e.filter("from_id is not null and to_id is not null").count() and {r[1] for r in rows} == set(tables.TYPES)
