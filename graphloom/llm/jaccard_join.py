@@ -7,9 +7,11 @@ their symmetric difference: at most d elements, where d follows from the sizes.
   is the XOR of the hashes in it. With k = d + 1 + spare blocks, at least
   1 + spare blocks of a linked pair hold the same elements, so their sketches
   are equal (pigeonhole). Each size band has its own k.
-* Blocks with hardly any elements are alike by chance. A set that has at most
-  `spare` of them needs none: one of its other blocks still agrees. Only sets
-  with more of them emit these blocks too, under keys of their own.
+* Blocks with few elements, or none, are alike by chance, and the more sets
+  there are, the more of them. So each set leaves out its `spare` blocks of the
+  fewest elements, ties by sketch. Blocks that two sets share have one place in
+  that order, so a set leaves out the last of them only with all others, and
+  those are more than `spare`: both sets of a linked pair keep it.
 * Before verification, the Hamming distance of two bit sketches, in which each
   element flips one bit, must be at most d: it never exceeds the symmetric
   difference, so no linked pair is lost. Sketches grow with their sets; of two
@@ -41,8 +43,8 @@ from pyspark.sql import functions as F
 from .common import cut, freed
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-#: Elements that a block needs to count as more than hardly any.
-LEAST = 2
+#: Spare blocks for so many others: enough for nearly all that have no elements.
+SPARE = 4
 #: Size bands grow by this factor.
 RATIO = 1.5
 #: A set's first sketch, 256 bits in four numbers.
@@ -154,7 +156,7 @@ class Plan:
         """Number of blocks and of spare ones for pairs whose smaller set is in the band."""
         small = self.bounds(band)[1] - 1
         d = self.most(small, small * self.den // self.num)
-        spare = 2 + d // 12 if d else 0
+        spare = 2 + d // SPARE if d else 0
         return d + 1 + spare, spare
 
     def roles(self, n: int) -> list[int]:
@@ -181,13 +183,7 @@ def block_keys(h: np.ndarray, plan: Plan) -> np.ndarray:
         parity = run[edge[1:]] ^ run[edge[:-1]]
         block = np.arange(k, dtype=np.uint64)
         keys = _mix(_mix(parity + np.uint64(band + 1)) + block)
-        few = size < LEAST
-        if k == 1:
-            out.append(keys)
-        else:
-            out.append(keys[~few])
-            if few.sum() > spare:
-                out.append(_mix(keys[few] ^ np.uint64(0x5555555555555555)))
+        out.append(keys[np.lexsort((keys, size))[spare:]])
     return np.concatenate(out)
 
 

@@ -233,3 +233,19 @@ def test_small_cells_are_compared_many_at_a_time(monkeypatch, held):
     first, other = jaccard_join.possible_pairs(size, at, label, n[at], low[at], [high[k] for k in at], plan)
     assert wanted and sorted(zip(first.tolist(), other.tolist(), strict=True)) == sorted(wanted)
     assert held == 50 or len(calls) < 1000  # not one for each of some 5000 rows of small cells
+
+
+def test_block_keys_meet_linked_sets_only():
+    """Sets that may be linked share a key in some band of both, whatever their blocks hold; sets without a common element hardly ever do, however many there are."""
+    rng, plan = np.random.default_rng(5), jaccard_join.Plan(80, 100)
+    made = lambda n: np.unique(rng.integers(0, 1 << 64, n, np.uint64, endpoint=False))
+    for n in [*range(1, 60), 94, 100, 141, 300, 316, 475, 1066, 1600] * 3:
+        a = made(n)
+        for gone in range(plan.most(n, n) + 1):
+            more = rng.integers(0, plan.most(n, n) - gone + 1)
+            b = np.unique(np.concatenate([rng.permutation(a)[gone:], made(more)]))
+            both = len(np.intersect1d(a, b))
+            if both * 100 >= (len(a) + len(b) - both) * 80 and len(b):
+                assert np.intersect1d(jaccard_join.block_keys(a, plan), jaccard_join.block_keys(b, plan)).size, (n, gone, more)
+    keys = np.concatenate([np.unique(jaccard_join.block_keys(made(330), plan)) for _ in range(1000)])
+    assert len(keys) - len(np.unique(keys)) < 50  # of some 200000; blocks without elements alone gave thousands
