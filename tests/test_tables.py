@@ -201,3 +201,15 @@ def test_whole_edges_by_numbers(spark, odd, tmp_path, monkeypatch):
         assert got.columns == e.columns and len(rows) == len(set(rows)) and set(rows) == {tuple(r) for r in want.collect()}
         if d == folder:
             assert 0 < len(rows) < e.filter("from_id is not null and to_id is not null").count() and {r[1] for r in rows} == set(tables.TYPES)
+
+
+def test_pairs_are_made_in_cells_of_both_sides(spark, monkeypatch):
+    """One API's producers and consumers are both dealt: no cell has more pairs than it may, about, and no producer is copied to more cells than consumers fill."""
+    monkeypatch.setattr(analyze, "SHARE_PAIRS", 400)
+    rows = [("EXPOSES", f"fn:repo:m{k % 3}/f{k}", "api:x") for k in range(200)] + [("CONSUMES", f"fn:repo:u{k % 2}/g{k}", "api:x") for k in range(300)]
+    got = analyze.cross_repo(spark.createDataFrame(rows, "type string, from_id string, to_id string"))
+    assert got.count() == got.distinct().count() == 200 * 300
+    stored, kept = analyze.settled, []
+    monkeypatch.setattr(analyze, "settled", lambda df: kept.append(stored(df)) or kept[-1])
+    analyze.cross_repo(spark.createDataFrame(rows, "type string, from_id string, to_id string"))
+    assert [tuple(r) for r in kept[-1].collect()] == [("api:x", 10, 15)]
